@@ -28,3 +28,36 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality probability of every document, learned from labels outside one fold of three."""
+    from .common import crc32_mod
+    from .quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"), train_rows=crc32_mod("doc_id", 3) != 1)
+    return score_quality(docs, model).select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the languages outside one fold of three."""
+    from .common import crc32_mod
+    from .langid import predict_language, train_language
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_language(docs, train_rows=crc32_mod("doc_id", 3) != 1)
+    return predict_language(docs, model).select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity probability of every document, learned from labels outside one fold of five."""
+    from .common import crc32_mod
+    from .toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), train_rows=crc32_mod("doc_id", 5) != 0)
+    return score_toxicity(docs, model).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
