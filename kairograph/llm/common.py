@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,21 @@ def lower_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
+def text_groups(texts, chars: int) -> Iterator[list]:
+    """Consecutive runs of texts of about ``chars`` characters together, so that work arrays
+    stay small whatever a batch holds; a longer text is a run of its own."""
+    group, size = [], 0
+    for t in texts:
+        n = len(t) if isinstance(t, str) else 0
+        if group and size + n > chars:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += n
+    if group:
+        yield group
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 

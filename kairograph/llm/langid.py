@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_with
+from .common import columns_with, text_groups
 from .sampling import sample_by_class
 
 ORDERS = (1, 2, 3, 4)
@@ -128,6 +128,10 @@ def train_language(docs: DataFrame, *, fit_rows: int = FIT_ROWS, fit_chars: int
 
 def logits(texts, model: LanguageModel) -> np.ndarray:
     """Class logits of every text, one pass over the characters of all of them."""
+    return np.concatenate([_group_logits(g, model) for g in text_groups(texts, PIECE)])
+
+
+def _group_logits(texts, model: LanguageModel) -> np.ndarray:
     codes, starts = _codes(texts)
     sums = np.zeros((len(starts) - 1, len(model.langs)))
     for lo in range(0, len(codes), PIECE):
