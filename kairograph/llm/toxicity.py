@@ -18,18 +18,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_with, lower_bytes, mix64
+from .common import columns_with, lower_bytes, mix64, text_groups
 from .sampling import labelled_texts
 
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 16
-WORD_BITS, CHAR_BITS = 14, 14
-CHAR_ORDERS = (3, 4, 5, 6)
+HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 8
+WORD_BITS, CHAR_BITS = 14, 16
+CHAR_ORDERS = (3, 5)
 #: Bytes of a word that its character input reads; a longer word is cut into such words.
 MAX_WORD = 24
 #: Bound of the labelled rows a fit reads, and of one such text's characters.
-FIT_ROWS, FIT_CHARS = 4000, 12_000
-#: Windows scored at once.
+FIT_ROWS, FIT_CHARS = 3000, 6000
+#: Weight decay of a training step, per unit of its rate.
+DECAY = 0.05
+#: Characters of texts scored together, and windows at once.
+GROUP_CHARS = 1 << 22
 BLOCK = 4096
 
 
@@ -77,33 +80,40 @@ def word_ids(rows: np.ndarray) -> np.ndarray:
 
 def char_ids(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of words (with a mark before and after) and the word of each."""
-    marked = np.zeros((len(rows), MAX_WORD + 2), np.uint32)
-    marked[:, 0] = 1
-    marked[:, 1:-1] = rows
-    size = (rows != 0).sum(1)
-    marked[np.arange(len(rows)), size + 1] = 2
+    size = (rows != 0).sum(1) + 2
+    stop = np.cumsum(size)
+    flat = np.ones(int(stop[-1]) if len(stop) else 0, np.uint32)
+    flat[stop - 1] = 2
+    inner = np.ones(len(flat), bool)
+    inner[stop - 1] = inner[stop - size] = False
+    flat[inner] = rows[rows != 0]
+    of, left = np.repeat(np.arange(len(rows)), size), np.repeat(stop, size) - np.arange(len(flat))
     ids, word = [], []
     for n in CHAR_ORDERS:
-        h = np.full((len(rows), MAX_WORD + 3 - n), n, np.uint32)
+        h = np.full(max(0, len(flat) + 1 - n), n, np.uint32)
         for k in range(n):
-            h = (h ^ marked[:, k : k + h.shape[1]]) * np.uint32(0x9E3779B1)
+            h = (h ^ flat[k : k + len(h)]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-        w, _ = hit = np.nonzero(np.arange(h.shape[1]) + n <= (size + 2)[:, None])
-        ids.append((h[hit] >> np.uint32(32 - CHAR_BITS)).astype(np.int64))
-        word.append(w)
+        fits = left[: len(h)] >= n
+        ids.append((h[fits] >> np.uint32(32 - CHAR_BITS)).astype(np.int64))
+        word.append(of[: len(h)][fits])
     return np.concatenate(ids), np.concatenate(word)
 
 
-def _inputs(rows: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple]:
-    """Input vectors of distinct words, and what their gradient needs."""
+def _inputs(rows: np.ndarray, p: dict[str, np.ndarray], drop: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
+    """Input vectors of distinct words, and what their gradient needs. With ``drop`` (training)
+    half of the n-grams are left out at random and half of the words lose their word input,
+    so that spelling patterns rather than single words are learned."""
     ids, (grams, word) = word_ids(rows), char_ids(rows)
+    if drop is not None:
+        kept = drop.random(len(grams)) < 0.5
+        grams, word = grams[kept], word[kept]
     count = np.maximum(np.bincount(word, minlength=len(rows)), 1).astype(np.float32)
-    chars = np.zeros((len(rows), CHAR_DIM), np.float32)
-    order = np.argsort(word, kind="stable")
-    if len(order):
-        begin = np.searchsorted(word[order], np.arange(len(rows)))
-        chars[:] = np.add.reduceat(p["char"][grams[order]], np.minimum(begin, len(order) - 1), axis=0)
-    return np.concatenate([p["word"][ids], chars / np.sqrt(count)[:, None]], 1), (ids, grams, word, count)
+    chars = np.column_stack([np.bincount(word, p["char"][:, j][grams], len(rows)) for j in range(CHAR_DIM)]) / np.sqrt(count)[:, None]
+    own = p["word"][ids]
+    if drop is not None:
+        own = own * (drop.random(len(rows)) < 0.5)[:, None]
+    return np.concatenate([own, chars], 1).astype(np.float32), (ids, grams, word, count)
 
 
 def _sigmoid(x):
@@ -196,9 +206,9 @@ def _backward(dscore: np.ndarray, x: np.ndarray, win: np.ndarray, p: dict[str, n
         g["w" + d], g["b" + d] = x.T @ per_word, per_word.sum(0)
         dx += per_word @ p["w" + d].T
     ids, grams, word, count = words
-    g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-    np.add.at(g["word"], ids, dx[:, :WORD_DIM])
-    np.add.at(g["char"], grams, (dx[:, WORD_DIM:] / np.sqrt(count)[:, None])[word])
+    dchar = (dx[:, WORD_DIM:] / np.sqrt(count)[:, None])[word]
+    g["word"] = np.column_stack([np.bincount(ids, dx[:, j], 1 << WORD_BITS) for j in range(WORD_DIM)]).astype(np.float32)
+    g["char"] = np.column_stack([np.bincount(grams, dchar[:, j], 1 << CHAR_BITS) for j in range(CHAR_DIM)]).astype(np.float32)
     return g
 
 
@@ -221,7 +231,7 @@ def text_logits(texts, p: dict[str, np.ndarray]) -> np.ndarray:
     return np.where(np.isinf(out), np.nan, out)
 
 
-def fit_toxicity(sample: pd.DataFrame, *, rounds: int = 14, batch: int = 256, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
+def fit_toxicity(sample: pd.DataFrame, *, rounds: int = 9, batch: int = 128, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
     """Fit on rows (text, label 1 toxic / 0 not); a quarter is set aside for the calibration.
     Without rows of both labels every score is the labels' mean."""
     y = sample["label"].to_numpy(float)
@@ -249,20 +259,21 @@ def fit_toxicity(sample: pd.DataFrame, *, rounds: int = 14, batch: int = 256, ra
             top = top if len(top) else np.flatnonzero(keep)
         else:
             clean = np.flatnonzero(keep & (y[doc] == 0))
-            top = np.concatenate([top, rng.choice(clean, min(len(clean), len(top) // 2), replace=False)]) if len(clean) else top
+            top = np.concatenate([top, rng.choice(clean, min(len(clean), 2 * len(top)), replace=False)]) if len(clean) else top
         for pick in np.array_split(rng.permutation(top), max(1, len(top) // batch)):
             used, local = np.unique(win[pick], return_inverse=True)
             local = local.reshape(len(pick), WINDOW)
             real = used[used < len(rows)]
             local = np.where(win[pick] < len(rows), local, len(real))
-            xs, words = _inputs(rows[real], p)
+            xs, words = _inputs(rows[real], p, rng)
             s, state = _forward(xs, local, p, keep=True)
             d = ((_sigmoid(s) - y[doc[pick]]) * balance[doc[pick]] / len(pick)).astype(np.float32)
             g, step = _backward(d, xs, local, p, state, words), step + 1
             for k in p:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] * g[k] - v[k])
-                p[k] -= (rate * (0.2 if r >= rounds - 3 else 1) / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+                now = rate * (0.2 if r >= rounds - 3 else 1)
+                p[k] -= now / (1 - 0.9**step) * m[k] / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6) + now * DECAY * p[k]
     model = ToxicityModel(p, prior=prior)
     z = text_logits(list(sample["text"][aside]), p)
     yz = y[aside][~np.isnan(z)]
@@ -294,9 +305,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for texts in batches:
-            texts, out = list(texts), []
-            for k in range(0, len(texts), 1000):
-                z = text_logits(texts[k : k + 1000], m.params)
+            out = []
+            for group in text_groups(texts, GROUP_CHARS):
+                z = text_logits(group, m.params)
                 out.append(np.where(np.isnan(z), 0.0, 1 / (1 + np.exp(-np.clip(m.slope * np.nan_to_num(z) + m.bias, -30, 30)))))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
