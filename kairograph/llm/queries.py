@@ -69,3 +69,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingle sets are at least 0.9 alike."""
+    from .jaccard import Similarity, jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), Similarity(k=3, num=90, den=100))
