@@ -77,3 +77,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import Similarity, jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), Similarity(k=3, num=90, den=100))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned from nine folds of ten."""
+    from .common import crc32_mod
+    from .lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), train=crc32_mod("doc_id", 10) != 0)
