@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +87,26 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), train=crc32_mod("doc_id", 10) != 0)
+
+
+#: Production mixing: the share of the tokens to keep, and how far shares are flattened.
+MIX_FRACTION, MIX_ALPHA = 0.8, 0.7
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's raked weight, its probability and whether it is drawn."""
+    from .mixing import document_margins, mix_to_targets, word_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix_to_targets(docs, document_margins(MIX_ALPHA), tokens=word_tokens(F.col("text")), fraction=MIX_FRACTION)
+    return mixed.select("doc_id", "n_tokens", F.col("mix_topic").alias("topic"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+
+
+def _op10_sql() -> str:
+    from .mixing import mixing_sql
+
+    return mixing_sql(fraction=MIX_FRACTION, alpha=MIX_ALPHA)
+
+
+ORACLE["op10_mixing"] = _op10_sql()
