@@ -97,6 +97,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), train=crc32_mod("doc_id", 10) != 0)
 
 
+@query
+def op9_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of all vectors (the tables have no media column), each aligned with every fiftieth one."""
+    from .audio import align_recordings, fingerprint_recordings, tones_of_vector
+    from .common import materialize
+
+    prints = materialize(fingerprint_recordings(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=tones_of_vector))
+    return align_recordings(prints, F.col("rec_id") % 50 == 0)
+
+
 #: Production mixing: the share of the tokens to keep, and how far shares are flattened.
 MIX_FRACTION, MIX_ALPHA = 0.8, 0.7
 
