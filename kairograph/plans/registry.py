@@ -1,4 +1,8 @@
-"""Registered queries and their SQL twins."""
+"""All registered queries of the engine and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from . import temporal  # noqa: F401
+from .common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
