@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, graphs, scoring, temporal, texts  # noqa: F401
+from . import codes, graphs, scoring, streams, temporal, texts  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
