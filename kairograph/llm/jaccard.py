@@ -2,14 +2,18 @@
 
 1. A document is the set of its distinct word shingles (hashed); equal sets are one class.
 2. In one global order of shingles, long (rare) ones first and known frequent ones last, two
-   sets that are similar enough share a shingle of their prefixes. A prefix shingle of few
-   classes (at most ``SMALL_CELL``) proposes its pairs.
-3. Shingles of more classes are declared frequent and ordered last, and the sets that used
-   them are dealt anew. What is still shared by many then are large families of near copies.
-   A family is cut into blocks by size, and every pair of blocks of compatible size is joined
-   by two signature trees: nodes hold OR-combined token bitmaps and size ranges, and the dual
-   traversal drops node pairs whose greatest possible overlap is too small.
-4. Tasks keep a forest of what they have linked, so a family of g near copies yields at most
+   sets that are similar enough share a shingle of their prefixes. Prefix shingles of more
+   than ``SMALL_CELL`` classes are declared frequent, ordered last, and the sets that used
+   them are dealt anew. A shingle of fewer classes proposes its pairs; those whose token
+   bitmaps (the leaves of the trees) leave too small a possible overlap are dropped.
+3. Classes connected by pairs, or by a shingle that still has many classes, are a family. A
+   family that fits into one block is joined with itself in one task by a signature tree:
+   nodes hold OR-combined token bitmaps and size ranges, and the dual traversal drops node
+   pairs whose greatest possible overlap is too small. Each set is shuffled once for that.
+4. Of a larger family, what many classes share is cut into blocks by size and every pair of
+   blocks of compatible size is joined by two trees; of its other pairs those not yet
+   connected are verified.
+5. Tasks keep a forest of what they have linked, so a family of g near copies yields at most
    g - 1 links per task, not its pairs; components of the links give the groups.
 
 Nothing is capped or sampled: the frequent set only changes the order, which the prefix
@@ -41,6 +45,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
 LEAF, FAN_OUT = 32, 8
 _LEN_BITS, _HASH_BITS = 8, 55
+#: Rounds of declaring frequent shingles.
+DEALS = 2
 
 
 @dataclass(frozen=True)
@@ -120,6 +126,48 @@ def class_keys(token: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def packed_set(tokens: np.ndarray) -> bytes:
+    """A set for verification, as 5 bytes a token: the low 40 bits of the hashes, sorted, the
+    low 32 bits of all and then the rest. Two sets of n tokens with m own ones each agree by
+    chance in one of these with a probability of about m * m / 10^12."""
+    v = np.unique(tokens.view(np.uint64) & np.uint64((1 << 40) - 1))
+    return v.astype("<u4").tobytes() + (v >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpacked_set(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return (np.frombuffer(raw, "<u4", n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << 32)
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """Bitmap of a set: the least power of two bits (64 at least) that is not below its size."""
+    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    b = (tokens.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(b, minlength=bits) > 0, bitorder="little").tobytes()
+
+
+def _most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """Greatest possible overlap of two sets by their bitmaps; the larger one is folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+    common, own = int(np.bitwise_count(x & y).sum()), min(n_a - int(np.bitwise_count(x).sum()), n_b - int(np.bitwise_count(y).sum()))
+    return min(common + own, n_a, n_b)
+
+
+def _may_link(sim: Similarity):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = zip(pdf["su"], pdf["nu"].tolist(), pdf["sv"], pdf["nv"].tolist())
+            hit = [sim.linked(_most_common(a, n, b, m), n, m) for a, n, b, m in rows]
+            yield pdf.loc[hit, ["u", "v"]]
+
+    return run
+
+
 def _describe(sim: Similarity, frequent, payload: str):
     """mapInPandas body: (id, text) to (doc_id, n, cls) with the prefix or the whole set as payload."""
 
@@ -132,25 +180,36 @@ def _describe(sim: Similarity, frequent, payload: str):
                 lo += len(group)
                 token, at = shingle_sets(group, sim.k, hot)
                 n = np.diff(at)
+                if payload == "family":  # of a document's rows only those of the wanted class
+                    part = pdf.iloc[lo - len(group) : lo]
+                    cls = class_keys(token, at)
+                    keep = np.flatnonzero(cls == part["want"].to_numpy())
+                    yield pd.DataFrame({"cls": cls[keep], "fam": part["fam"].to_numpy()[keep], "fits": part["fits"].to_numpy()[keep], "tokens": [packed_set(token[at[i] : at[i + 1]]) for i in keep]})
+                    continue
                 out = pd.DataFrame({"doc_id": ids.to_numpy(), "n": n, "cls": class_keys(token, at)})
                 if payload == "prefix":
                     out["prefix"] = [token[a : a + p] for a, p in zip(at, np.where(n > 0, sim.prefix(n), 0))]
+                    out["sig"] = [signature(token[a:b]) for a, b in zip(at, at[1:])]
                 else:
-                    out["tokens"] = [np.sort(token[a:b]).tobytes() for a, b in zip(at, at[1:])]
+                    out["tokens"] = [packed_set(token[a:b]) for a, b in zip(at, at[1:])]
                 yield out
 
     return run
 
 
-def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids``: by a broadcast where those are few, else shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _few(ids: DataFrame) -> DataFrame:
+    """A broadcast of ids where those are at most ``BROADCAST_IDS``, else the ids as they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
 
+def _rows(reps: DataFrame) -> DataFrame:
+    return reps.select(F.explode("prefix").alias("token"), "cls", "n")
 
-def _cells(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = reps.select(F.explode("prefix").alias("token"), "cls", "n")
-    return rows, rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """The most frequent shingles of more than ``SMALL_CELL`` classes, sorted; at most ``MAX_FREQUENT``."""
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SMALL_CELL)
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).select("token").toLocalIterator()], np.int64))
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -256,17 +315,39 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _verify(sim: Similarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = ([np.frombuffer(t, np.int64) for t in pdf[c]] for c in ("ta", "tb"))
+            a, b = ([unpacked_set(t) for t in pdf[c]] for c in ("ta", "tb"))
             hit = [sim.linked(_common(x, y), len(x), len(y)) for x, y in zip(a, b)]
             yield pdf.loc[hit, ["u", "v"]]
 
     return run
 
 
+def _join_families(sim: Similarity):
+    """mapInPandas body over rows sorted by family: links within each family, which fits in memory."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        sets = [unpacked_set(t) for _, _, t in rows]
+        return [(int(rows[a][1]), int(rows[b][1])) for a, b in tree_links(sets, None, sim)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            found = []
+            for row in zip(pdf["fam"].tolist(), pdf["cls"].tolist(), pdf["tokens"]):
+                if held and held[0][0] != row[0]:
+                    found += links(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(links(held), columns=["u", "v"], dtype="int64")
+
+    return run
+
+
 def _join_blocks(sim: Similarity):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "cls"])
-        sets = [np.frombuffer(t, np.int64) for t in pdf["tokens"]]
+        sets = [unpacked_set(t) for t in pdf["tokens"]]
         cls, split = pdf["cls"].to_numpy(), int((pdf["side"] == 0).sum())
         within = key[1] == key[3] and key[2] == key[4]
         links = tree_links(sets, None, sim) if within else tree_links(sets[:split], sets[split:], sim)
@@ -303,6 +384,18 @@ def _family_links(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFram
     return dealt.groupBy("fam", "b1", "i1", "b2", "i2").applyInPandas(_join_blocks(sim), "u long, v long")
 
 
+def _large_links(many: DataFrame, pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """Links within families of more than a block: blocks for shingles of many classes, and of
+    the pairs those that the blocks have not connected."""
+    links = materialize(_family_links(many, sets, sim))
+    done = materialize(connected_components(links))
+    for side in ("u", "v"):
+        pairs = pairs.join(done.select(F.col("node").alias(side), F.col("component").alias(f"g{side}")), side, "left")
+    open_pairs = materialize(pairs.where(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v"))
+    a, b = (sets.select(F.col("cls").alias(k), F.col("tokens").alias(t)) for k, t in (("u", "ta"), ("v", "tb")))
+    return links.unionByName(open_pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInPandas(_verify(sim), "u long, v long"))
+
+
 def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links).
 
@@ -313,46 +406,53 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_co
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs, nameless = given.where("doc_id IS NOT NULL"), given.where("doc_id IS NULL")
-    described = materialize(docs.mapInPandas(_describe(sim, None, "prefix"), "doc_id long, n long, cls long, prefix array<long>"))
+    form = "doc_id long, n long, cls long, prefix array<long>, sig binary"
+    described = materialize(docs.mapInPandas(_describe(sim, None, "prefix"), form))
     known = described.where("n > 0")
-    reps = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")))
-
-    rows, counts = _cells(reps)
-    counts = materialize(counts)
-    hot = counts.where(F.col("c") > SMALL_CELL).orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).select("token")
-    frequent = np.sort(np.array([r[0] for r in hot.toLocalIterator()], np.int64))
-    for _ in range(2):
-        if not len(frequent):
-            break
-        hits = rows.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"token": frequent}))), "token").select("cls").distinct()
-        again = reps.join(hits, "cls", "left_semi").select("cls", "rep", "n")
-        shared = spark.sparkContext.broadcast(frequent)
-        dealt = _within(docs, again.select(F.col("rep").alias("doc_id"))).mapInPandas(_describe(sim, shared, "prefix"), "doc_id long, n long, cls long, prefix array<long>")
-        anew = dealt.select("cls", "prefix").join(again, "cls").groupBy("cls").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-        reps = materialize(reps.join(hits, "cls", "left_anti").unionByName(anew.select(*reps.columns)))
-        rows, counts = _cells(reps)
-        counts = materialize(counts)
-        more = [r[0] for r in counts.where(F.col("c") > SMALL_CELL).orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).select("token").toLocalIterator()]
-        fresh = np.setdiff1d(np.array(more, np.int64), frequent)
+    reps = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("sig", "doc_id").alias("sig")))
+
+    pool, settled, frequent = reps, [], np.zeros(0, np.int64)
+    for _ in range(DEALS):
+        fresh = np.setdiff1d(_frequent(_rows(pool)), frequent)
         if not len(fresh):
             break
-        frequent = np.union1d(frequent, fresh)[: 2 * MAX_FREQUENT]
-
-    few = rows.join(counts.where(F.col("c") <= SMALL_CELL).select("token"), "token")
-    cell = few.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("m"))
+        frequent = np.union1d(frequent, fresh)
+        hits = _rows(pool).join(F.broadcast(spark.createDataFrame(pd.DataFrame({"token": fresh}))), "token").select("cls").distinct()
+        again = materialize(hits.join(reps.select("cls", "rep"), "cls"))
+        settled.append(pool.join(_few(again.select("cls")), "cls", "left_anti").select("cls", "n", "prefix"))
+        dealt = docs.join(_few(again.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInPandas(_describe(sim, spark.sparkContext.broadcast(frequent), "prefix"), form)
+        pool = materialize(dealt.select("cls", "n", "prefix").join(_few(again.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]))
+    rows = pool.select("cls", "n", "prefix")
+    for part in settled:
+        rows = rows.unionByName(part)
+    rows = _rows(rows)
+
+    # classes of a shingle: pairs of compatible size where they are few, else spokes to one of them
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("hub")).where("c > 1")
+    shared = rows.join(shared, "token")
+    cell = shared.where(F.col("c") <= SMALL_CELL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("m"))  # at most SMALL_CELL
     pair = cell.select("m", F.posexplode("m").alias("p", "a")).select("a", F.explode(F.expr("slice(m, p + 2, size(m))")).alias("b"))
-    pairs = materialize(pair.where((F.col("a.n") * sim.den >= F.col("b.n") * sim.num) & (F.col("a.cls") != F.col("b.cls"))).select(
-        F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v")).distinct())
-    many = materialize(rows.join(counts.where(F.col("c") > SMALL_CELL).select("token"), "token"))
-
-    needed = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).unionByName(many.select("cls")).distinct()
-    ids = materialize(reps.join(needed, "cls", "left_semi").select("cls", F.col("rep").alias("doc_id")))
-    whole = _within(docs, ids.select("doc_id").distinct()).mapInPandas(_describe(sim, None, "tokens"), "doc_id long, n long, cls long, tokens binary")
-    sets = materialize(whole.join(ids, ["doc_id", "cls"], "left_semi").select("cls", "tokens").dropDuplicates(["cls"]))
-    a, b = (sets.select(F.col("cls").alias(k), F.col("tokens").alias(t)) for k, t in (("u", "ta"), ("v", "tb")))
-    links = pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInPandas(_verify(sim), "u long, v long")
-    if many.limit(1).count():
-        links = links.unionByName(_family_links(many, sets, sim))
+    pair = pair.where((F.col("a.n") * sim.den >= F.col("b.n") * sim.num) & (F.col("a.cls") != F.col("b.cls")))
+    pairs = pair.select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v")).distinct()
+    for side in ("u", "v"):
+        pairs = pairs.join(reps.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
+    pairs = materialize(pairs.mapInPandas(_may_link(sim), "u long, v long"))
+    many = materialize(shared.where(F.col("c") > SMALL_CELL).select("token", "cls", "n", "hub"))
+    spokes = many.where("cls <> hub").select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct()
+    family = materialize(connected_components(pairs.unionByName(spokes)).select(F.col("node").alias("cls"), F.col("component").alias("fam")))
+    ids = family.join(reps.select("cls", "n", F.col("rep").alias("doc_id")), "cls")
+    size = ids.groupBy("fam").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"))
+    fits = (F.col("tokens") <= BLOCK_SHINGLES) & (F.col("members") <= BLOCK_SETS)
+    ids = materialize(ids.join(size.select("fam", fits.alias("fits")), "fam"))
+
+    wanted = ids.select("doc_id", F.col("cls").alias("want"), "fam", "fits")
+    whole = docs.join(_few(wanted), "doc_id").mapInPandas(_describe(sim, None, "family"), "cls long, fam long, fits boolean, tokens binary")
+    whole = materialize(whole)
+    links = whole.where("fits").select("fam", "cls", "tokens").repartition("fam").sortWithinPartitions("fam", "cls").mapInPandas(_join_families(sim), "u long, v long")
+    large = ids.where("NOT fits").select("cls")
+    if large.limit(1).count():
+        sets = whole.where("NOT fits").select("cls", "tokens")
+        links = links.unionByName(_large_links(many.join(large, "cls", "left_semi").drop("hub"), pairs.join(large.withColumnRenamed("cls", "u"), "u", "left_semi"), sets, sim))
     twice = known.groupBy("doc_id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v").select("doc_id", "u")
     links = links.unionByName(known.join(twice, "doc_id").select("u", F.col("cls").alias("v")))
 
