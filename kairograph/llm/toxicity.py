@@ -67,7 +67,7 @@ def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.zeros(len(first), np.uint64)
     lanes = np.lib.stride_tricks.sliding_window_view(padded, MAX_WORD)
     rows = lanes[first] * (np.arange(MAX_WORD) < size[:, None]).astype(np.uint8) if len(first) else np.zeros((0, MAX_WORD), np.uint8)
-    for part in np.ascontiguousarray(rows).view(np.uint64).reshape(len(first), -1).T:
+    for part in np.ascontiguousarray(rows).view(np.uint64).reshape(len(first), MAX_WORD // 8).T:
         key = mix64(key ^ part)
     _, index, place = np.unique(key, return_index=True, return_inverse=True)
     return rows[index], place.reshape(-1), at
@@ -75,7 +75,7 @@ def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_ids(rows: np.ndarray) -> np.ndarray:
     key = np.zeros(len(rows), np.uint64)
-    for part in np.ascontiguousarray(rows).view(np.uint64).reshape(len(rows), -1).T:
+    for part in np.ascontiguousarray(rows).view(np.uint64).reshape(len(rows), MAX_WORD // 8).T:
         key = mix64(key ^ part)
     return (key >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
