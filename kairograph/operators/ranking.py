@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .facts import answers, both_directions, queries_of
-from .order import as_of_sum
+from .order import as_of_sum, number_rows
 
 HITS = (1, 3, 10, 50)
 
@@ -17,7 +17,7 @@ HITS = (1, 3, 10, 50)
 def entities(facts: DataFrame) -> DataFrame:
     """(entity, pos): every entity, numbered from 0 by id."""
     e = facts.select(F.col("s").alias("entity")).unionByName(facts.select(F.col("o").alias("entity"))).distinct()
-    return e.withColumn("pos", (F.row_number().over(W.orderBy("entity")) - 1).cast("long"))
+    return number_rows(e, [], "entity", "pos")
 
 
 def candidates_seen(facts: DataFrame, queries: DataFrame, n_rel: int) -> DataFrame:
