@@ -52,7 +52,7 @@ def relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name) of every entity of the facts: parts' names repeat, so the id is part of the name."""
+    """(id, name) of every entity of the facts: ``Entity_`` and its id."""
     from ..operators.ranking import entities
 
     e = entities(facts(spark, sf_dir))
@@ -72,7 +72,7 @@ BOTH = "b AS MATERIALIZED (SELECT seq, s, r, o, t FROM f UNION ALL SELECT seq, o
 #: Incidences with their position, and the number of earlier ones by (entity, time).
 INC = """inc AS MATERIALIZED (SELECT e, row_number() OVER (PARTITION BY e ORDER BY t, seq, role) AS p, seq, t, s, r, o
  FROM (SELECT s AS e, 0 AS role, * FROM f UNION ALL SELECT o, 1, * FROM f)),
-et AS MATERIALIZED (SELECT e, t AS q, coalesce(sum(c) OVER (PARTITION BY e ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n
+et AS MATERIALIZED (SELECT e, t AS q, coalesce(sum(c) OVER (PARTITION BY e ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n
  FROM (SELECT e, t, count(*) AS c FROM inc GROUP BY e, t))"""
 
 

@@ -31,6 +31,6 @@ def stream_daily_snapshots(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "r", "facts")
 
 
-@query(f"{FACTS}, c AS (SELECT s, t, sum(count(*)) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, lag(t) OVER (PARTITION BY s ORDER BY t) AS p FROM f GROUP BY s, t) SELECT s AS e, seq, f.t, s, r, o, least(coalesce(n, 0), 50) AS n_before, p AS newest_t FROM f JOIN c USING (s, t)")
+@query(f"{FACTS}, c AS (SELECT s, t, sum(count(*)) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, lag(t) OVER (PARTITION BY s ORDER BY t) AS p FROM f GROUP BY s, t) SELECT s AS e, seq, f.t, s, r, o, least(coalesce(n, 0), 50)::BIGINT AS n_before, p AS newest_t FROM f JOIN c USING (s, t)")
 def stream_rolling_history(spark, sf_dir):
     return st.run_to_table(st.rolling_history(_stream(spark, sf_dir), 50), "append")

@@ -18,7 +18,7 @@ def event_facts(spark, sf_dir):
     return facts(spark, sf_dir)
 
 
-@query(f"{FACTS} SELECT seq, t, sum(CASE WHEN t <> p THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS segment FROM (SELECT seq, t, lag(t, 1, 0) OVER (ORDER BY seq) AS p FROM f)")
+@query(f"{FACTS} SELECT seq, t, (sum(CASE WHEN t <> p THEN 1 ELSE 0 END) OVER (ORDER BY seq))::BIGINT AS segment FROM (SELECT seq, t, lag(t, 1, 0) OVER (ORDER BY seq) AS p FROM f)")
 def snapshot_segments(spark, sf_dir):
     return sn.segments(facts(spark, sf_dir))
 
@@ -129,13 +129,13 @@ def in_history(spark, sf_dir):
     return hi.in_history(fa.queries_of(f, fa.relation_count(f)), hi.history(f, hi.entity_queries(f), HISTORY))
 
 
-@query(f"{FACTS} SELECT s, r, o, t, coalesce(sum(c) OVER (PARTITION BY s, r, o ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM (SELECT s, r, o, t, count(*) AS c FROM f GROUP BY ALL)")
+@query(f"{FACTS} SELECT s, r, o, t, coalesce(sum(c) OVER (PARTITION BY s, r, o ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n FROM (SELECT s, r, o, t, count(*) AS c FROM f GROUP BY ALL)")
 def triple_count_asof(spark, sf_dir):
     f = facts(spark, sf_dir)
     return hi.triple_counts(f, f)
 
 
-@query(f"{FACTS} SELECT a, b, t, coalesce(sum(c) OVER (PARTITION BY a, b ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM (SELECT least(s, o) AS a, greatest(s, o) AS b, t, count(*) AS c FROM f GROUP BY ALL)")
+@query(f"{FACTS} SELECT a, b, t, coalesce(sum(c) OVER (PARTITION BY a, b ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n FROM (SELECT least(s, o) AS a, greatest(s, o) AS b, t, count(*) AS c FROM f GROUP BY ALL)")
 def pair_count_asof(spark, sf_dir):
     f = facts(spark, sf_dir)
     return hi.pair_counts(f, f)

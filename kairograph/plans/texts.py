@@ -89,7 +89,7 @@ def length_histogram(spark, sf_dir):
     return tr.length_histogram(d, F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+")) + 1, 256, 2048)
 
 
-@query("WITH w AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'), lambda x: length(x)) AS p FROM conversations), b AS (SELECT conv_id, max(len(p) + 2) AS m FROM w GROUP BY conv_id) SELECT conv_id, turn, len(p) + 2 AS total_len, (ceil(m / 8.0) * 8)::BIGINT AS padded, list_sum(p) + 1 AS id_sum, len(p) * -100 + 2 + -100 * ((ceil(m / 8.0) * 8)::BIGINT - len(p) - 2) + 1 - 2 - 1 AS label_sum FROM w JOIN b USING (conv_id)")
+@query("WITH w AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'), lambda x: length(x)) AS p FROM conversations), b AS (SELECT conv_id, max(len(p) + 2) AS m FROM w GROUP BY conv_id) SELECT conv_id, turn, len(p) + 2 AS total_len, (ceil(m / 8.0) * 8)::BIGINT AS padded, (list_sum(p) + 1)::BIGINT AS id_sum, len(p) * -100 + 2 + -100 * ((ceil(m / 8.0) * 8)::BIGINT - len(p) - 2) + 1 - 2 - 1 AS label_sum FROM w JOIN b USING (conv_id)")
 def sft_items(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     prompt = F.transform(F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+"), F.lit(0)), lambda w: F.length(w))
