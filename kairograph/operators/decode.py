@@ -125,3 +125,15 @@ def resolve_filters(filters: DataFrame, names: DataFrame, codes: DataFrame) -> D
     own = names.select(normalize_entity_text(F.col("name")).alias("name"), "entity").groupBy("name").agg(F.max("entity").alias("entity"))
     by_name = f.where(~digits & ~token).select("id", normalize_entity_text(F.col("filter")).alias("name")).join(own, "name").select("id", "entity")
     return ids.unionByName(by_code).unionByName(by_name).distinct()
+
+
+def allowed_with_end(table: DataFrame, levels: int, end: int) -> DataFrame:
+    """(parent, tokens): next tokens of every prefix, the ``end`` token after a whole code."""
+    inside = table.groupBy("parent").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    whole = table.where(F.col("level") == levels).select(F.col("prefix").alias("parent")).distinct().withColumn("tokens", F.array(F.lit(end)))
+    return inside.unionByName(whole)
+
+
+def code_rows(beams: DataFrame, topk: int) -> DataFrame:
+    """The best codes of every query and mode with their scores."""
+    return beams.where(F.col("place") <= topk).select("query", "mode", "place", F.col("prefix").alias("code"), "score", "llm_score", "graph_score", "rank_score")

@@ -141,3 +141,8 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], max_roun
         if not new.where("_old <> component").limit(1).count():
             break
     return label
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct nodes one step along ``edges`` (src, dst) from ``nodes`` (node)."""
+    return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct()

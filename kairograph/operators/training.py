@@ -36,3 +36,20 @@ def padded(rows: DataFrame, batch: Column, *, pad_id: int, multiple: int = 8) ->
     for col in ("input_ids", "labels", "attention_mask"):
         rows = rows.drop(col).withColumnRenamed(f"_{col}", col)
     return rows.drop("_batch", "_most")
+
+
+def targets_as_codes(samples: DataFrame, names: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples whose ``output`` is a code, or a name turned into its entity's code; and one row of
+    counts (kept, missing). ``names`` (entity, name), ``codes`` (entity, tokens)."""
+    from ..functions.text import looks_like_code, normalize_entity_name
+
+    known = names.join(codes, "entity").select(normalize_entity_name(F.col("name")).alias("_name"), "tokens").groupBy("_name").agg(F.max("tokens").alias("_tokens"))
+    s = samples.withColumn("_name", normalize_entity_name(F.col("output"))).join(known, "_name", "left")
+    s = s.withColumn("output", F.when(looks_like_code(F.col("output")), F.trim("output")).otherwise(F.col("_tokens"))).drop("_name", "_tokens")
+    counts = s.agg(F.count("output").alias("kept"), (F.count(F.lit(1)) - F.count("output")).alias("missing"))
+    return s.where("output IS NOT NULL"), counts
+
+
+def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Rows in a reproducible random order."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
