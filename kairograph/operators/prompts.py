@@ -22,25 +22,31 @@ def prompt_text(subject: Column, past: Column, query: Column) -> Column:
     return F.concat(*(x for h, p in zip(HEADINGS, parts) for x in (F.lit(f"### {h} ###\n"), p, F.lit("\n" if h != "Answer" else ""))))
 
 
+def _named(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``df`` plus ``<key>_name``; an id without a name raises when its row is used."""
+    n = names.select(F.col("id").alias(key), F.col("name").alias("_n"))
+    missing = F.raise_error(F.concat(F.lit(f"no name for {key} "), F.col(key).cast("string"))).cast("string")
+    return df.join(n, key, "left").withColumn(f"{key}_name", F.coalesce("_n", missing)).drop("_n")
+
+
 def prompt_rows(facts: DataFrame, names: DataFrame, relations: DataFrame, n_rel: int, split: str, *, limit: int = 50, skip_first: bool = False, with_history: bool = True, lookback: DataFrame | None = None) -> DataFrame:
     """(id, input, output, filters, in_history, dir, e, r, answer, t) of the samples of one split.
 
     ``facts`` are the split's, ``lookback`` all facts (history and filters see every split);
-    ``names`` (id, name) and ``relations`` (id, name) must cover all ids: a missing one gives a null text."""
+    ``names`` (id, name) and ``relations`` (id, name) must cover all ids: a missing one raises."""
     seen = lookback if lookback is not None else facts
     samples = sample_ids(facts, n_rel, skip_first=skip_first)
     hist = history(seen, entity_queries(facts), limit)
     if not with_history:
         hist = hist.where("false")
-    n = {side: names.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name")) for side in ("s", "o", "e", "answer")}
-    rel = relations.select(F.col("id").alias("r"), F.col("name").alias("r_name"))
-    lines = hist.join(n["s"], "s").join(n["o"], "o").join(F.broadcast(rel), "r")
+    lines = _named(_named(_named(hist, names, "s"), names, "o"), relations, "r")
     line = fact_line(F.col("t"), F.col("s_name"), F.col("r_name"), F.col("o_name"))
     # at most ``limit`` lines for each query
     past = lines.groupBy("e", "q").agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("lines"))
     past = past.select("e", F.col("q").alias("t"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("past"))
     base_r = F.when(F.col("dir") == 1, F.col("r") - n_rel).otherwise(F.col("r"))
-    q = samples.withColumn("full_r", F.col("r")).withColumn("r", base_r).join(F.broadcast(rel), "r").join(n["e"], "e").join(n["answer"], "answer")
+    q = samples.withColumn("full_r", F.col("r")).withColumn("r", base_r)
+    q = _named(_named(_named(q, relations, "r"), names, "e"), names, "answer")
     q = in_history(q, hist).join(past, ["e", "t"], "left")
     from .facts import answers
 

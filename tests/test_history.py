@@ -102,3 +102,18 @@ def test_supplement_sampling_is_bounded_and_repeatable(spark, toy):
     assert a == b and len(a) == 2
     top = hi.supplement_top(w, base, 5).orderBy("place").collect()
     assert [(r.t, r.s, r.o) for r in top] == [(1, 0, 1), (0, 0, 1)]
+
+
+def test_prompts_need_every_name(spark, toy):
+    from kairograph.operators import prompts as pr
+
+    names = spark.createDataFrame([(k, f"e{k}") for k in range(5)], "id long, name string")
+    rel = spark.createDataFrame([(0, "likes"), (1, "sees")], "id long, name string")
+    rows = {r.id: r for r in pr.prompt_rows(toy, names, rel, 2, "train", limit=2, skip_first=True).collect()}
+    assert len(rows) == 16 and rows[0].output == "e1" and rows[0].filters == ["e2"]
+    assert rows[0].input.endswith("### History ###\n0: [e0\tlikes\te1]\n### Query ###\n1: [e0\tlikes\t?]\n### Answer ###\n")
+    assert not rows[1].meta.in_history and rows[0].meta.in_history
+    with pytest.raises(Exception, match="no name for"):
+        pr.prompt_rows(toy, names.where("id <> 3"), rel, 2, "train").collect()
+    bare = pr.prompt_rows(toy, names, rel, 2, "train", with_history=False).collect()
+    assert len(bare) == 20 and not any(r.meta.in_history for r in bare)
