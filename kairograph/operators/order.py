@@ -22,6 +22,11 @@ def number_rows(df: DataFrame, major: list[str], minor: str, name: str, *, width
     return out.withColumn(name, (F.col("_before") + place).cast("long")).drop("_slice", "_before")
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast of ``df`` where it has at most ``rows`` rows, else ``df`` itself."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def as_of_sum(events: DataFrame, queries: DataFrame, keys: list[str], time: str, value: Column, name: str) -> DataFrame:
     """Distinct (keys, time) of ``queries`` with the sum of ``value`` over events strictly before."""
     w = W.partitionBy(*keys).orderBy(time, "_is_event").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import small
 from ..streaming import facts as st
 from .common import FACTS, query, relation_names, table
 
@@ -14,7 +15,7 @@ def _stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     kinds = relation_names(spark, sf_dir).select(F.col("id").alias("r"), F.col("name").alias("event_type"))
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return events.join(F.broadcast(kinds), "event_type").select(
+    return events.join(small(kinds), "event_type").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("long").alias("s"), "r",
         F.get_json_object("props", "$.k").cast("long").alias("o"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("t"),
     )
