@@ -44,6 +44,8 @@ BROADCAST_IDS = 1_000_000
 #: Shingles and sets in a block of a family.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
 LEAF, FAN_OUT = 32, 8
+#: Characters of texts described together.
+GROUP_CHARS = 1 << 18
 _LEN_BITS, _HASH_BITS = 8, 55
 #: Rounds of declaring frequent shingles.
 DEALS = 2
@@ -175,7 +177,7 @@ def _describe(sim: Similarity, frequent, payload: str):
         hot = frequent.value if frequent is not None else None
         for pdf in batches:
             lo = 0
-            for group in text_groups(pdf["text"], 1 << 20):
+            for group in text_groups(pdf["text"], GROUP_CHARS):
                 ids = pdf["doc_id"].iloc[lo : lo + len(group)]
                 lo += len(group)
                 token, at = shingle_sets(group, sim.k, hot)
