@@ -413,21 +413,19 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_co
     known = described.where("n > 0")
     reps = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("sig", "doc_id").alias("sig")))
 
-    pool, settled, frequent = reps, [], np.zeros(0, np.int64)
+    # all prefixes follow one order after every round: whatever set has a fresh shingle is dealt anew
+    dealt, frequent = reps.select("cls", "n", "prefix"), np.zeros(0, np.int64)
     for _ in range(DEALS):
-        fresh = np.setdiff1d(_frequent(_rows(pool)), frequent)
+        fresh = np.setdiff1d(_frequent(_rows(dealt)), frequent)
         if not len(fresh):
             break
         frequent = np.union1d(frequent, fresh)
-        hits = _rows(pool).join(F.broadcast(spark.createDataFrame(pd.DataFrame({"token": fresh}))), "token").select("cls").distinct()
+        hits = _rows(dealt).join(F.broadcast(spark.createDataFrame(pd.DataFrame({"token": fresh}))), "token").select("cls").distinct()
         again = materialize(hits.join(reps.select("cls", "rep"), "cls"))
-        settled.append(pool.join(_few(again.select("cls")), "cls", "left_anti").select("cls", "n", "prefix"))
-        dealt = docs.join(_few(again.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInPandas(_describe(sim, spark.sparkContext.broadcast(frequent), "prefix"), form)
-        pool = materialize(dealt.select("cls", "n", "prefix").join(_few(again.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]))
-    rows = pool.select("cls", "n", "prefix")
-    for part in settled:
-        rows = rows.unionByName(part)
-    rows = _rows(rows)
+        anew = docs.join(_few(again.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInPandas(_describe(sim, spark.sparkContext.broadcast(frequent), "prefix"), form)
+        anew = materialize(anew.select("cls", "n", "prefix").join(_few(again.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]))
+        dealt = dealt.join(_few(again.select("cls")), "cls", "left_anti").unionByName(anew)
+    rows = _rows(dealt)
 
     # classes of a shingle: pairs of compatible size where they are few, else spokes to one of them
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("hub")).where("c > 1")

@@ -133,6 +133,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
         assert got == brute_components(rows, sim.k, sim.num, sim.den)
 
 
+def test_settled_and_redealt_sets_meet(spark, monkeypatch):
+    """x and y become frequent only after the sets that hold f, g and h are dealt anew. The set of f
+    has then moved x and y back; document 1, which round 1 left alone, must move them too."""
+    monkeypatch.setattr(jaccard, "SMALL_CELL", 3)
+    f, g, h, a, x, y = (c * n for c, n in zip("fghaxy", (40, 40, 40, 35, 30, 29)))  # long words come first
+    common = [x, y, *("c" * n for n in range(22, 29))]
+    rows = [(1, " ".join([a, *common])), (2, " ".join([f, *common]))]
+    rows += [(k, " ".join([f, g, h, x, y, *(f"d{k}{j}" for j in range(5))])) for k in range(3, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d, jaccard.Similarity(1, 80, 100)).collect()}
+    assert got == brute_components(rows, 1, 80, 100) and got[2] == (10, 1)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     d = spark.createDataFrame([(5, "a b c d"), (5, "x y z"), (6, "a b c d"), (7, "x y z"), (None, "a b c d"), (8, None)], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(d, jaccard.Similarity(3, 90, 100)).collect()]
