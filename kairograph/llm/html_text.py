@@ -6,6 +6,11 @@ ancestor marks it as page furniture. The ratio of text to tags per line is smoot
 Gaussian, thresholded by two clusters, and the container that holds most of the ratio above
 the threshold is the article. Inside the article every unmarked line is kept, so that a
 short paragraph between long ones is not lost.
+
+Words of a class, id or role are weights, no verdicts: elements of one such name that
+together hold most of the page's text above the threshold are not marked at all, and a line
+of another one stays if its weighed ratio is above the threshold. Article and main elements
+weigh more than others, and each must hold its share of the ratio.
 """
 
 from __future__ import annotations
@@ -34,30 +39,36 @@ FURNITURE = frozenset(
     "complementary contentinfo".split()
 )
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_SPACE = re.compile(r"\s+")
+_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 PIECE = 1 << 16
 SIGMA = 1.5
+#: Weights of lines with a marking class word (before and after smoothing, so that they neither
+#: lend to nor borrow from their neighbours) and of article and main elements.
+MARKED, NAMED = 0.25, 2.0
+#: Share of the best container's ratio that makes another one part of the article.
+SHARE = 0.2
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines: (text, tags, link characters, container number, furniture)."""
+    """Parser events to lines: (text, tags, link characters, container number, furniture, marks)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, int, frozenset]] = []
+        self.lines: list[tuple[str, int, int, int, bool, frozenset]] = []
         self.kinds: list[bool] = [False]  # of each container: whether it is an article or main element
+        self.above: list[int] = [-1]  # of each container: the one around it
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def _state(self) -> tuple[bool, int, frozenset]:
+        return self.stack[-1][1:] if self.stack else (False, 0, frozenset())
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        dropped, container = self._state()
+        dropped, container, marks = self._state()
         if text:
-            self.lines.append((text, self.tags, self.linked, container, dropped))
+            self.lines.append((text, self.tags, self.linked, container, dropped, marks))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -80,33 +91,27 @@ class _Lines(HTMLParser):
             self.stack.pop()
         if tag in VOID:
             return
-        dropped, container = self._state()
-        if not dropped and (tag in DROPPED or self._furniture(tag, attrs)):
-            dropped = True
-        if tag in CONTENT or any(k == "role" and v == "main" for k, v in attrs):
-            self.kinds.append(True)
-            container = len(self.kinds) - 1
-        elif tag in ("div", "section", "td") and not self.kinds[container]:
-            self.kinds.append(False)
+        dropped, container, marks = self._state()
+        if tag not in ("html", "body"):
+            dropped = dropped or tag in DROPPED or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            marks |= self._marks(tag, attrs)
+        named = tag in CONTENT or any(k == "role" and v == "main" for k, v in attrs)
+        if named or tag in ("div", "section", "td") and not self.kinds[container]:
+            self.kinds.append(named)
+            self.above.append(container)
             container = len(self.kinds) - 1
-        self.stack.append((tag, dropped, container))
+        self.stack.append((tag, dropped, container, marks))
 
     @staticmethod
-    def _furniture(tag, attrs) -> bool:
-        if tag in ("html", "body"):
-            return False
-        for k, v in attrs:
-            if v and k in ("class", "id", "role") and any(w.lower() in FURNITURE for w in _NAME.findall(v)):
-                return True
-            if k == "hidden" or k == "aria-hidden" and v == "true":
-                return True
-        return False
+    def _marks(tag, attrs) -> frozenset:
+        """Names (without numbers) of an element that hold a furniture word; elements of one name are judged together."""
+        return frozenset((tag, k, _DIGITS.sub("", v)) for k, v in attrs if v and k in ("class", "id", "role") and any(w.lower() in FURNITURE for w in _NAME.findall(v)))
 
     def handle_endtag(self, tag):
         self.tags += 1
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                if tag in BLOCK or self.stack[k][1] != self._before(k):
+                if tag in BLOCK or self.stack[k][1::2] != self._before(k):
                     self.cut()
                 del self.stack[k:]
                 break
@@ -114,8 +119,8 @@ class _Lines(HTMLParser):
             if tag in BLOCK:
                 self.cut()
 
-    def _before(self, k: int) -> bool:
-        return self.stack[k - 1][1] if k else False
+    def _before(self, k: int) -> tuple[bool, frozenset]:
+        return self.stack[k - 1][1::2] if k else (False, frozenset())
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -130,24 +135,42 @@ class _Lines(HTMLParser):
             self.linked += len(data.strip())
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, int, int, bool]], list[bool]]:
-    """Lines of a page and, by container number, whether it is an article or main element."""
+def page_lines(html: str) -> _Lines:
+    """The parser after a page, with its lines and containers."""
     parser = _Lines()
     for k in range(0, len(html), PIECE):
         parser.feed(html[k : k + PIECE])
     parser.close()
     parser.cut()
-    return parser.lines, parser.kinds
+    return parser
+
 
+def raw_ratios(lines) -> np.ndarray:
+    """Characters outside links per tag of each line, furniture elements as 0."""
+    return np.array([0.0 if dropped else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, dropped, _ in lines])
 
-def smoothed_ratios(lines) -> np.ndarray:
-    """Characters outside links per tag of each line, furniture as 0, smoothed over neighbours."""
-    ratio = np.array([0.0 if dropped else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, dropped in lines])
+
+def smoothed_ratios(ratio: np.ndarray) -> np.ndarray:
+    """Ratios smoothed over neighbours."""
     reach = min(len(ratio), int(3 * SIGMA))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     return np.convolve(ratio, kernel / kernel.sum(), "full")[reach : reach + len(ratio)]
 
 
+def released_marks(lines, ratio: np.ndarray) -> set:
+    """Names that mark no furniture here: their elements hold most of the text above the threshold."""
+    smooth = smoothed_ratios(ratio)
+    high = smooth >= threshold_of(smooth)
+    total, held = 0, {}
+    for (text, _, linked, _, dropped, marks), up in zip(lines, high):
+        if up and not dropped:
+            n = max(0, len(text) - linked)
+            total += n
+            for m in marks:
+                held[m] = held.get(m, 0) + n
+    return {m for m, n in held.items() if 2 * n > total}
+
+
 def threshold_of(values: np.ndarray) -> float:
     """Middle between the centres of two clusters of the smoothed ratios."""
     low, high = values.min(), values.max()
@@ -165,27 +188,38 @@ def main_text(html: str | None) -> str:
     """The article's blocks joined by one line feed; empty where a page has none."""
     if not html:
         return ""
-    lines, kinds = page_lines(html)
+    page = page_lines(html)
+    lines, kinds = page.lines, page.kinds
     if not lines:
         return ""
-    ratio = smoothed_ratios(lines)
-    high = ratio >= threshold_of(ratio)
+    ratio = raw_ratios(lines)
+    released = released_marks(lines, ratio)
+    weak = np.array([not x[5] <= released for x in lines])
+    weight_of = np.where(weak, MARKED, 1.0)
+    ratio *= weight_of
+    smooth = smoothed_ratios(ratio) * weight_of
+    cut = threshold_of(smooth)
+    high = smooth >= cut
+    shown = ~np.array([x[4] for x in lines]) & (~weak | high & (ratio >= cut))
     weight: dict[int, float] = {}
-    for (text, _, _, container, dropped), r, up in zip(lines, ratio, high):
-        if not dropped:
-            weight[container] = weight.get(container, 0.0) + (r if up else 0.0) + 1e-6 * len(text)
+    for x, r, up, show in zip(lines, smooth, high, shown):
+        if show:
+            weight[x[3]] = weight.get(x[3], 0.0) + (r if up else 0.0) + 1e-6 * len(x[0])
     if not weight:
         return ""
-    named = {c for c in weight if kinds[c]}
-    if named:
-        inside = named
-    else:
-        best = max(weight, key=lambda c: (weight[c], -c))
-        span = [k for k, x in enumerate(lines) if x[3] == best and not x[4]]
-        share = {c for c in weight if weight[c] >= 0.2 * weight[best]}
-        span = [k for k, x in enumerate(lines) if x[3] in share and not x[4]] or span
-        return "\n".join(x[0] for x in lines[span[0] : span[-1] + 1] if not x[4])
-    return "\n".join(x[0] for x in lines if x[3] in inside and not x[4])
+    best = max(weight, key=lambda c: (weight[c] * (NAMED if kinds[c] else 1.0), -c))
+    if kinds[best]:
+        inside = {c for c in weight if kinds[c] and weight[c] >= SHARE * weight[best]}
+        around = set()  # what stands around the article, as a main element does
+        for c in inside:
+            while (c := page.above[c]) >= 0:
+                around.add(c)
+        # of other article and main elements the lines that are long themselves
+        keep = [x[3] in inside or kinds[x[3]] and up and (x[3] in around or own >= cut) for x, up, own in zip(lines, high, ratio)]
+        return "\n".join(x[0] for x, show, k in zip(lines, shown, keep) if show and k)
+    share = {c for c in weight if weight[c] >= SHARE * weight[best]}
+    span = [k for k, x in enumerate(lines) if x[3] in share and shown[k]]
+    return "\n".join(x[0] for x, show in zip(lines[span[0] : span[-1] + 1], shown[span[0] : span[-1] + 1]) if show)
 
 
 def extract_main_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

@@ -213,6 +213,26 @@ def test_main_text():
     assert ht.main_text(bare) == ht.main_text(PAGE)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post with-comments", "ad-free", "search-result", "social-story"])
+def test_class_words_do_not_drop_the_article(name):
+    paragraphs = [f"Paragraph {k} of the story has enough words to stand above what surrounds it on the page." for k in range(4)]
+    story = "".join(f"<p>{p}</p>" for p in paragraphs)
+    side = "<div class=sidebar><p>Side words</p></div>"
+    for tag in ("div", "article"):
+        assert ht.main_text(f"<body><nav><a href=x>Menu</a></nav><{tag} class='{name}'>{story}{side}</{tag}></body>") == "\n".join(paragraphs)
+    parts = "".join(f"<article class='{name}' id=n{k}><p>{p}</p></article>" for k, p in enumerate(paragraphs))
+    assert ht.main_text(f"<body>{parts}{side}</body>") == "\n".join(paragraphs)
+
+
+def test_article_elements_are_selected_by_ratio():
+    paragraphs = [f"Paragraph {k} of the story has enough words to stand above what surrounds it, and then some more words." for k in range(8)]
+    cards = "".join(f"<article><h3><a href=x>Card {k}</a></h3><p>Teaser {k}</p></article>" for k in range(5))
+    page = "<body><main><h1>Title</h1><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</article></main>{cards}</body>"
+    assert ht.main_text(page).split("\n")[-8:] == paragraphs and "Teaser" not in ht.main_text(page)
+    outside = "<body><article><p>Teaser</p></article><div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div></body>"
+    assert ht.main_text(outside).endswith("\n".join(paragraphs))
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "</div></div>", "<script>x", "<!-- a", "&#xD800;&bogus;", "<nav>only</nav>", "\x00"])
 def test_main_text_of_odd_pages(html):
     assert isinstance(ht.main_text(html), str)
