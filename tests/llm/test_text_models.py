@@ -150,11 +150,7 @@ def test_lm_base_matches_brute_force(spark, head):
     texts = [" ".join(rng.choice(["a", "B", "cc", "Dd", "é", "x" * 40], rng.integers(0, 30))) for _ in range(60)] + [None, "", "\tNew words\x0bhere ", "a a"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "a b"), (3, "a")], "doc_id long, text string")
     train = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)) != 0
-    old, lm.HEAD_WORDS = lm.HEAD_WORDS, head
-    try:
-        got = lm.score_texts(docs, train=train).collect()
-    finally:
-        lm.HEAD_WORDS = old
+    got = lm.score_texts(docs.withColumns({"score": F.lit("own"), "key": F.lit("own"), "block": F.lit("own")}), train=train, head_words=head, head_begun=head).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     count = Counter()
     for i, t in rows:
@@ -166,27 +162,94 @@ def test_lm_base_matches_brute_force(spark, head):
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
 
 
-def test_lm_probabilities_of_a_byte_sum_to_one():
-    """Every prefix's next symbols, the end included, have probabilities that sum to 1."""
-    texts = ["abab abba baba", "aab bba"] * 20
-    symbol = lm.choose_symbols(texts)
-    cells = np.zeros(int(lm.FIRST[-1]) * lm.SYMBOLS, np.float32)
-    s, starts, _ = lm.symbols_of(texts, symbol)
-    for base in lm.contexts_of(s, starts, lm._letters(symbol)):
-        np.add.at(cells, base.astype(np.int64) * lm.SYMBOLS + s, 1)
-    model = lm.fit_mixer(cells.reshape(-1, lm.SYMBOLS), symbol, texts)
-    probe = lm.MixingModel(np.arange(256).astype(np.uint8) % 64, model.odds, model.sure, model.weights)
-    last = [lm.log10_probability(["ab" + chr(k)], probe)[0] for k in range(33, 65)]
-    assert all(np.isfinite(last)) and all(x < 0 for x in last)
-    assert lm.log10_probability(["abab"], model)[0] > lm.log10_probability(["zzzz"], model)[0]
-
-
-def test_lm_context_does_not_see_the_present():
-    symbol = np.arange(256).astype(np.uint8) % 64
-    letter = lm._letters(symbol)
-    for a, b in (("abc d", "abc e"), ("abc d", "abc  "), ("abcd", "abc.")):
-        x, y = (lm.contexts_of(np.frombuffer(t.encode(), np.uint8) % 64, np.array([0, len(t)]), letter) for t in (a, b))
-        assert (x[:, -1] == y[:, -1]).all()
+def toy_model(seed=4):
+    """Random counters and weights over bytes 1 to 63 as symbols, three known begun words and one passage."""
+    rng = np.random.default_rng(seed)
+    n = int(lm.FIRST[-1])
+    symbol = (np.arange(256) % 64).astype(np.uint8)
+    m = lm.MixingModel(symbol, np.full(256, -2.0), rng.integers(-60, 60, n * 64).astype(np.int8), rng.integers(0, 4, n).astype(np.uint8), rng.normal(0.3, 0.2, (lm.GATES, lm.INPUTS)).astype(np.float32))
+    words = [b"abcd", b"abce", b"xyz"]
+    matrix = np.array([list(w.ljust(17, b"\0")) for w in words], np.uint8)
+    keys = np.unique(np.concatenate([k for _, _, k in lm.begun_keys(matrix, (matrix != 0).sum(1))]).view(np.int64))
+    known = lm.Lookup(keys, np.full(len(keys), 2), (rng.integers(1, 9, 2 * len(keys)) * 64 + rng.integers(1, 60, 2 * len(keys))).astype(np.int64))
+    tail = lm.Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return m, known, tail
+
+
+def one_window(raw: bytes, m):
+    data = np.frombuffer(raw + b"\0", np.uint8)
+    (w,) = lm.stretches_of(data, np.array([0, len(data)]), m.symbol)
+    return w
+
+
+def test_lm_probabilities_of_a_symbol_sum_to_one(monkeypatch):
+    """The 64 symbols that may follow a prefix, the end included, have probabilities that sum to 1, also where a passage foretells one."""
+    monkeypatch.setattr(lm, "ONE_IN", 1)
+    m, known, tail = toy_model()
+    start = b"\x01\x02abcd xyz abcd "
+    _, key = lm.looked_up(one_window(start, m))
+    for said in (b"abce xy", b"xyz"):
+        tail.passages = {int(k): (3, said) for k in key}
+        both = known.with_tail(tail)
+        for prefix in (b"", b"abc", start, start + said[:2], start + b"q"):
+            def logs(raw, size):
+                w = one_window(raw, m)
+                w.size = np.array([size])
+                return lm.code_online(*lm.predictions(w, m, both, np.zeros(1, bool)), w, m.weights, 0.02)[0][0]
+
+            after = [logs(prefix + bytes([k]), len(prefix) + 1) for k in range(1, 64)] + [logs(prefix, len(prefix) + 1)]
+            assert math.isclose(np.exp(after).sum(), np.exp(logs(prefix, len(prefix))), rel_tol=1e-4)
+
+
+def test_lm_matches_a_plain_mixer():
+    m, known, tail = toy_model(5)
+    both, text = known.with_tail(tail), "abcd abce xyz abc xyzabcd " * 60
+    got, size = lm.text_scores([text], np.zeros(1, bool), m, both, 0.01)
+    data, _ = lm.plain_bytes([text])
+    s, total, raw = m.symbol[data].astype(int), 0.0, bytes(data)
+    s[-1] = 0
+    w = one_window(raw[:-1], m)
+    ctx, (place, key) = lm.table_contexts(w), lm.begun_words(w)
+    row = dict(zip(place.tolist(), both.find(key).tolist()))
+    for i, sym in enumerate(s):
+        if i % lm.STRETCH == 0:
+            weights = m.weights.astype(float).copy()
+        r, node = row.get(i, 0), 1
+        for depth in range(lm.BITS):
+            bit = sym >> (5 - depth) & 1
+            x = np.array([*(m.odds[c[i] * 64 + node] for c in ctx), both.odds[r * 64 + node], 0]) / 16
+            g = (int(both.sure[r]) * 2 + int(m.sure[ctx[2][i]] >= 2)) * lm.BITS + depth
+            p = 1 / (1 + math.exp(-float(weights[g] @ x)))
+            total += math.log10(p if bit else 1 - p)
+            weights[g] += 0.01 * (bit - p) * x
+            node = node * 2 + bit
+    assert size[0] == len(s) and math.isclose(got[0], total, rel_tol=1e-4)
+
+
+def test_lm_windows_do_not_matter(monkeypatch):
+    m, known, tail = toy_model(6)
+    both, texts = known.with_tail(tail), ["abcd xyz " * 700, "", "abce " * 300, "x" * 3000]
+    whole, _ = lm.text_scores(texts, np.ones(4, bool), m, both)
+    monkeypatch.setattr(lm, "WINDOW", 1500)
+    assert np.allclose(lm.text_scores(texts, np.ones(4, bool), m, both)[0], whole)
+
+
+def test_lm_does_not_depend_on_the_deal_and_tells_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    twice = docs.where("doc_id % 5 = 0 AND length(text) > 500").withColumn("doc_id", F.col("doc_id") + 100_000)
+    docs, train = docs.unionByName(twice), F.col("doc_id") % 10 != 3
+    one, many = ({r.doc_id: r for r in lm.score_texts(docs.repartition(k), train=train).collect()} for k in (1, 7))
+    assert one.keys() == many.keys()
+    assert all(math.isclose(one[i].score, many[i].score, rel_tol=1e-6) and one[i].base_score == pytest.approx(many[i].base_score) for i in one)
+    copied = [i for i in one if i % 5 == 0 and i + 100_000 in one]
+    single = [i for i in one if i % 5 and one[i].n_tokens > 80]
+    assert np.median([one[i].bits_per_byte for i in copied]) < 0.9 * np.median([one[i].bits_per_byte for i in single])
+
+
+def test_lm_query_beats_the_base(spark):
+    got = QUERIES["op8_lm_scoring"](spark, SF).toPandas()
+    new = got[got.held_out]
+    assert len(got) == 1000 and new.score.sum() > new.base_score.sum() and got.bits_per_byte.between(0, 20).all()
 
 
 def test_lm_plain_bytes():
