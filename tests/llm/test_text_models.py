@@ -163,7 +163,7 @@ def test_lm_base_matches_brute_force(spark, head):
 
 
 def toy_model(seed=4):
-    """Random counters and weights over bytes 1 to 63 as symbols, three known begun words and one passage."""
+    """Random counters and weights over bytes 1 to 63 as symbols, three known begun words."""
     rng = np.random.default_rng(seed)
     n = int(lm.FIRST[-1])
     symbol = (np.arange(256) % 64).astype(np.uint8)
@@ -171,9 +171,8 @@ def toy_model(seed=4):
     words = [b"abcd", b"abce", b"xyz"]
     matrix = np.array([list(w.ljust(17, b"\0")) for w in words], np.uint8)
     keys = np.unique(np.concatenate([k for _, _, k in lm.begun_keys(matrix, (matrix != 0).sum(1))]).view(np.int64))
-    known = lm.Lookup(keys, np.full(len(keys), 2), (rng.integers(1, 9, 2 * len(keys)) * 64 + rng.integers(1, 60, 2 * len(keys))).astype(np.int64))
-    tail = lm.Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return m, known, tail
+    known = lm.Begun(keys, np.full(len(keys), 2), (rng.integers(1, 9, 2 * len(keys)) * 64 + rng.integers(1, 60, 2 * len(keys))).astype(np.int64))
+    return m, known
 
 
 def one_window(raw: bytes, m):
@@ -185,40 +184,39 @@ def one_window(raw: bytes, m):
 def test_lm_probabilities_of_a_symbol_sum_to_one(monkeypatch):
     """The 64 symbols that may follow a prefix, the end included, have probabilities that sum to 1, also where a passage foretells one."""
     monkeypatch.setattr(lm, "ONE_IN", 1)
-    m, known, tail = toy_model()
+    m, known = toy_model()
     start = b"\x01\x02abcd xyz abcd "
     _, key = lm.looked_up(one_window(start, m))
     for said in (b"abce xy", b"xyz"):
-        tail.passages = {int(k): (3, said) for k in key}
-        both = known.with_tail(tail)
+        passages = {int(k): (3, said) for k in key}
         for prefix in (b"", b"abc", start, start + said[:2], start + b"q"):
             def logs(raw, size):
                 w = one_window(raw, m)
                 w.size = np.array([size])
-                return lm.code_online(*lm.predictions(w, m, both, np.zeros(1, bool)), w, m.weights, 0.02)[0][0]
+                return lm.code_online(*lm.predictions(w, m, known, passages, np.zeros(1, bool)), w, m.weights, 0.02)[0][0]
 
             after = [logs(prefix + bytes([k]), len(prefix) + 1) for k in range(1, 64)] + [logs(prefix, len(prefix) + 1)]
             assert math.isclose(np.exp(after).sum(), np.exp(logs(prefix, len(prefix))), rel_tol=1e-4)
 
 
 def test_lm_matches_a_plain_mixer():
-    m, known, tail = toy_model(5)
-    both, text = known.with_tail(tail), "abcd abce xyz abc xyzabcd " * 60
-    got, size = lm.text_scores([text], np.zeros(1, bool), m, both, 0.01)
+    m, known = toy_model(5)
+    text = "abcd abce xyz abc xyzabcd " * 60
+    got, size = lm.text_scores([text], np.zeros(1, bool), m, known, {}, 0.01)
     data, _ = lm.plain_bytes([text])
     s, total, raw = m.symbol[data].astype(int), 0.0, bytes(data)
     s[-1] = 0
     w = one_window(raw[:-1], m)
     ctx, (place, key) = lm.table_contexts(w), lm.begun_words(w)
-    row = dict(zip(place.tolist(), both.find(key).tolist()))
+    row = dict(zip(place.tolist(), known.find(key).tolist()))
     for i, sym in enumerate(s):
         if i % lm.STRETCH == 0:
             weights = m.weights.astype(float).copy()
         r, node = row.get(i, 0), 1
         for depth in range(lm.BITS):
             bit = sym >> (5 - depth) & 1
-            x = np.array([*(m.odds[c[i] * 64 + node] for c in ctx), both.odds[r * 64 + node], 0]) / 16
-            g = (int(both.sure[r]) * 2 + int(m.sure[ctx[2][i]] >= 2)) * lm.BITS + depth
+            x = np.array([*(m.odds[c[i] * 64 + node] for c in ctx), known.odds[r * 64 + node], 0]) / 16
+            g = (int(known.sure[r]) * 2 + int(m.sure[ctx[-1][i]] >= 2)) * lm.BITS + depth
             p = 1 / (1 + math.exp(-float(weights[g] @ x)))
             total += math.log10(p if bit else 1 - p)
             weights[g] += 0.01 * (bit - p) * x
@@ -227,11 +225,11 @@ def test_lm_matches_a_plain_mixer():
 
 
 def test_lm_windows_do_not_matter(monkeypatch):
-    m, known, tail = toy_model(6)
-    both, texts = known.with_tail(tail), ["abcd xyz " * 700, "", "abce " * 300, "x" * 3000]
-    whole, _ = lm.text_scores(texts, np.ones(4, bool), m, both)
+    m, known = toy_model(6)
+    texts = ["abcd xyz " * 700, "", "abce " * 300, "x" * 3000]
+    whole, _ = lm.text_scores(texts, np.ones(4, bool), m, known, {})
     monkeypatch.setattr(lm, "WINDOW", 1500)
-    assert np.allclose(lm.text_scores(texts, np.ones(4, bool), m, both)[0], whole)
+    assert np.allclose(lm.text_scores(texts, np.ones(4, bool), m, known, {})[0], whole)
 
 
 def test_lm_does_not_depend_on_the_deal_and_tells_copies(spark):
