@@ -1,21 +1,23 @@
 """Main text of raw web pages by text-to-tag ratios over standard-library parser events.
 
 The page is fed to ``html.parser`` in pieces. Block elements cut its text into lines; each
-line knows how many tags and how much link text it has, its container, and whether an
-ancestor marks it as page furniture. The ratio of text to tags per line is smoothed by a
-Gaussian, thresholded by two clusters, and the container that holds most of the ratio above
-the threshold is the article. Inside the article every unmarked line is kept, so that a
+line knows how many tags and how much link text it has, its container, and what its ancestors
+say of it. The ratio of text to tags per line, weighed by the ancestors, is smoothed by a
+Gaussian and cut by two clusters; containers that hold a share of the ratio above the threshold
+are the content regions. Inside a region every line without a furniture mark is kept, so that a
 short paragraph between long ones is not lost.
 
-Words of a class, id or role are weights, no verdicts: elements of one such name that
-together hold most of the page's text above the threshold are not marked at all, and a line
-of another one stays if its weighed ratio is above the threshold. Article and main elements
-weigh more than others, and each must hold its share of the ratio.
+Elements and words of a class, id or role are weights, no verdicts: elements of one such name
+that together hold almost all of the page's plain text are not marked at all, a marked
+line stays if its own weighed ratio and the smoothed one are above the threshold, and article
+and main elements only weigh more than others. What is never shown (scripts, styles, forms'
+controls, hidden elements) is no text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,7 +31,9 @@ from .common import columns_with
 # Fixed values of HTML: elements without content, block elements, furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head script style noscript template nav footer header aside form menu button select textarea iframe object svg canvas audio video dialog".split())
+UNSHOWN = frozenset("head script style noscript template button select textarea iframe object svg canvas audio video dialog".split())
+#: Elements that weigh as furniture.
+MARKING = frozenset("nav footer header aside form menu".split())
 CONTENT = frozenset("article main".split())
 #: Words of a class, id or role that mark page furniture.
 FURNITURE = frozenset(
@@ -42,33 +46,42 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 PIECE = 1 << 16
 SIGMA = 1.5
-#: Weights of lines with a marking class word (before and after smoothing, so that they neither
-#: lend to nor borrow from their neighbours) and of article and main elements.
-MARKED, NAMED = 0.25, 2.0
+#: Weights of lines in a marking element, of lines with a marking class word (before and after smoothing,
+#: so that they neither lend to nor borrow from their neighbours), and of article and main elements.
+FRAMED, MARKED, NAMED = 0.1, 0.25, 2.0
+#: Share of the plain text above which a name's elements are no furniture.
+RELEASED = 0.8
 #: Share of the best container's ratio that makes another one part of the article.
 SHARE = 0.2
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines: (text, tags, link characters, container number, furniture, marks)."""
+    """Parser events to lines: (text, tags, link characters, container number, state, marks); the
+    state is 0 for plain lines, 1 in a marking element, 2 where nothing is shown."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, frozenset]] = []
-        self.lines: list[tuple[str, int, int, int, bool, frozenset]] = []
+        self.stack: list[tuple[str, int, int, frozenset]] = []
+        self.open: Counter[str] = Counter()  # open elements by name, so that stray end tags cost nothing
+        self.lines: list[tuple[str, int, int, int, int, frozenset]] = []
         self.kinds: list[bool] = [False]  # of each container: whether it is an article or main element
-        self.above: list[int] = [-1]  # of each container: the one around it
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
-    def _state(self) -> tuple[bool, int, frozenset]:
-        return self.stack[-1][1:] if self.stack else (False, 0, frozenset())
+    def _state(self) -> tuple[int, int, frozenset]:
+        return self.stack[-1][1:] if self.stack else (0, 0, frozenset())
+
+    def _close(self, k: int) -> None:
+        """Close the elements from place ``k`` of the stack on."""
+        for x in self.stack[k:]:
+            self.open[x[0]] -= 1
+        del self.stack[k:]
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        dropped, container, marks = self._state()
+        state, container, marks = self._state()
         if text:
-            self.lines.append((text, self.tags, self.linked, container, dropped, marks))
+            self.lines.append((text, self.tags, self.linked, container, state, marks))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -79,28 +92,30 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag == "body":
             while self.stack and self.stack[-1][0] != "html":
-                self.stack.pop()
-        elif tag in BLOCK and self.stack and self.stack[-1][0] != tag:
+                self._close(len(self.stack) - 1)
+        elif tag in BLOCK and self.open["p"] and self.stack[-1][0] != tag:
             for k in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph
                 if self.stack[k][0] == "p":
-                    del self.stack[k:]
+                    self._close(k)
                     break
                 if self.stack[k][0] in BLOCK:
                     break
         elif tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+            self._close(len(self.stack) - 1)
         if tag in VOID:
             return
-        dropped, container, marks = self._state()
+        state, container, marks = self._state()
         if tag not in ("html", "body"):
-            dropped = dropped or tag in DROPPED or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            if tag in UNSHOWN or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+                state = 2
+            state = max(state, int(tag in MARKING))
             marks |= self._marks(tag, attrs)
         named = tag in CONTENT or any(k == "role" and v == "main" for k, v in attrs)
         if named or tag in ("div", "section", "td") and not self.kinds[container]:
             self.kinds.append(named)
-            self.above.append(container)
             container = len(self.kinds) - 1
-        self.stack.append((tag, dropped, container, marks))
+        self.stack.append((tag, state, container, marks))
+        self.open[tag] += 1
 
     @staticmethod
     def _marks(tag, attrs) -> frozenset:
@@ -109,18 +124,17 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if tag in BLOCK or self.stack[k][1::2] != self._before(k):
-                    self.cut()
-                del self.stack[k:]
-                break
-        else:
+        if not self.open[tag]:
             if tag in BLOCK:
                 self.cut()
-
-    def _before(self, k: int) -> tuple[bool, frozenset]:
-        return self.stack[k - 1][1::2] if k else (False, frozenset())
+            return
+        k = len(self.stack) - 1
+        while self.stack[k][0] != tag:
+            k -= 1
+        outer = self.stack[k - 1][1::2] if k else (0, frozenset())
+        if tag in BLOCK or self.stack[k][1::2] != outer:
+            self.cut()
+        self._close(k)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,8 +160,8 @@ def page_lines(html: str) -> _Lines:
 
 
 def raw_ratios(lines) -> np.ndarray:
-    """Characters outside links per tag of each line, furniture elements as 0."""
-    return np.array([0.0 if dropped else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, dropped, _ in lines])
+    """Characters outside links per tag of each line; what is not shown has none."""
+    return np.array([0.0 if state == 2 else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, state, _ in lines])
 
 
 def smoothed_ratios(ratio: np.ndarray) -> np.ndarray:
@@ -157,18 +171,16 @@ def smoothed_ratios(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(ratio, kernel / kernel.sum(), "full")[reach : reach + len(ratio)]
 
 
-def released_marks(lines, ratio: np.ndarray) -> set:
-    """Names that mark no furniture here: their elements hold most of the text above the threshold."""
-    smooth = smoothed_ratios(ratio)
-    high = smooth >= threshold_of(smooth)
+def released_marks(lines) -> set:
+    """Names that mark no furniture here: their elements hold almost all of the page's plain text outside links."""
     total, held = 0, {}
-    for (text, _, linked, _, dropped, marks), up in zip(lines, high):
-        if up and not dropped:
+    for text, _, linked, _, state, marks in lines:
+        if not state:
             n = max(0, len(text) - linked)
             total += n
             for m in marks:
                 held[m] = held.get(m, 0) + n
-    return {m for m, n in held.items() if 2 * n > total}
+    return {m for m, n in held.items() if n > RELEASED * total}
 
 
 def threshold_of(values: np.ndarray) -> float:
@@ -193,33 +205,29 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratio = raw_ratios(lines)
-    released = released_marks(lines, ratio)
-    weak = np.array([not x[5] <= released for x in lines])
-    weight_of = np.where(weak, MARKED, 1.0)
+    released = released_marks(lines)
+    state, marked = np.array([x[4] for x in lines]), np.array([not x[5] <= released for x in lines])
+    weight_of = np.where(state == 1, FRAMED, 1.0) * np.where(marked, MARKED, 1.0)
     ratio *= weight_of
     smooth = smoothed_ratios(ratio) * weight_of
     cut = threshold_of(smooth)
     high = smooth >= cut
-    shown = ~np.array([x[4] for x in lines]) & (~weak | high & (ratio >= cut))
-    weight: dict[int, float] = {}
+    shown = (state < 2) & ((weight_of == 1) | high & (ratio >= cut))
+    mass: dict[int, float] = {}  # of each container: its ratio above the threshold
     for x, r, up, show in zip(lines, smooth, high, shown):
-        if show:
-            weight[x[3]] = weight.get(x[3], 0.0) + (r if up else 0.0) + 1e-6 * len(x[0])
-    if not weight:
+        if show and up:
+            mass[x[3]] = mass.get(x[3], 0.0) + r * (NAMED if kinds[x[3]] else 1.0)
+    least = SHARE * max(mass.values(), default=0.0)
+    regions = {c for c, m in mass.items() if m >= least}
+    keep = shown & np.array([x[3] in regions for x in lines])
+    if not keep.any():
         return ""
-    best = max(weight, key=lambda c: (weight[c] * (NAMED if kinds[c] else 1.0), -c))
-    if kinds[best]:
-        inside = {c for c in weight if kinds[c] and weight[c] >= SHARE * weight[best]}
-        around = set()  # what stands around the article, as a main element does
-        for c in inside:
-            while (c := page.above[c]) >= 0:
-                around.add(c)
-        # of other article and main elements the lines that are long themselves
-        keep = [x[3] in inside or kinds[x[3]] and up and (x[3] in around or own >= cut) for x, up, own in zip(lines, high, ratio)]
-        return "\n".join(x[0] for x, show, k in zip(lines, shown, keep) if show and k)
-    share = {c for c in weight if weight[c] >= SHARE * weight[best]}
-    span = [k for k, x in enumerate(lines) if x[3] in share and shown[k]]
-    return "\n".join(x[0] for x, show in zip(lines[span[0] : span[-1] + 1], shown[span[0] : span[-1] + 1]) if show)
+    # between a region's lines, plain lines of the containers inside it; and lines that are long themselves
+    places = np.flatnonzero(keep)
+    named = any(kinds[c] for c in regions)
+    inside = np.zeros(len(lines), bool)
+    inside[places[0] : places[-1] + 1] = not named
+    return "\n".join(x[0] for x, k, show, i in zip(lines, keep, shown, inside) if k or show and i)
 
 
 def extract_main_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -294,6 +295,41 @@ def test_article_elements_are_selected_by_ratio():
     assert ht.main_text(outside).endswith("\n".join(paragraphs))
 
 
+def test_ratios_decide_the_regions(monkeypatch):
+    """Without article elements or class words the ratios choose; with constant ratios the page comes out wrong."""
+    words = "Paragraph {} of the story has enough words to stand above what surrounds it on the page."
+    story = [words.format(k) for k in range(5)]
+    links = "".join(f"<p><i><b>Item</b></i> <a href=x>{k} more of this</a> <i>-</i></p>" for k in range(12))
+    page = f"<body><div>{links}</div><div>" + "".join(f"<p>{p}</p>" for p in story[:2]) + "<p>Short one.</p>" + "".join(f"<p>{p}</p>" for p in story[2:]) + f"</div><div class='content'>{links}</div></body>"
+    want = "\n".join([*story[:2], "Short one.", *story[2:]])
+    assert ht.main_text(page) == want
+    marked = page.replace("<div>", "<div class='ad-free header'>", 1)  # misleading names elsewhere change nothing
+    assert ht.main_text(marked) == want
+    monkeypatch.setattr(ht, "raw_ratios", lambda lines: np.ones(len(lines)))
+    assert ht.main_text(page) != want
+
+
+def test_smoothing_and_clusters_match_brute_force():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 7, 40):
+        x = rng.exponential(10, n)
+        reach = min(n, int(3 * ht.SIGMA))
+        g = {d: math.exp(-0.5 * (d / ht.SIGMA) ** 2) for d in range(-reach, reach + 1)}
+        want = [sum(x[i + d] * w for d, w in g.items() if 0 <= i + d < n) / sum(g.values()) for i in range(n)]
+        assert np.allclose(ht.smoothed_ratios(x), want)
+        low, high = min(want), max(want)
+        for _ in range(50):
+            a, b = [v for v in want if v <= (low + high) / 2], [v for v in want if v > (low + high) / 2]
+            low, high = sum(a) / len(a) if a else low, sum(b) / len(b) if b else high
+        assert math.isclose(ht.threshold_of(np.array(want)), (low + high) / 2, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("html", ["<b>x " * 16_000 + "</i>" * 16_000, "<div>" * 16_000 + "deep", "<p><b>x " * 16_000, "x " * 500_000])
+def test_main_text_of_deep_and_long_pages(html):
+    began = time.process_time()
+    assert isinstance(ht.main_text(html), str) and time.process_time() - began < 3
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "</div></div>", "<script>x", "<!-- a", "&#xD800;&bogus;", "<nav>only</nav>", "\x00"])
 def test_main_text_of_odd_pages(html):
     assert isinstance(ht.main_text(html), str)
