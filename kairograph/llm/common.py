@@ -15,10 +15,12 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for written tables: below ``spark.checkpoint.dir`` where that is
-    set (shared by all machines), else a temporary folder, as in local tests."""
+    """A new folder for written tables: below ``spark.checkpoint.dir`` where that is set (shared by
+    all machines); a local session without it, as in tests, gets a temporary one, a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="kairograph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/kairograph-{uuid.uuid4().hex}"

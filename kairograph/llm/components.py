@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Nodes of more edges than this, and of more than this share of all edges, meet their edges by a broadcast;
+#: there are never more than twice the share's inverse of them.
+HUB_EDGES, HUB_SHARE = 256, 1 / 50_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: larger neighbours of u move to u's least neighbour. Small star: the others do."""
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Large star: larger neighbours of u move to u's least neighbour. Small star: the others do.
+
+    ``n`` is the number of edges. Edges of hubs stay where they are and their few hubs are
+    broadcast, so no task gathers the edges of one node."""
     turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     e = edges.unionByName(turned) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    j = e.join(least, "u")
+    least = materialize(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c"))
+    many = F.col("c") > max(HUB_EDGES, int(n * HUB_SHARE))
+    hubs = F.broadcast(least.where(many).select("u", "m"))  # at most 2 / HUB_SHARE rows
+    rest = e.join(hubs.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u")
+    j = e.join(hubs, "u").unionByName(rest)
     if large:
         return j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     return j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -22,15 +32,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) of every node of ``edges`` (u long, v long); the component is its least node.
 
-    Self-loops and repeated edges change nothing; nulls are dropped; no edges give no rows.
-    Every round is written, so lost executors never replay the whole chain; a node with very
-    many neighbours is only ever summed by partial minima and joined by a splittable join."""
+    Self-loops and repeated edges change nothing; nulls are dropped; no edges give no rows. Every
+    round is written, so lost executors never replay the whole chain. Rounds grow with the
+    logarithm of the nodes; labels that are not final after ``max_rounds`` raise."""
     e = materialize(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
     before = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before or not now[0]:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"components are not final after {max_rounds} rounds")
         before = now
-        e = materialize(_star(_star(e, True), False))
+        e = materialize(_star(materialize(_star(e, True, now[0])), False, now[0]))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -47,6 +47,8 @@ LEAF, FAN_OUT = 32, 8
 #: Characters of texts described together.
 GROUP_CHARS = 1 << 18
 _LEN_BITS, _HASH_BITS = 8, 55
+#: Bits of a class key; sets that share one are told apart by 64 further bits.
+KEY_BITS, MAX_CLASHES = 64, 100_000
 #: Rounds of declaring frequent shingles.
 DEALS = 2
 
@@ -116,16 +118,21 @@ def _token(hashes: np.ndarray, length: np.ndarray) -> np.ndarray:
     return ((np.uint64(255) - np.minimum(length, 255).astype(np.uint64)) << np.uint64(_HASH_BITS) | hashes >> np.uint64(64 - _HASH_BITS)).view(np.int64)
 
 
-def class_keys(token: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One 64-bit key per set, independent of the order of its tokens."""
+def class_keys(token: np.ndarray, at: np.ndarray, clashes: np.ndarray | None = None, bits: int = KEY_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys per set, independent of the order of its tokens. The first names its class;
+    where ``clashes`` tells that different sets share one, the second is mixed in."""
     n = np.diff(at)
-    out = np.zeros(len(n), np.uint64)
+    out, other = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     if len(token):
         m = mix64(token.view(np.uint64))
         full = n > 0
         total, xor = np.add.reduceat(m, at[:-1][full]), np.bitwise_xor.reduceat(m, at[:-1][full])
-        out[full] = mix64(mix64(total ^ n[full].astype(np.uint64)) + xor)
-    return out.view(np.int64)
+        out[full] = mix64(mix64(total ^ n[full].astype(np.uint64)) + xor) >> np.uint64(64 - bits)
+        other[full] = mix64(np.add.reduceat(mix64(m ^ np.uint64(0xA0761D6478BD642F)), at[:-1][full]) + xor)
+        if clashes is not None and len(clashes):
+            shared = np.isin(out.view(np.int64), clashes)
+            out[shared] = mix64(out[shared] ^ other[shared])
+    return out.view(np.int64), other.view(np.int64)
 
 
 def packed_set(tokens: np.ndarray) -> bytes:
@@ -170,8 +177,9 @@ def _may_link(sim: Similarity):
     return run
 
 
-def _describe(sim: Similarity, frequent, payload: str):
-    """mapInPandas body: (id, text) to (doc_id, n, cls) with the prefix or the whole set as payload."""
+def _describe(sim: Similarity, frequent, payload: str, clashes: np.ndarray | None = None):
+    """mapInPandas body: (id, text) to (doc_id, n, cls, chk) with the prefix or the whole set as payload."""
+    bits = KEY_BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot = frequent.value if frequent is not None else None
@@ -184,11 +192,12 @@ def _describe(sim: Similarity, frequent, payload: str):
                 n = np.diff(at)
                 if payload == "family":  # of a document's rows only those of the wanted class
                     part = pdf.iloc[lo - len(group) : lo]
-                    cls = class_keys(token, at)
+                    cls, _ = class_keys(token, at, clashes, bits)
                     keep = np.flatnonzero(cls == part["want"].to_numpy())
                     yield pd.DataFrame({"cls": cls[keep], "fam": part["fam"].to_numpy()[keep], "fits": part["fits"].to_numpy()[keep], "tokens": [packed_set(token[at[i] : at[i + 1]]) for i in keep]})
                     continue
-                out = pd.DataFrame({"doc_id": ids.to_numpy(), "n": n, "cls": class_keys(token, at)})
+                cls, chk = class_keys(token, at, clashes, bits)
+                out = pd.DataFrame({"doc_id": ids.to_numpy(), "n": n, "cls": cls, "chk": chk})
                 if payload == "prefix":
                     out["prefix"] = [token[a : a + p] for a, p in zip(at, np.where(n > 0, sim.prefix(n), 0))]
                     out["sig"] = [signature(token[a:b]) for a, b in zip(at, at[1:])]
@@ -408,10 +417,19 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_co
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs, nameless = given.where("doc_id IS NOT NULL"), given.where("doc_id IS NULL")
-    form = "doc_id long, n long, cls long, prefix array<long>, sig binary"
-    described = materialize(docs.mapInPandas(_describe(sim, None, "prefix"), form))
-    known = described.where("n > 0")
-    reps = materialize(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("sig", "doc_id").alias("sig")))
+    form = "doc_id long, n long, cls long, chk long, prefix array<long>, sig binary"
+    described, clashes = materialize(docs.mapInPandas(_describe(sim, None, "prefix"), form)), None
+    while True:  # once, unless different sets share a key: a few of 10^10
+        known = described.where("n > 0")
+        reps = known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("sig", "doc_id").alias("sig"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+        reps = materialize(reps)
+        shared = reps.where("c0 <> c1").select("cls").limit(MAX_CLASHES + 1).toArrow()["cls"].to_numpy()
+        if not len(shared):
+            break
+        if clashes is not None or len(shared) > MAX_CLASHES:
+            raise RuntimeError("class keys clash")
+        clashes = shared
+        described = materialize(docs.mapInPandas(_describe(sim, None, "prefix", clashes), form))
 
     # all prefixes follow one order after every round: whatever set has a fresh shingle is dealt anew
     dealt, frequent = reps.select("cls", "n", "prefix"), np.zeros(0, np.int64)
@@ -422,7 +440,7 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_co
         frequent = np.union1d(frequent, fresh)
         hits = _rows(dealt).join(F.broadcast(spark.createDataFrame(pd.DataFrame({"token": fresh}))), "token").select("cls").distinct()
         again = materialize(hits.join(reps.select("cls", "rep"), "cls"))
-        anew = docs.join(_few(again.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInPandas(_describe(sim, spark.sparkContext.broadcast(frequent), "prefix"), form)
+        anew = docs.join(_few(again.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInPandas(_describe(sim, spark.sparkContext.broadcast(frequent), "prefix", clashes), form)
         anew = materialize(anew.select("cls", "n", "prefix").join(_few(again.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]))
         dealt = dealt.join(_few(again.select("cls")), "cls", "left_anti").unionByName(anew)
     rows = _rows(dealt)
@@ -446,7 +464,7 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_co
     ids = materialize(ids.join(size.select("fam", fits.alias("fits")), "fam"))
 
     wanted = ids.select("doc_id", F.col("cls").alias("want"), "fam", "fits")
-    whole = docs.join(_few(wanted), "doc_id").mapInPandas(_describe(sim, None, "family"), "cls long, fam long, fits boolean, tokens binary")
+    whole = docs.join(_few(wanted), "doc_id").mapInPandas(_describe(sim, None, "family", clashes), "cls long, fam long, fits boolean, tokens binary")
     whole = materialize(whole)
     links = whole.where("fits").select("fam", "cls", "tokens").repartition("fam").sortWithinPartitions("fam", "cls").mapInPandas(_join_families(sim), "u long, v long")
     large = ids.where("NOT fits").select("cls")
@@ -462,7 +480,7 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, id_co
     named = joined.join(least, "component", "left").select("cls", F.coalesce("low", "rep").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     out = out.join(named, "cls", "left").select("doc_id", "n_shingles", "component_id")
-    lone = nameless.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text").mapInPandas(_describe(sim, None, "tokens"), "doc_id long, n long, cls long, tokens binary")
+    lone = nameless.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text").mapInPandas(_describe(sim, None, "tokens"), "doc_id long, n long, cls long, chk long, tokens binary")
     nothing = F.lit(None).cast("long")
     return _same_id(out).unionByName(lone.select(nothing.alias("doc_id"), F.col("n").alias("n_shingles"), nothing.alias("component_id")))
 
@@ -476,9 +494,15 @@ def _same_id(out: DataFrame) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame, sim: Similarity = Similarity(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the least of their group, each once, with their own columns;
-    rows with a null id are kept as they are."""
+    """The documents whose id is the least of their group, each once, with their own columns; of
+    rows that share such an id the one with the least text stays; rows with a null id are kept as
+    they are; an empty table stays empty."""
     comp = jaccard_components(docs, sim, id_col=id_col, text_col=text_col)
-    first = comp.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    comp = materialize(comp.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    once, more = (comp.where(c).select(F.col("doc_id").alias(id_col)) for c in ("rows = 1", "rows > 1"))
+    kept = docs.join(_few(once), id_col, "left_semi")
+    if more.limit(1).count():
+        again = docs.join(_few(more), id_col, "left_semi")
+        order = F.row_number().over(W.partitionBy(id_col).orderBy(text_col, F.xxhash64(*docs.columns)))
+        kept = kept.unionByName(again.withColumn("_place", order).where("_place = 1").drop("_place"))
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

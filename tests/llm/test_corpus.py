@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kairograph.llm import ann, audio, jaccard, mixing, packing
+from kairograph.llm import ann, audio, components, jaccard, mixing, packing
 from kairograph.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -146,6 +146,41 @@ def test_settled_and_redealt_sets_meet(spark, monkeypatch):
     assert got == brute_components(rows, 1, 80, 100) and got[2] == (10, 1)
 
 
+def test_frequent_tokens_of_two_rounds_lose_no_link(spark):
+    """Two documents that share 18 of 20 shingles, with 70 others that make their long words frequent one after the other."""
+    wa, wf, h = "a" * 20, "f" * 20, "h" * 10
+    common = ["s" * 8 + str(k) for k in range(2, 5)] + [f"t{k}" for k in range(17)]
+    rows = [(1000, " ".join([wa, *common])), (1001, " ".join([wf, *common]))]
+    rows += [(k, " ".join([h, wf, *common[:3], *(f"o{k}x{j}" for j in range(16))])) for k in range(70)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for sim in (jaccard.Similarity(1, 90, 100), jaccard.Similarity(3, 90, 100)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d, sim).collect()}
+        assert got == brute_components(rows, sim.k, sim.num, sim.den)
+
+
+def test_clashing_class_keys_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "KEY_BITS", 4)
+    rows = near_copies(np.random.default_rng(11))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d, jaccard.Similarity(3, 90, 100)).collect()}
+    assert got == brute_components(rows, 3, 90, 100)
+
+
+def test_components_with_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 3)
+    rng = np.random.default_rng(12)
+    edges = [(7, k) for k in range(100, 140)] + [(k, k + 1) for k in range(200, 260)] + [(139, 230), (5, 5), (None, 3)] + [tuple(map(int, rng.integers(300, 400, 2))) for _ in range(60)]
+    label = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+    for _ in label:
+        for u, v in edges:
+            if u in label and v in label and u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    d = spark.createDataFrame(edges, "u long, v long")
+    assert {r.node: r.component for r in components.connected_components(d).collect()} == label
+    with pytest.raises(RuntimeError):
+        components.connected_components(d, max_rounds=1)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     d = spark.createDataFrame([(5, "a b c d"), (5, "x y z"), (6, "a b c d"), (7, "x y z"), (None, "a b c d"), (8, None)], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(d, jaccard.Similarity(3, 90, 100)).collect()]
@@ -199,6 +234,37 @@ def test_alignment_matches_brute_force():
     assert got == want and (33, 3) in got
 
 
+def test_packed_integers_match_plain_sums():
+    rng = np.random.default_rng(10)
+    image = rng.random((40, 12)).astype(np.float32)
+    got = audio.packed(image)
+    for place in (0, 3, 24):
+        want = 0
+        for kind, y, h, w in audio.FILTERS:
+            first, second = (sum(float(image[place + a : place + b, c:d].astype(float).sum()) for a, c, b, d in part) for part in audio._halves(kind, y, h, w))
+            value = np.log1p(round(first, 6)) - np.log1p(round(second, 6))
+            want = want << 2 | int(audio.GRAY[sum(round(value, 6) >= c for c in audio.CUTS)])
+        assert int(got[place]) == want
+    assert len(got) == 40 - audio.SPAN + 1 and not len(audio.packed(image[: audio.SPAN - 1]))
+
+
+def test_alignment_query_matches_brute_force(spark):
+    """Every recording of the smallest tables with every fiftieth one, over one shard and over many."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    prints = audio.fingerprint_recordings(rows, id_col="vec_id", media_col="embedding", decode=audio.tones_of_vector)
+    raw = {r.rec_id: np.frombuffer(r.fingerprint, "<u4") for r in prints.collect()}
+    want = {}
+    for i, p in raw.items():
+        hits = []
+        for q in sorted(raw):
+            if q % 50 == 0 and not np.array_equal(raw[q], p):
+                hits += [(e, q, o) for _, o, e in audio.Shard([p]).aligned(raw[q])]
+        want[i] = (len(hits), *(min(hits)[1:] if hits else (None, None)))
+    for shard in (None, 7):
+        got = {r.rec_id: (r.n_links, r.query_id, r.offset) for r in audio.align_recordings(prints, F.col("rec_id") % 50 == 0, shard=shard, block=3).collect()}
+        assert got == want
+
+
 def test_fingerprint_query_keeps_all_rows(spark):
     assert QUERIES["op9_media_fingerprints"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
 
@@ -237,6 +303,24 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.keep_mixed(d.limit(0)).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, a clashing extra column and an empty table pass every stage."""
+    import corpus_pipeline as cp
+    from kairograph.llm.common import materialize
+
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", None, 0), (None, "no id but words here", "en", "web", 20), (9003, "12 34", None, "web", 5), (9003, "12 34", None, "web", 5), (9004, "word " * 60_000, "en", "web", 300_000)], some.schema)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (some.unionByName(odd).withColumn("score", F.lit("own")), some.limit(0)):
+        now = materialize(docs)
+        for name, stage in cp.STAGES:
+            now = materialize(stage(spark, now, str(tmp_path)))
+            if name != "packing":
+                assert now.columns == docs.columns
+        if not docs.limit(1).count():
+            assert now.count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from kairograph.llm.common import materialize

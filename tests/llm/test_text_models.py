@@ -125,6 +125,32 @@ def test_toxicity_learns_and_generalises():
     assert model.slope > 0 and ((z >= 0) == (np.arange(200) % 2 == 1)).mean() > 0.95
 
 
+def test_toxicity_query_held_out(spark):
+    big = "/root/testdata/sf0.1"
+    got = QUERIES["op4_toxicity"](spark, big).toPandas().set_index("doc_id")
+    want = spark.read.parquet(f"{big}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y")).toPandas().set_index("doc_id")
+    assert len(got) == 10_000 and all(got.held_out[i] == held(i, 5, 0) for i in got.index) and (got.predicted == (got.score >= 0.5)).all()
+    x = got[got.held_out].join(want, how="inner")
+    toxic = x[x.y == 1]
+    assert (x.predicted == x.y).mean() >= 0.95 and toxic.predicted.mean() >= 0.6
+
+
+def test_fits_do_not_depend_on_the_deal(spark, labelled):
+    docs, labels = labelled
+    for fit in (lambda d: qu.train_quality(d, labels, fit_rows=200).good, lambda d: li.train_language(d, fit_rows=200).weights.tobytes(), lambda d: to.train_toxicity(d, labels, fit_rows=60).params["out"].tobytes()):
+        assert fit(docs.repartition(1)) == fit(docs.repartition(50))
+
+
+def test_long_texts_are_learned_in_pieces(spark):
+    from kairograph.llm.sampling import excerpt, sample_by_class
+
+    d = spark.createDataFrame([(1, "short"), (2, "a" * 500 + "z" * 500)], "id long, text string")
+    a, b = (r.t for r in d.select(excerpt(F.col("text"), 80).alias("t")).collect())
+    assert a == "short" and b == "\n".join(["a" * 10] * 4 + ["z" * 10] * 4)
+    with pytest.raises(ValueError):
+        sample_by_class(d, "id", "text", 5, max_classes=1)
+
+
 def test_toxicity_calibration_keeps_the_order():
     z, y = np.array([1e-4, 2e-4, 3e-4, 5.0, 6.0, 900.0]), np.array([0, 0, 0, 1, 1, 1.0])
     slope, bias = to._calibration(z, y)
