@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
-#: Nodes of a shard (about 1 KB each while its graph is built) and queries that search it together.
-SHARD_NODES, QUERY_BLOCK = 8192, 2048
+#: Nodes of a shard (about 1 KB each while its graph is built): a 64th of all, within these bounds; queries that search it together.
+SHARD_NODES, QUERY_BLOCK = (8192, 131_072), 2048
 #: Edges of a node, beam widths of inserting and of querying, and the pruning's relaxation.
 DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 32, 64, 192, 1.1
 #: Nodes or queries that walk the graph side by side, and expansions of each in one step.
@@ -165,10 +165,11 @@ def _walk_scale(x: np.ndarray) -> float:
     return 1 / most if most > 1e15 or 0 < most < 1e-15 else 1.0
 
 
-def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", keep: int = 11, shard_nodes: int = SHARD_NODES, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
+def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", keep: int = 11, shard_nodes: int | None = None, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
     """The written index, one row per shard: (dim, shard, nodes, vecs, graph, entry, ids).
 
-    Every usable vector is in it. A node carries the ``keep`` least ids of its equal vectors:
+    Every usable vector is in it, in shards whose size follows from their number unless
+    ``shard_nodes`` gives it. A node carries the ``keep`` least ids of its equal vectors:
     a result of fewer than ``keep`` places can hold no other, since ties go to the least id."""
     kind = "<f4" if rows.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"
     if kind == "<f8":
@@ -177,8 +178,13 @@ def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embe
     some = local.groupBy("vec", F.spark_partition_id().alias("p")).agg(F.collect_list("ids").alias("ids"))
     least = lambda c: F.slice(F.array_distinct(F.sort_array(F.flatten(c))), 1, keep)
     nodes = materialize(some.select("vec", least(F.col("ids")).alias("ids")).groupBy("vec").agg(F.collect_list("ids").alias("ids")).select("vec", least(F.col("ids")).alias("ids"), F.length("vec").alias("dim")))
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_nodes)).cast("long").alias("shards"))
+    total = F.count(F.lit(1))
+    held = F.least(F.greatest(total / 64, F.lit(SHARD_NODES[0])), F.lit(SHARD_NODES[1])) if shard_nodes is None else F.lit(shard_nodes)
+    shards = materialize(nodes.groupBy("dim").agg(F.ceil(total / held).cast("long").alias("shards")))
+    tasks = shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")))
+    # by an own number of partitions, so that no two shards are put into one task to save tasks
+    dealt = dealt.repartition(4 * tasks, "dim", "shard")
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(_build(kind, degree, beam, alpha), "dim int, shard long, nodes long, vecs binary, graph binary, entry binary, ids array<array<long>>"))
 
 

@@ -33,8 +33,8 @@ FILTERS = (
 CUTS, GRAY = np.array([-0.25, 0.0, 0.25]), np.array([0, 1, 3, 2], np.uint32)
 #: Key bits of a packed integer; least equal keys and overlapping places; most differing bits.
 KEY_BITS, MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 20, 3, 16, 0.15
-#: Frames transformed at once; recordings of a shard; queries that visit it together.
-BLOCK_FRAMES, SHARD_RECORDINGS, QUERY_BLOCK = 256, 4096, 2048
+#: Frames transformed at once; recordings of a shard, a 64th of all within these bounds; queries that visit it together.
+BLOCK_FRAMES, SHARD_RECORDINGS, QUERY_BLOCK = 256, (4096, 65_536), 2048
 
 
 def pcm16(raw: bytes | None) -> np.ndarray:
@@ -179,7 +179,7 @@ def _align(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(raw[r], links[r], *best[r]) for r in links], columns=columns)
 
 
-def align_recordings(prints: DataFrame, queries: Column, *, shard: int = SHARD_RECORDINGS, block: int = QUERY_BLOCK) -> DataFrame:
+def align_recordings(prints: DataFrame, queries: Column, *, shard: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """Align all recordings (of ``fingerprint_recordings``) with those that ``queries`` picks.
 
     One row per row: rec_id, n_ints, class_id (least id of an equal fingerprint), n_links (query
@@ -190,6 +190,7 @@ def align_recordings(prints: DataFrame, queries: Column, *, shard: int = SHARD_R
     classes = known.groupBy("fingerprint").agg(F.min("rec_id").alias("class_id"), F.min(F.when(queries, F.col("rec_id"))).alias("query_id"))
     classes = materialize(classes)
     total, asking = classes.agg(F.count(F.lit(1)), F.count("query_id")).first()
+    shard = min(max(total // 64, SHARD_RECORDINGS[0]), SHARD_RECORDINGS[1]) if shard is None else shard
     shards, blocks = max(1, -(-total // shard)), max(1, -(-asking // block))
     mark = F.xxhash64("fingerprint")
     zero = F.lit(0).cast("long")
