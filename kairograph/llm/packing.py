@@ -8,7 +8,8 @@ Bound of what a level passes on. After best-fit no two bins of a group fit toget
 so at most one bin of a group is half full or less. A bin more than half full can only
 take in such a small bin, and a level with G groups has at most G of those. Passing on
 the small bin and the G emptiest others therefore loses no possible merge, and a merge
-task never sees more than fan_in * (G + 1) bins, however large the corpus is.
+task never sees more than fan_in * (G + 1) bins: a bound that grows with the number of
+partitions, not with the documents in them.
 """
 
 from __future__ import annotations
@@ -184,11 +185,11 @@ def _merge(capacity: int, others: int):
         fill_in = pdf["fill"].to_numpy(np.int64)
         bin_of, offset, fill = best_fit(fill_in, capacity)
         up = carried(fill, capacity, others)
-        members = [[(b, int(o + shift)) for b, o in m] for m, shift in zip(pdf["members"].map(lambda m: [(int(x["bin"]), int(x["shift"])) for x in m]), offset)]
-        rows = []
-        for b in range(len(fill)):
-            inside = np.flatnonzero(bin_of == b)
-            rows.append((int(pdf["bin"].iloc[inside[0]]), int(fill[b]), [{"bin": x, "shift": s} for i in inside for x, s in members[i]], bool(up[b])))
+        members, bins, rows = list(pdf["members"]), pdf["bin"].to_numpy(), []
+        order = np.argsort(bin_of, kind="stable")
+        for b, inside in enumerate(np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1) if len(order) else []):
+            held = [{"bin": int(x["bin"]), "shift": int(x["shift"] + offset[i])} for i in inside.tolist() for x in members[i]]
+            rows.append((int(bins[inside[0]]), int(fill[b]), held, bool(up[b])))
         return pd.DataFrame(rows, columns=["bin", "fill", "members", "up"]).assign(grp=int(key[0]))
 
     return run
