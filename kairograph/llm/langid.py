@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_with, text_groups
-from .sampling import sample_by_class
+from .sampling import excerpt, first_by_hash, sample_by_class
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -118,11 +118,12 @@ def fit_language(texts: list[str], langs: list[str], *, epochs: int = 4, alpha:
 
 
 def train_language(docs: DataFrame, *, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, train_rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Fit on at most about ``fit_rows`` rows with a language, evenly by language; None without any."""
+    """Fit on at most about ``fit_rows`` rows with a language, evenly by language, texts of any length
+    (of those longer than ``fit_chars`` as many characters, spread over the whole); None without any."""
     rows = docs if train_rows is None else docs.where(train_rows)
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND id IS NOT NULL")
-    chosen = sample_by_class(rows, "id", "lang", fit_rows).where(F.length("text").between(1, fit_chars)).limit(2 * fit_rows)
-    pdf = chosen.toPandas().sort_values(["id", "text"], ignore_index=True)
+    rows = rows.where(F.length("text") > 0).withColumn("text", excerpt(F.col("text"), fit_chars))
+    pdf = first_by_hash(sample_by_class(rows, "id", "lang", fit_rows), 2 * fit_rows, "id", "lang", "text").toPandas().sort_values(["id", "text"], ignore_index=True)
     return fit_language(list(pdf["text"]), list(pdf["lang"])) if len(pdf) else None
 
 
@@ -177,7 +178,12 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, *, text_col:
 
 
 def keep_identified(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``threshold``, with their own columns."""
-    own = {"lang_pred": "_lang_pred", "score": "_score"}
-    pred = predict_language(docs.withColumnsRenamed(own), train_language(docs))
+    """The documents whose language is known with at least ``threshold``, with their own columns.
+
+    Null texts and texts without a letter go; where no row has a language there is nothing to
+    know, and all others stay. Repeated rows share their fate; an empty table stays empty."""
+    own, model = {"lang_pred": "_lang_pred", "score": "_score"}, train_language(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike("\\p{L}"))
+    pred = predict_language(docs.withColumnsRenamed(own), model)
     return pred.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= threshold)).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

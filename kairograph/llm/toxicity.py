@@ -28,7 +28,7 @@ CHAR_ORDERS = (3, 5)
 #: Bytes of a word that its character input reads; a longer word is cut into such words.
 MAX_WORD = 24
 #: Bound of the labelled rows a fit reads, and of one such text's characters.
-FIT_ROWS, FIT_CHARS = 3000, 6000
+FIT_ROWS, FIT_CHARS = 3000, 20_000
 #: Least training steps of a round, by smaller batches where there are few rows.
 LEAST_STEPS = 40
 #: Weight decay of a training step, per unit of its rate.
@@ -254,20 +254,6 @@ def _calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def _tell_tale(rows: np.ndarray, place: np.ndarray, at: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Where the first number of the word inputs starts from, by hashed word: how far its share of
-    the toxic texts exceeds that of the others beyond chance, 0 to 1."""
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
-    pair = np.unique(doc * (1 << WORD_BITS) + word_ids(rows)[place])
-    text, word = pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1)
-    text, word = text[used[text]], word[used[text]]
-    n = [max(1, int((used & (y == k)).sum())) for k in (0, 1)]
-    share = [np.bincount(word[y[text] == k], minlength=1 << WORD_BITS) / n[k] for k in (0, 1)]
-    both = (share[0] * n[0] + share[1] * n[1] + 1) / (n[0] + n[1] + 1)
-    z = (share[1] - share[0]) / np.sqrt(both * (1 - both).clip(1e-6) * (1 / n[0] + 1 / n[1]))
-    return np.clip((z - 3) / 4, 0, 1).astype(np.float32)
-
-
 def fit_toxicity(sample: pd.DataFrame, *, rounds: int = 9, batch: int = 128, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
     """Fit on rows (text, label 1 toxic / 0 not); a quarter is set aside for the calibration.
     Without rows of both labels every score is the labels' mean."""
@@ -281,7 +267,6 @@ def fit_toxicity(sample: pd.DataFrame, *, rounds: int = 9, batch: int = 128, rat
     rows, place, at = words_of(list(sample["text"]))
     win, doc = windows_of(place, at, len(rows))
     keep = ~aside[doc]
-    p["word"][:, 0] = _tell_tale(rows, place, at, y, ~aside)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     for r in range(rounds):
