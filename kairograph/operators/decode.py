@@ -97,8 +97,14 @@ def mode_score() -> Column:
     return F.when(F.col("mode") == "hybrid", F.col("score")).when(F.col("mode") == "llm", F.col("llm_score")).otherwise(F.col("graph_score"))
 
 
-def rank_entities(beams: DataFrame, table: DataFrame, scored: DataFrame, levels: int, topk: int) -> DataFrame:
-    """(query, mode, place, entity, code, rank_score, entity_score): entities of the beams' codes.
+def list_lengths(filters: DataFrame, topk: int, hits: Sequence[int]) -> DataFrame:
+    """(query, topk): how many entities a query's metric needs, that filtered ones (query, entity) leave enough places."""
+    return filters.groupBy("query").agg(F.greatest(F.lit(topk), F.lit(max(hits)) + F.count_distinct("entity")).alias("topk"))
+
+
+def rank_entities(beams: DataFrame, table: DataFrame, scored: DataFrame, levels: int, topk: int, lengths: DataFrame | None = None) -> DataFrame:
+    """(query, mode, place, entity, code, rank_score, entity_score): entities of the beams' codes,
+    ``topk`` of each query, or as many as ``lengths`` (query, topk) says.
 
     Codes go by their rank score; entities of one code by graph score (by id in mode llm)."""
     code = table.where(F.col("level") == levels).select("prefix", "entity")
@@ -110,7 +116,12 @@ def rank_entities(beams: DataFrame, table: DataFrame, scored: DataFrame, levels:
     first = F.row_number().over(W.partitionBy("query", "mode", "entity").orderBy(*order, "prefix"))
     c = c.withColumn("_first", first).where("_first = 1")
     place = F.row_number().over(W.partitionBy("query", "mode").orderBy(*order, "entity"))
-    return c.withColumn("place", place).where(F.col("place") <= topk).select("query", "mode", "place", "entity", F.col("prefix").alias("code"), "rank_score", F.col("score_entity").alias("entity_score"))
+    c = c.withColumn("place", place)
+    if lengths is not None:
+        c = c.join(lengths.select("query", F.col("topk").alias("_topk")), "query", "left").where(F.col("place") <= F.coalesce("_topk", F.lit(topk)))
+    else:
+        c = c.where(F.col("place") <= topk)
+    return c.select("query", "mode", "place", "entity", F.col("prefix").alias("code"), "rank_score", F.col("score_entity").alias("entity_score"))
 
 
 def resolve_filters(filters: DataFrame, names: DataFrame, codes: DataFrame) -> DataFrame:

@@ -92,4 +92,6 @@ def predicate_frequency(facts: DataFrame) -> DataFrame:
 def relabel(facts: DataFrame) -> DataFrame:
     """Entities of each snapshot with dense ids from 0: (t, e, node)."""
     e = facts.select("t", F.col("s").alias("e")).unionByName(facts.select("t", F.col("o").alias("e"))).distinct()
-    return e.withColumn("node", (F.row_number().over(W.partitionBy("t").orderBy("e")) - 1).cast("long"))
+    from .order import number_within
+
+    return number_within(e, ["t"], "e", "node", width=1 << 16)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,12 +53,28 @@ def history_subgraph(past: DataFrame, known: DataFrame, queries: DataFrame, n_re
     return edge_frequency(past, n_rel).join(subjects.unionByName(near).distinct(), "src", "left_semi")
 
 
+def history_subgraphs(facts: DataFrame, n_rel: int, past: int, *, inverse: bool = False) -> DataFrame:
+    """(t, src, rel, dst, freq): the ``history_subgraph`` of every snapshot, over the ``past`` time
+    steps before it, as one job. Answers count as known from the step after they were first seen."""
+    pairs = facts.select("t", F.col("o").alias("s"), (F.col("r") + n_rel).alias("r")) if inverse else facts.select("t", "s", "r")
+    near = pairs.distinct().join(first_seen(facts, n_rel), ["s", "r"]).where(F.col("first_t") < F.col("t")).select("t", F.col("o").alias("src"))
+    wanted = facts.select("t", F.col("s").alias("src")).unionByName(near).distinct()
+    shown = both_directions(facts, n_rel).select(F.explode(F.sequence(F.col("t") + 1, F.col("t") + past)).alias("t"), F.col("s").alias("src"), F.col("r").alias("rel"), F.col("o").alias("dst"))
+    freq = shown.groupBy("t", "src", "rel", "dst").agg(F.count(F.lit(1)).alias("freq"))
+    return freq.join(wanted, ["t", "src"], "left_semi")
+
+
 def known_before(facts: DataFrame, t: int, n_rel: int) -> DataFrame:
     return first_seen(facts, n_rel).where(F.col("first_t") < t).select("s", "r", "o")
 
 
-def _sum_vectors(x: DataFrame, by: Sequence[str], col: str, name: str, mean: bool = False) -> DataFrame:
-    """Element-wise sums of vectors by group: partial sums of every component, no group is gathered."""
+def _sum_vectors(x: DataFrame, by: Sequence[str], col: str, name: str, mean: bool = False, width: int | None = None) -> DataFrame:
+    """Element-wise sums of vectors by group: partial sums of every component, no group is gathered.
+    With a known ``width`` they are aggregates of one row, else a row for each component."""
+    if width is not None:
+        f = F.avg if mean else F.sum
+        parts = x.groupBy(*by).agg(*(f(F.col(col)[i]).alias(f"_{i}") for i in range(width)))
+        return parts.select(*by, F.array(*(f"_{i}" for i in range(width))).alias(name))
     long = x.select(*by, F.posexplode(col).alias("_i", "_x"))
     agg = F.avg("_x") if mean else F.sum("_x")
     parts = long.groupBy(*by, "_i").agg(agg.alias("_x")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_p"))
@@ -70,9 +89,9 @@ def gather(edges: DataFrame, nodes: DataFrame, relations: DataFrame, compose: st
     return joined.withColumn("message", op(F.col("_hs"), F.col("_hr"))).drop("_hs", "_hr")
 
 
-def message_sum(messages: DataFrame, norms: DataFrame) -> DataFrame:
+def message_sum(messages: DataFrame, norms: DataFrame, width: int | None = None) -> DataFrame:
     """(node, h): incoming messages summed and scaled by the node's norm."""
-    total = _sum_vectors(messages, ["dst"], "message", "_sum").withColumnRenamed("dst", "node")
+    total = _sum_vectors(messages, ["dst"], "message", "_sum", width=width).withColumnRenamed("dst", "node")
     return total.join(norms.select("node", "norm"), "node").select("node", v.scale(F.col("_sum"), F.col("norm")).alias("h"))
 
 
@@ -81,44 +100,75 @@ def attention(edges: DataFrame, nodes: DataFrame, slope: float = 0.01) -> DataFr
     src = nodes.select(F.col("node").alias("src"), F.col("h").alias("_hs"))
     dst = nodes.select(F.col("node").alias("dst"), F.col("h").alias("_hd"))
     raw = v.dot(F.col("_hs"), F.col("_hd"))
-    e = edges.join(src, "src").join(dst, "dst").withColumn("_e", F.greatest(raw, raw * slope)).drop("_hs", "_hd")
+    return _softmax_by_end(edges.join(src, "src").join(dst, "dst").withColumn("_e", raw).drop("_hs", "_hd"), slope)
+
+
+def relational_attention(edges: DataFrame, nodes: DataFrame, relations: DataFrame, weight: Sequence[float], slope: float = 0.01) -> DataFrame:
+    """``edges`` plus ``attention``: softmax over each destination of a learned score of source,
+    destination and relation, leaky by ``slope``.
+
+    ``weight`` (three times the vectors' length) scores the three vectors one after the other; two
+    linear layers in a row are their product. A node's and a relation's share is one number, so
+    edges are joined with numbers, not with vectors."""
+    d = len(weight) // 3
+    part = lambda k: F.lit([float(x) for x in weight[k * d : (k + 1) * d]])
+    n = nodes.select("node", v.dot(F.col("h"), part(0)).alias("_s"), v.dot(F.col("h"), part(1)).alias("_d"))
+    r = relations.select("rel", v.dot(F.col("h"), part(2)).alias("_r"))
+    e = edges.join(n.select(F.col("node").alias("src"), "_s"), "src").join(n.select(F.col("node").alias("dst"), "_d"), "dst").join(r, "rel")
+    return _softmax_by_end(e.withColumn("_e", F.col("_s") + F.col("_d") + F.col("_r")).drop("_s", "_d", "_r"), slope)
+
+
+def _softmax_by_end(e: DataFrame, slope: float) -> DataFrame:
+    e = e.withColumn("_e", F.greatest("_e", F.col("_e") * slope))
     top = e.groupBy("dst").agg(F.max("_e").alias("_top"))
     e = e.join(top, "dst").withColumn("_x", F.exp(F.col("_e") - F.col("_top")))
     return e.join(e.groupBy("dst").agg(F.sum("_x").alias("_sum")), "dst").withColumn("attention", F.col("_x") / F.col("_sum")).drop("_e", "_x", "_top", "_sum")
 
 
-def attended_sum(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def attended_sum(edges: DataFrame, nodes: DataFrame, width: int | None = None) -> DataFrame:
     """(node, h): attention-weighted sum of the source vectors."""
     m = edges.join(nodes.select(F.col("node").alias("src"), "h"), "src").select(F.col("dst").alias("node"), v.scale(F.col("h"), F.col("attention")).alias("_m"))
-    return _sum_vectors(m, ["node"], "_m", "h")
+    return _sum_vectors(m, ["node"], "_m", "h", width=width)
 
 
-def mean_pool(members: DataFrame, by: str) -> DataFrame:
+def mean_pool(members: DataFrame, by: str, width: int | None = None) -> DataFrame:
     """(by, h): mean of the members' vectors ``h``."""
-    return _sum_vectors(members, [by], "h", "h", mean=True)
+    return _sum_vectors(members, [by], "h", "h", mean=True, width=width)
 
 
 def linear(h: Column, weight: Sequence[Sequence[float]]) -> Column:
-    """h W for a fixed matrix (rows: inputs)."""
-    columns = [F.array(*(F.lit(float(x)) for x in c)) for c in zip(*weight)]
-    return F.array(*(v.dot(h, c) for c in columns))
+    """h W for a fixed matrix (rows: inputs), Arrow batches multiplied at once; null stays null."""
+    w = np.asarray(weight, np.float64)
+
+    @F.pandas_udf("array<double>")
+    def product(batch: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(batch), dtype=object)
+        known = np.flatnonzero(batch.notna())
+        if len(known):
+            out.iloc[known] = list(np.stack(batch.iloc[known].to_list()) @ w)
+        return out
+
+    return product(h)
 
 
 def relational_layer(nodes: DataFrame, edges: DataFrame, relations: DataFrame, weight, self_weight, lone_weight, *, compose: str = "add") -> DataFrame:
     """(node, h) after one layer: messages through ``weight``, summed and scaled; plus the node's
-    own vector through ``self_weight``, or ``lone_weight`` where nothing comes in; then relu."""
-    msg = gather(edges, nodes, relations, compose).withColumn("message", linear(F.col("message"), weight))
-    came = message_sum(msg, node_norms(edges)).select("node", F.col("h").alias("_in"))
+    own vector through ``self_weight``, or ``lone_weight`` where nothing comes in; then relu.
+    The matrix is applied to a node's sum, once, instead of to each of its messages."""
+    came = message_sum(gather(edges, nodes, relations, compose), node_norms(edges), len(weight)).select("node", linear(F.col("h"), weight).alias("_in"))
     out = nodes.join(came, "node", "left")
     h = F.when(F.col("_in").isNull(), linear(F.col("h"), lone_weight)).otherwise(v.add(F.col("_in"), linear(F.col("h"), self_weight)))
     return out.select("node", F.transform(h, lambda x: F.greatest(x, F.lit(0.0))).alias("h"))
 
 
-def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """(node, level): least number of steps along ``edges`` (src, dst) from the ``roots`` (node)."""
+def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int | None = None, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """(node, level): least number of steps along ``edges`` (src, dst) from the ``roots`` (node), up
+    to ``max_level`` or until nothing new is reached; ``cut`` writes a level's nodes."""
     seen = roots.select("node").distinct().withColumn("level", F.lit(0))
     front = seen
-    for level in range(1, max_level + 1):
+    for level in itertools.count(1):
+        if max_level is not None and level > max_level or max_level is None and not front.limit(1).count():
+            break
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         seen = cut(seen.unionByName(front))
@@ -139,8 +189,8 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], max_roun
         new = cut(step.join(jump, "component").select("node", "_old", F.least("component", "_jump").alias("component")))
         label = new.select("node", "component")
         if not new.where("_old <> component").limit(1).count():
-            break
-    return label
+            return label
+    raise RuntimeError(f"components are not final after {max_rounds} rounds")
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scores
-from .order import as_of_sum
+from .order import as_of_sum, number_within
 
 FACT = ("t", "s", "r", "o")
 
@@ -17,7 +17,7 @@ def incidences(facts: DataFrame) -> DataFrame:
     entity's facts from 1 in time and file order. A self-loop counts twice."""
     f = facts.select("seq", *FACT)
     both = f.withColumn("e", F.col("s")).withColumn("role", F.lit(0)).unionByName(f.withColumn("e", F.col("o")).withColumn("role", F.lit(1)))
-    return both.withColumn("p", F.row_number().over(W.partitionBy("e").orderBy("t", "seq", "role"))).drop("role")
+    return number_within(both, ["e"], "t", "_p", then=("seq", "role")).withColumn("p", F.col("_p") + 1).drop("role", "_p")
 
 
 def history(facts: DataFrame, queries: DataFrame, limit: int) -> DataFrame:

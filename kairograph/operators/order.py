@@ -22,6 +22,19 @@ def number_rows(df: DataFrame, major: list[str], minor: str, name: str, *, width
     return out.withColumn(name, (F.col("_before") + place).cast("long")).drop("_slice", "_before")
 
 
+def number_within(df: DataFrame, keys: list[str], minor: str, name: str, *, then: tuple[str, ...] = (), width: int = 1) -> DataFrame:
+    """``df`` plus ``name``: the row's place from 0 among those of its ``keys``, by ``minor`` and ``then``.
+
+    Rows are numbered within slices of ``width`` values of the integer column ``minor``, so a key
+    with very many rows is spread over tasks; only the sizes of its slices come together."""
+    df = df.withColumn("_slice", F.floor(F.col(minor) / F.lit(width)))
+    sizes = df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = df.join(sizes.select(*keys, "_slice", before.alias("_before")), [*keys, "_slice"])
+    place = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(minor, *then)) - 1
+    return out.withColumn(name, (F.col("_before") + place).cast("long")).drop("_slice", "_before")
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast of ``df`` where it has at most ``rows`` rows, else ``df`` itself."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

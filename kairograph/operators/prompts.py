@@ -52,7 +52,7 @@ def prompt_rows(facts: DataFrame, names: DataFrame, relations: DataFrame, n_rel:
 
     other = answers(seen, n_rel).select("e", F.col("r").alias("full_r"), "t", F.col("answer").alias("x"))
     other = q.select("id", "e", "full_r", "t", "answer").join(other, ["e", "full_r", "t"]).where("x <> answer")
-    other = other.join(names.select(F.col("id").alias("x"), F.col("name").alias("x_name")), "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("x", "x_name"))).alias("f"))
+    other = _named(other, names, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("x", "x_name"))).alias("f"))
     other = other.select("id", F.transform("f", lambda x: x["x_name"]).alias("filters"))
     mark = F.lit("?")
     query = F.when(F.col("dir") == 0, fact_line(F.col("t"), F.col("e_name"), F.col("r_name"), mark)).otherwise(fact_line(F.col("t"), mark, F.col("r_name"), F.col("e_name")))

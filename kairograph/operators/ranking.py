@@ -22,10 +22,11 @@ def entities(facts: DataFrame) -> DataFrame:
 
 def candidates_seen(facts: DataFrame, queries: DataFrame, n_rel: int) -> DataFrame:
     """(e, r, t, entity, n): entities seen as answers of (e, r) before each queried time, and how often."""
-    past = both_directions(facts, n_rel).groupBy("s", "r", "o", "t").agg(F.count(F.lit(1)).alias("c"))
-    past = past.select(F.col("s").alias("e"), "r", F.col("o").alias("entity"), F.col("t").alias("past"), "c")
-    asked = queries.select("e", "r", "t").distinct()
-    return asked.join(past, ["e", "r"]).where("past < t").groupBy("e", "r", "t", "entity").agg(F.sum("c").alias("n"))
+    past = both_directions(facts, n_rel).select(F.col("s").alias("e"), "r", F.col("o").alias("entity"), "t")
+    first = past.groupBy("e", "r", "entity").agg(F.min("t").alias("_first"))
+    # a row for each result; how often follows from running counts, not from a join with all that happened
+    pairs = queries.select("e", "r", "t").distinct().join(first, ["e", "r"]).where(F.col("_first") < F.col("t")).drop("_first")
+    return as_of_sum(past, pairs, ["e", "r", "entity"], "t", F.lit(1).cast("long"), "n").select("e", "r", "t", "entity", "n")
 
 
 def frequency_score(n: Column, total: Column, n_entities: Column) -> Column:
@@ -99,7 +100,7 @@ def predicted_triples(top: DataFrame, n_rel: int) -> DataFrame:
     ).distinct()
 
 
-def test_queries(facts: DataFrame, n_rel: int) -> DataFrame:
+def queries_of_test(facts: DataFrame, n_rel: int) -> DataFrame:
     return queries_of(facts.where("split = 'test'"), n_rel)
 
 

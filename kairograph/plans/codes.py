@@ -11,7 +11,7 @@ from ..functions import vectors as v
 from ..operators import codes as co
 from ..operators import decode as de
 from ..operators import ranking as rk
-from .common import query, table
+from .common import query, table, written
 
 #: Levels, codes of a level, beams, returned tokens of a step, entities ranked, and vectors apart of the queries.
 LEVELS, SIZE, BEAMS, STEP_TOKENS, TOP, APART = 3, 16, 8, 12, 50, 50
@@ -170,7 +170,7 @@ _BEAM = _beam_sql()
 
 
 def _beams(spark, sf_dir):
-    scored, tab = _scored(spark, sf_dir).persist(), _table(spark, sf_dir).persist()
+    scored, tab = written(_scored(spark, sf_dir)), written(_table(spark, sf_dir))
     queries = scored.select("query").distinct()
     return de.beam_decode(queries, scored, tab, LEVELS, rule_llm, alphas=ALPHAS, beams=BEAMS, topk=STEP_TOKENS), tab, scored
 
@@ -183,6 +183,8 @@ def beam_decode(spark, sf_dir):
 _RANKED = f"""{_BEAM}, ra AS MATERIALIZED (SELECT n.query, n.mode, n.prefix AS code, pt.entity, n.rank_score, es.score AS entity_score, row_number() OVER (PARTITION BY n.query, n.mode
  ORDER BY round(n.rank_score, 9) DESC NULLS LAST, CASE WHEN n.mode = 'llm' THEN 0.0 ELSE round(es.score, 9) END DESC, pt.entity) AS place
  FROM n{LEVELS - 1} n JOIN pt ON pt.level = {LEVELS} AND pt.prefix = n.prefix JOIN es ON es.query = n.query AND es.entity = pt.entity QUALIFY place <= {TOP})"""
+#: For the metrics: as many places as the longest hit list and a query's filters need; it filters itself alone.
+_RANKED_METRIC = _RANKED.replace(f"QUALIFY place <= {TOP}", f"QUALIFY place <= {max(TOP, max(rk.HITS) + 1)}")
 
 
 def _entities(spark, sf_dir):
@@ -201,13 +203,14 @@ _HITS = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) A
 
 
 @query(
-    f"{_RANKED}, {_TARGETS}, md AS (SELECT unnest(['graph', 'hybrid', 'llm']) AS mode, unnest([1, 1, 1]) AS one), hit AS (SELECT ra.query, ra.mode, ra.place FROM ra JOIN tg ON tg.query = ra.query AND tg.target = ra.entity), "
+    f"{_RANKED_METRIC}, {_TARGETS}, md AS (SELECT unnest(['graph', 'hybrid', 'llm']) AS mode, unnest([1, 1, 1]) AS one), hit AS (SELECT ra.query, ra.mode, ra.place FROM ra JOIN tg ON tg.query = ra.query AND tg.target = ra.entity), "
     f"rr AS (SELECT tg.query, md.mode, any_value(hit.place) - count(ra.place) AS rank FROM tg CROSS JOIN md LEFT JOIN hit ON hit.query = tg.query AND hit.mode = md.mode LEFT JOIN ra ON ra.query = tg.query AND ra.mode = md.mode AND ra.entity = tg.query AND ra.place < hit.place GROUP BY ALL) "
     f"SELECT mode, count(*) AS num_eval, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, {_HITS} FROM rr GROUP BY mode"
 )
 def metrics_by_mode(spark, sf_dir):
     beams, tab, scored = _beams(spark, sf_dir)
-    ranked = de.rank_entities(beams, tab, scored, LEVELS, TOP)
+    itself = scored.select("query").distinct().select("query", F.col("query").alias("entity"))
+    ranked = de.rank_entities(beams, tab, scored, LEVELS, TOP, de.list_lengths(itself, TOP, rk.HITS))
     target = scored.where("query <> entity").groupBy("query").agg(F.max_by("entity", F.struct("score", -F.col("entity"))).alias("item"))
     modes = target.withColumn("mode", F.explode(F.array(*map(F.lit, de.MODES)))).select(F.struct("query", "mode").alias("id"), "item")
     lists = ranked.select(F.struct("query", "mode").alias("id"), "place", F.col("entity").alias("item"))

@@ -32,14 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A written copy below the session's checkpoint folder, for what a query uses more than once."""
+    from ..streaming.facts import stream_folder
+
+    path = stream_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as facts: user -[event type]-> k on a day; (seq, s, r, o, t, split)."""
     from ..operators.facts import split_by_time
-    from ..operators.order import small
-
     events = table(spark, sf_dir, "events")
     kinds = relation_names(spark, sf_dir).select(F.col("id").alias("r"), F.col("name").alias("event_type"))
-    f = events.join(small(kinds), "event_type").select(
+    f = events.join(kinds, "event_type").select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("long").alias("s"), "r", F.get_json_object("props", "$.k").cast("long").alias("o"),
         F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("t"),
     )

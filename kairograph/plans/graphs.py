@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..operators import facts as fa
 from ..operators import graph as gr
-from .common import BOTH, FACTS, TEST_FROM, facts, query, table
+from .common import BOTH, FACTS, TEST_FROM, facts, query, table, written
 
-#: Numbers of a vector that the graph queries use, and time steps of a subgraph's past.
-WIDTH, PAST = 4, 10
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A written copy where the session has a checkpoint folder, else a kept one."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if folder else df.persist()
+#: Numbers of a vector, and time steps of a subgraph's past.
+WIDTH, PAST = 64, 10
 
 
 def _edges(spark, sf_dir) -> tuple[DataFrame, int]:
@@ -31,10 +22,10 @@ def _edges(spark, sf_dir) -> tuple[DataFrame, int]:
 
 def _nodes(spark, sf_dir) -> DataFrame:
     """A vector for each entity that has an embedding of its number."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), v.truncate(F.transform("embedding", lambda x: x.cast("double")), WIDTH).alias("h"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("h"))
 
 
-_NODES = f"nd AS MATERIALIZED (SELECT vec_id AS node, list_slice(embedding, 1, {WIDTH})::DOUBLE[] AS h FROM embeddings)"
+_NODES = "nd AS MATERIALIZED (SELECT vec_id AS node, embedding::DOUBLE[] AS h FROM embeddings)"
 
 
 @query(f"{FACTS}, {BOTH} SELECT s AS src, r AS rel, o AS dst, count(*) AS freq FROM b WHERE t < {TEST_FROM} GROUP BY s, r, o")
@@ -65,17 +56,15 @@ def degree_by_type(spark, sf_dir):
 
 
 def _subgraph_sql(inverse: bool) -> str:
-    pair = "(SELECT DISTINCT o AS s, r + (SELECT n FROM nr) AS r FROM q)" if inverse else "(SELECT DISTINCT s, r FROM q)"
-    return f"""{FACTS}, {BOTH}, q AS (SELECT * FROM f WHERE t = {TEST_FROM}), kn AS (SELECT s, r, o FROM b WHERE t < {TEST_FROM} GROUP BY s, r, o),
-al AS (SELECT s AS e FROM q UNION SELECT kn.o FROM kn SEMI JOIN {pair} p ON p.s = kn.s AND p.r = kn.r)
-SELECT s AS src, r AS rel, o AS dst, count(*) AS freq FROM b WHERE t >= {TEST_FROM - PAST} AND t < {TEST_FROM} AND s IN (SELECT e FROM al) GROUP BY s, r, o"""
+    pair = "SELECT DISTINCT t, o AS s, r + (SELECT n FROM nr) AS r FROM f" if inverse else "SELECT DISTINCT t, s, r FROM f"
+    return f"""{FACTS}, {BOTH}, kn AS MATERIALIZED (SELECT s, r, o, min(t) AS first_t FROM b GROUP BY s, r, o), pr AS MATERIALIZED ({pair}),
+al AS MATERIALIZED (SELECT t, s AS e FROM f UNION SELECT pr.t, kn.o FROM pr JOIN kn ON kn.s = pr.s AND kn.r = pr.r AND kn.first_t < pr.t)
+SELECT al.t, b.s AS src, b.r AS rel, b.o AS dst, count(*) AS freq FROM al JOIN b ON b.s = al.e AND b.t < al.t AND b.t >= al.t - {PAST} GROUP BY ALL"""
 
 
 def _subgraph(spark, sf_dir, inverse: bool) -> DataFrame:
     f = facts(spark, sf_dir)
-    n = fa.relation_count(f)
-    past = f.where((F.col("t") >= TEST_FROM - PAST) & (F.col("t") < TEST_FROM))
-    return gr.history_subgraph(past, gr.known_before(f, TEST_FROM, n), f.where(F.col("t") == TEST_FROM), n, inverse=inverse)
+    return gr.history_subgraphs(f, fa.relation_count(f), PAST, inverse=inverse)
 
 
 @query(_subgraph_sql(False))
@@ -99,14 +88,14 @@ _MSG = f"{FACTS}, {BOTH}, {_NODES}, nn AS (SELECT o AS node, count(*) AS degree
 def message_sum(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     nodes = _nodes(spark, sf_dir)
-    return _long(gr.message_sum(gr.gather(e, nodes, nodes.withColumnRenamed("node", "rel")), gr.node_norms(e)), "node")
+    return _long(gr.message_sum(gr.gather(e, nodes, nodes.withColumnRenamed("node", "rel")), gr.node_norms(e), WIDTH), "node")
 
 
 @query(f"{_MSG} SELECT ms.node, i::INT AS i, round(sum(x * y) / any_value(degree), 6) AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i")
 def message_product(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     nodes = _nodes(spark, sf_dir)
-    return _long(gr.message_sum(gr.gather(e, nodes, nodes.withColumnRenamed("node", "rel"), "mult"), gr.node_norms(e)), "node")
+    return _long(gr.message_sum(gr.gather(e, nodes, nodes.withColumnRenamed("node", "rel"), "mult"), gr.node_norms(e), WIDTH), "node")
 
 
 _ATT = f"""{FACTS}, {_NODES}, ed AS MATERIALIZED (SELECT f.s AS src, f.r AS rel, f.o AS dst, f.seq, greatest(list_inner_product(a.h, d.h), 0.01 * list_inner_product(a.h, d.h)) AS e FROM f JOIN nd a ON a.node = f.s JOIN nd d ON d.node = f.o),
@@ -125,13 +114,13 @@ def edge_softmax(spark, sf_dir):
 
 @query((f"{_ATT}, lg AS (SELECT dst, attention, unnest(range({WIDTH})) AS i, unnest(nd.h) AS v FROM sm JOIN nd ON nd.node = sm.src) SELECT dst AS node, i::INT AS i, round(sum(attention * v), 6) AS x FROM lg GROUP BY dst, i").replace("at AS MAT", "ax AS MAT").replace("FROM at)", "FROM ax)"))
 def attended_sum(spark, sf_dir):
-    return _long(gr.attended_sum(_attention(spark, sf_dir), _nodes(spark, sf_dir)), "node")
+    return _long(gr.attended_sum(_attention(spark, sf_dir), _nodes(spark, sf_dir), WIDTH), "node")
 
 
 @query(f"{FACTS}, {_NODES}, lg AS (SELECT f.r AS rel, unnest(range({WIDTH})) AS i, unnest(nd.h) AS v FROM (SELECT DISTINCT r, s FROM f) f JOIN nd ON nd.node = f.s) SELECT rel, i::INT AS i, round(avg(v), 6) AS x FROM lg GROUP BY rel, i")
 def mean_pool(spark, sf_dir):
     f = facts(spark, sf_dir).select(F.col("r").alias("rel"), F.col("s").alias("node")).distinct()
-    return _long(gr.mean_pool(f.join(_nodes(spark, sf_dir), "node"), "rel"), "rel")
+    return _long(gr.mean_pool(f.join(_nodes(spark, sf_dir), "node"), "rel", WIDTH), "rel")
 
 
 @query(f"{FACTS} SELECT node, round(cos(0.5 * (30 - last) + 0.1), 6) AS c0, round(cos(0.25 * (30 - last) + 0.2), 6) AS c1 FROM (SELECT e AS node, max(t) AS last FROM (SELECT t, unnest([s, o]) AS e FROM f) GROUP BY e)")
@@ -142,16 +131,49 @@ def time_encoding(spark, sf_dir):
     return last.select("node", enc.alias("c")).select("node", F.round(F.col("c")[0], 6).alias("c0"), F.round(F.col("c")[1], 6).alias("c1"))
 
 
-@query(f"{FACTS.replace('WITH rel', 'WITH RECURSIVE rel')}, g AS MATERIALIZED (SELECT DISTINCT s, o FROM f WHERE r = 2 AND t < 5), w AS (SELECT min(s) AS node, 0 AS level FROM g UNION SELECT g.o, w.level + 1 FROM w JOIN g ON g.s = w.node WHERE w.level < 6) SELECT node, min(level) AS level FROM w GROUP BY node")
+#: Fixed rules for the weights of the attention and of the layer, the same in both engines.
+ATTENTION_WEIGHT = [((i * 7) % 11 - 5) / 50 for i in range(3 * WIDTH)]
+LAYER_WEIGHTS = [[[((i * 3 + j * 5 + k) % 7 - 3) / 20 for j in range(WIDTH)] for i in range(WIDTH)] for k in range(3)]
+_SHARE = "list_sum(list_transform(range({0}, {1}), lambda i: ((i * 7) % 11 - 5) / 50.0 * {2}.h[i - {0} + 1]))"
+
+
+@query(
+    f"{FACTS}, {_NODES}, pn AS MATERIALIZED (SELECT node, {_SHARE.format(0, WIDTH, 'nd')} AS ps, {_SHARE.format(WIDTH, 2 * WIDTH, 'nd')} AS pd, {_SHARE.format(2 * WIDTH, 3 * WIDTH, 'nd')} AS pr FROM nd), "
+    "ed AS MATERIALIZED (SELECT f.s AS src, f.r AS rel, f.o AS dst, f.seq, a.ps + d.pd + r.pr AS z FROM f JOIN pn a ON a.node = f.s JOIN pn d ON d.node = f.o JOIN pn r ON r.node = f.r), "
+    "ex AS MATERIALIZED (SELECT *, exp(greatest(z, 0.01 * z) - max(greatest(z, 0.01 * z)) OVER (PARTITION BY dst)) AS x FROM ed) SELECT seq, src, rel, dst, round(x / sum(x) OVER (PARTITION BY dst), 6) AS attention FROM ex"
+)
+def relational_attention(spark, sf_dir):
+    f = facts(spark, sf_dir).select(F.col("s").alias("src"), F.col("r").alias("rel"), F.col("o").alias("dst"), "seq")
+    nodes = _nodes(spark, sf_dir)
+    out = gr.relational_attention(f, nodes, nodes.withColumnRenamed("node", "rel"), ATTENTION_WEIGHT)
+    return out.select("seq", "src", "rel", "dst", F.round("attention", 6).alias("attention"))
+
+
+def _product_sql(source: str, k: int) -> str:
+    return f"SELECT {source}.node, j, sum({source}.x * ((i * 3 + j * 5 + {k}) % 7 - 3) / 20.0) AS y FROM {source} CROSS JOIN range({WIDTH}) w(j) GROUP BY {source}.node, j"
+
+
+@query(
+    f"{_MSG}, su AS MATERIALIZED (SELECT ms.node, i, sum(x + y) / any_value(degree) AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i), own AS MATERIALIZED (SELECT node, unnest(range({WIDTH})) AS i, unnest(h) AS x FROM nd), "
+    f"a AS MATERIALIZED ({_product_sql('su', 0)}), s AS MATERIALIZED ({_product_sql('own', 1)}), l AS MATERIALIZED ({_product_sql('own', 2)}) "
+    "SELECT s.node, s.j::INT AS i, round(greatest(CASE WHEN a.y IS NULL THEN l.y ELSE a.y + s.y END, 0.0), 6) AS x FROM s JOIN l USING (node, j) LEFT JOIN a USING (node, j)"
+)
+def relational_layer(spark, sf_dir):
+    e, _ = _edges(spark, sf_dir)
+    nodes = _nodes(spark, sf_dir)
+    return _long(gr.relational_layer(nodes, e, nodes.withColumnRenamed("node", "rel"), *LAYER_WEIGHTS), "node")
+
+
+@query(f"{FACTS.replace('WITH rel', 'WITH RECURSIVE rel')}, g AS MATERIALIZED (SELECT DISTINCT s, o FROM f), w AS (SELECT min(s) AS node, 0 AS level FROM g UNION SELECT g.o, w.level + 1 FROM w JOIN g ON g.s = w.node WHERE w.level < 12) SELECT node, min(level) AS level FROM w GROUP BY node")
 def bfs_levels(spark, sf_dir):
-    f = facts(spark, sf_dir).where("r = 2 AND t < 5")
-    e = f.select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
-    return gr.bfs_levels(e, e.agg(F.min("src").alias("node")), 6, _cut)
+    f = facts(spark, sf_dir)
+    e = written(f.select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct())
+    return gr.bfs_levels(e, e.agg(F.min("src").alias("node")).where("node IS NOT NULL"), None, written)
 
 
-#: Components of every snapshot's graph of purchases; a node is (t, entity) as one number.
-@query(f"{FACTS.replace('WITH rel', 'WITH RECURSIVE rel')}, g AS MATERIALIZED (SELECT DISTINCT t * 1000000 + s AS a, t * 1000000 + o AS b FROM f WHERE r = 2), u AS MATERIALIZED (SELECT a, b FROM g UNION SELECT b, a FROM g), w AS (SELECT a AS node, a AS reach FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.reach) SELECT node, min(reach) AS component FROM w GROUP BY node")
+#: Components of every snapshot's graph; a node is (t, entity) as one number.
+@query(f"{FACTS.replace('WITH rel', 'WITH RECURSIVE rel')}, g AS MATERIALIZED (SELECT DISTINCT t * 1000000 + s AS a, t * 1000000 + o AS b FROM f), u AS MATERIALIZED (SELECT a, b FROM g UNION SELECT b, a FROM g), n AS MATERIALIZED (SELECT a AS node, least(a, min(b)) AS near FROM u GROUP BY a), w AS (SELECT node, near AS reach, 0 AS k FROM n UNION ALL SELECT u.a, min(w.reach), any_value(w.k) + 1 FROM w JOIN (SELECT a, b FROM u UNION SELECT a, a FROM u) u ON u.b = w.node WHERE w.k < 12 GROUP BY u.a) SELECT node, min(reach) AS component FROM w GROUP BY node")
 def components(spark, sf_dir):
-    f = facts(spark, sf_dir).where("r = 2")
+    f = facts(spark, sf_dir)
     key = F.col("t") * 1_000_000
-    return gr.components(f.select((key + F.col("s")).alias("src"), (key + F.col("o")).alias("dst")), _cut)
+    return gr.components(f.select((key + F.col("s")).alias("src"), (key + F.col("o")).alias("dst")), written)

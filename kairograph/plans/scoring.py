@@ -27,7 +27,7 @@ _HITS = ", ".join(f"round(avg(CASE WHEN {{0}} <= {k} THEN 1.0 ELSE 0.0 END), 6)
 def _ranked(spark, sf_dir):
     f = facts(spark, sf_dir)
     n = fa.relation_count(f)
-    return rk.ranks(f, rk.test_queries(f, n), n)
+    return rk.ranks(f, rk.queries_of_test(f, n), n)
 
 
 def _rounded(df):
@@ -68,13 +68,13 @@ _TOTAL = "tt AS (SELECT q.e, q.r, q.t, count(b.s) AS total FROM dq q LEFT JOIN b
 def _top(spark, sf_dir):
     f = facts(spark, sf_dir)
     n = fa.relation_count(f)
-    return f, n, rk.top_k(rk.candidates_seen(f, rk.test_queries(f, n), n), ["e", "r", "t"], 10, score="n")
+    return f, n, rk.top_k(rk.candidates_seen(f, rk.queries_of_test(f, n), n), ["e", "r", "t"], 10, score="n")
 
 
 @query(f"{FACTS}, {_SEEN}, {_TOP}, {_TOTAL} SELECT e, r, t, entity, place, round(ln((n + 1) / (total + (SELECT count(*) FROM ent))), 6) AS score FROM tp JOIN tt USING (e, r, t)")
 def topk_scores(spark, sf_dir):
     f, n, top = _top(spark, sf_dir)
-    total = rk.totals_before(f, rk.test_queries(f, n), n)
+    total = rk.totals_before(f, rk.queries_of_test(f, n), n)
     size = rk.entities(f).agg(F.count(F.lit(1)).alias("size"))
     top = top.join(total, ["e", "r", "t"]).crossJoin(F.broadcast(size))
     return top.select("e", "r", "t", "entity", "place", F.round(rk.frequency_score(F.col("n"), F.col("total"), F.col("size")), 6).alias("score"))
@@ -96,7 +96,7 @@ _LISTS = f"{_TOP}, li AS MATERIALIZED (SELECT qs.seq, qs.dir, tp.place, tp.entit
 )
 def truncated_list_rank(spark, sf_dir):
     f, n, top = _top(spark, sf_dir)
-    q = rk.test_queries(f, n).withColumn("id", F.struct("seq", "dir"))
+    q = rk.queries_of_test(f, n).withColumn("id", F.struct("seq", "dir"))
     lists = q.select("id", "e", "r", "t").join(top, ["e", "r", "t"]).select("id", "place", F.col("entity").alias("item"))
     filters = q.select("id", "e", "r", "t").join(fa.answers(f, n), ["e", "r", "t"]).select("id", F.col("answer").alias("item"))
     out = rk.list_rank(lists, q.select("id", F.col("answer").alias("item")), filters)
