@@ -26,12 +26,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kairograph-{uuid.uuid4().hex}"
 
 
+#: Rows that reach a Python worker at once while a table is written; texts may be long.
+BATCH_ROWS = 1024
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back: cuts the
-    lineage, survives lost executors, and keeps columnar compression."""
+    lineage, survives lost executors, and keeps columnar compression. Python workers get at
+    most ``BATCH_ROWS`` rows at once for it, or fewer where the session says so."""
     spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
+    path, rows = scratch_dir(spark), spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_KEY, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
