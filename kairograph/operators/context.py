@@ -26,6 +26,7 @@ def context_counts(facts: DataFrame, names: DataFrame, relations: DataFrame) ->
         return F.struct(F.lit(kind).alias("kind"), F.col(i).alias("id"), text.alias("text"))
 
     r, s, o = F.col("r_name"), F.col("s_name"), F.col("o_name")
+    # fixed values: the wording of the evidence
     out = F.concat(F.lit("OUT relation="), r, F.lit("; counterpart="), o)
     into = F.concat(F.lit("IN relation="), r, F.lit("; counterpart="), s)
     rows = F.array(of("entity", "s", out), of("entity", "o", into), of("relation", "r", F.concat(s, F.lit(" -> "), o)))
