@@ -84,3 +84,9 @@ def parenthesis_words(name: Column) -> Column:
     before = F.struct(F.lit(0).alias("rel"), F.trim(F.substring(name, F.lit(1), begin - 1)).alias("word"))
     inside = F.struct(F.lit(1).alias("rel"), F.substring(name, begin + 1, F.greatest(end - begin - 1, F.lit(0))).alias("word"))
     return F.when(has, F.array(before, inside)).otherwise(F.array(F.struct(F.lit(2).alias("rel"), name.alias("word"))))
+
+
+def embedding_input(name: Column, description: Column, instruction: str = "") -> Column:
+    """Text to be embedded: name and description, after the instruction where there is one."""
+    text = F.trim(F.concat(name, F.lit(". "), description))
+    return F.concat(F.lit(f"Instruct: {instruction.strip()}\nQuery: "), text) if instruction.strip() else text

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.text import code_string, code_token
+from .graph import mean_pool
 
 #: Most numbers in a level's codebook that are sent to every task.
 MAX_CODEBOOK = 4_000_000
@@ -102,3 +104,44 @@ def fit_codebooks(rows: DataFrame, levels: int, size: int, *, vec_col: str = "v"
         current = encode(current.withColumnRenamed("residual", "v"), book.where(F.col("level") == level).withColumn("level", F.lit(0)), 1, normalize=normalize).select("residual")
         points.unpersist()
     return spark.createDataFrame(books, schema)
+
+
+def seed_centroids(buffer: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """``size`` rows of the buffer, each drawn by its squared distance to those drawn before."""
+    if len(buffer) < size:
+        raise ValueError(f"{len(buffer)} rows are fewer than {size} centroids")
+    rng = np.random.default_rng(seed)
+    drawn = [int(rng.integers(len(buffer)))]
+    gap = np.full(len(buffer), np.inf)
+    while len(drawn) < size:
+        gap = np.minimum(gap, ((buffer - buffer[drawn[-1]]) ** 2).sum(1))
+        total = gap.sum()
+        drawn.append(int(rng.choice(len(buffer), p=gap / total) if total > v.EPS else rng.integers(len(buffer))))
+    return buffer[drawn]
+
+
+def move_centroids(book: DataFrame, batch: DataFrame) -> DataFrame:
+    """``book`` (code, centroid, n) after a batch of rows (v): each centroid moves towards the mean of
+    the batch's rows nearest to it, by their share of all rows it has met (``n``)."""
+    level = book.select(F.lit(0).alias("level"), "code", "centroid")
+    met = encode(batch.select("v"), level, 1, normalize=False).select(F.col("z0").alias("code"), F.col("v").alias("h"))
+    counts = met.groupBy("code").agg(F.count(F.lit(1)).alias("_n"))
+    means = mean_pool(met, "code").withColumnRenamed("h", "_mean")
+    b = book.join(counts, "code", "left").join(means, "code", "left")
+    total = F.col("n") + F.coalesce("_n", F.lit(0))
+    moved = v.add(F.col("centroid"), v.scale(v.subtract(F.col("_mean"), F.col("centroid")), F.col("_n") / total))
+    return b.select("code", F.coalesce(moved, "centroid").alias("centroid"), total.alias("n"))
+
+
+def fit_centroids(rows: DataFrame, size: int, *, steps: int = 20, share: float = 0.1, buffer: int = 4096, seed: int = 0) -> DataFrame:
+    """(code, centroid, n) by mini-batches: ``steps`` batches of a ``share`` of the rows (v), from
+    centroids seeded on ``buffer`` rows chosen by hash. A step's book is as small as the centroids."""
+    spark = rows.sparkSession
+    rows = rows.select(F.transform("v", lambda x: x.cast("double")).alias("v"))
+    head = rows.orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(buffer).collect()
+    first = seed_centroids(np.array([r.v for r in head], float).reshape(len(head), -1), size, seed)
+    schema, book = "code int, centroid array<double>, n long", [(k, c.tolist(), 0) for k, c in enumerate(first)]
+    for step in range(steps):
+        batch = rows.where(F.pmod(F.xxhash64(F.lit(f"{seed} {step}"), "v"), F.lit(1_000_000)) < int(share * 1_000_000))
+        book = [tuple(r) for r in move_centroids(spark.createDataFrame(book, schema), batch).collect()]
+    return spark.createDataFrame(book, schema)

@@ -56,3 +56,11 @@ def messages(items: DataFrame, top: DataFrame, *, system: str, task: Column, mos
 def pending(items: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """Items (kind, id) that have no description yet."""
     return items if force else items.join(done.where("description IS NOT NULL AND trim(description) <> ''"), ["kind", "id"], "left_anti")
+
+
+def coverage(items: DataFrame, described: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(kind, total, filled, covered): items (kind, id), those with a description, those with evidence."""
+    has = described.where("description IS NOT NULL AND trim(description) <> ''").select("kind", "id").distinct().withColumn("_d", F.lit(1))
+    seen = contexts.select("kind", "id").distinct().withColumn("_c", F.lit(1))
+    i = items.join(has, ["kind", "id"], "left").join(seen, ["kind", "id"], "left")
+    return i.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.count("_d").alias("filled"), F.count("_c").alias("covered"))

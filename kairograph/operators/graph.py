@@ -196,3 +196,8 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], max_roun
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct nodes one step along ``edges`` (src, dst) from ``nodes`` (node)."""
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+
+
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """Edges in order of destination, source and relation."""
+    return edges.orderBy("dst", "src", "rel")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import normalize_text
 from .facts import answers, both_directions, queries_of
 from .order import as_of_sum, number_rows
 
@@ -108,3 +109,14 @@ def totals_before(facts: DataFrame, queries: DataFrame, n_rel: int) -> DataFrame
     """(e, r, t, total): earlier facts of each queried (entity, relation)."""
     past = both_directions(facts, n_rel).select(F.col("s").alias("e"), "r", "t")
     return as_of_sum(past, queries, ["e", "r"], "t", F.lit(1).cast("long"), "total")
+
+
+#: Lengths of the hit lists of the metrics by name.
+NAME_HITS = (1, 3, 10, 30, 50)
+
+
+def metrics_by_name(predicted: DataFrame, targets: DataFrame, filters: DataFrame, hits: Sequence[int] = NAME_HITS) -> DataFrame:
+    """One row: MRR and Hits@k of lists of names, compared without case and odd spaces. Repeats of a
+    name each take a place. Columns as in ``list_rank``."""
+    plain = lambda d: d.withColumn("item", normalize_text(F.coalesce("item", F.lit(""))))
+    return summary(list_rank(plain(predicted), plain(targets), plain(filters), distinct=False), "rank", hits=hits)

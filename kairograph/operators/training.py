@@ -53,3 +53,8 @@ def targets_as_codes(samples: DataFrame, names: DataFrame, codes: DataFrame) ->
 def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Rows in a reproducible random order."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+
+
+def first_rows(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The first ``most`` rows in order of their id: a limit of a trial run."""
+    return rows.orderBy(id_col).limit(most)

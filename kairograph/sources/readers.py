@@ -145,6 +145,11 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("entity_id").cast("long").alias("entity_id"), rows).select("entity_id", "x.*")
 
 
+def read_codebooks(spark: SparkSession, path: str) -> DataFrame:
+    """(level, code, centroid) of the written codebooks below ``path``."""
+    return spark.read.schema("level int, code int, centroid array<double>").parquet(f"{path}/codebooks")
+
+
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     """(entity_id, level from 1, code) of a JSON object from id to a string of code tokens."""
     m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "text"))

@@ -141,3 +141,35 @@ def test_filters_resolve(spark):
     names = spark.createDataFrame([("some name", 5)], "name string, entity long")
     codes = spark.createDataFrame([("<z1_00><z2_01>", 7), ("<z1_00><z2_01>", 8)], "tokens string, entity long")
     assert {r.entity for r in de.resolve_filters(f, names, codes).collect()} == {12, 5, 7, 8}
+
+
+def test_centroids_by_mini_batches(spark):
+    import numpy as np
+
+    from kairograph.operators import codes as co
+
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(c, 0.05, (60, 2)) for c in (0.0, 5.0, 10.0)])
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "v array<double>")
+    book = co.fit_centroids(rows, 3, steps=4, share=0.5, seed=1).collect()
+    assert sorted(round(b.centroid[0]) for b in book) == [0, 5, 10]
+    assert 0 < sum(b.n for b in book) < 4 * 180
+    with pytest.raises(ValueError, match="fewer than"):
+        co.fit_centroids(rows.limit(2), 3)
+
+
+def test_odd_names_and_coverage(spark):
+    from kairograph.functions import text as tx
+    from kairograph.operators import context as cx
+    from kairograph.operators import ranking as rk
+
+    row = spark.range(1).select(tx.embedding_input(F.lit("a"), F.lit("b "), "").alias("x"), tx.embedding_input(F.lit("a"), F.lit("b"), " do ").alias("y")).first()
+    assert tuple(row) == ("a. b", "Instruct: do\nQuery: a. b")
+    items = spark.createDataFrame([("entity", 1), ("entity", 2), ("relation", 1)], "kind string, id long")
+    done = spark.createDataFrame([("entity", 1, "x"), ("entity", 1, "y"), ("entity", 2, " ")], "kind string, id long, description string")
+    seen = spark.createDataFrame([("relation", 1), ("relation", 1)], "kind string, id long")
+    assert sorted(map(tuple, cx.coverage(items, done, seen).collect())) == [("entity", 2, 1, 0), ("relation", 1, 0, 1)]
+    listed = spark.createDataFrame([(1, 1, "B"), (1, 2, "b "), (1, 3, "c"), (1, 4, " A"), (2, 1, "z")], "id long, place int, item string")
+    goal = spark.createDataFrame([(1, "a"), (2, "y")], "id long, item string")
+    out = rk.metrics_by_name(listed, goal, spark.createDataFrame([(1, "C"), (1, "A")], "id long, item string")).first()
+    assert (out.num_eval, out.mrr, out.hits_1, out.hits_3) == (2, 1 / 6, 0.0, 0.5)
