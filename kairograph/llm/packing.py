@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 END_ID = 1
-#: Chunks and words kept per worker; the older half goes when a cache is full.
+#: Chunks, and words, kept per worker, twice as many at most; the older half goes when a cache is full.
 CACHE_ENTRIES = 200_000
 
 # Fixed values of the tokenizer file: its split pattern on lower-case Latin text.
@@ -41,15 +41,15 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 class _Cache(dict):
     """Two generations: a full cache becomes the old one, whose hits move up again."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -64,7 +64,7 @@ class ChunkTokenizer:
     and tokenized only when new. Chunks beyond plain Latin go to the full tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -75,8 +75,8 @@ class ChunkTokenizer:
             byte_char[b] = chr(b) if b in seen else chr(spare)
             spare += b not in seen
         self.as_bytes = {c: "".join(byte_char[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.words = _Cache(self._word)
-        self.chunks = _Cache(self._chunk)
+        self.words = _Cache(self._word, cache_entries)
+        self.chunks = _Cache(self._chunk, cache_entries)
 
     def _word(self, word: str) -> bytes:
         return np.array([t.id for t in self.model(word if word.isascii() else word.translate(self.as_bytes))], "<u4").tobytes()
@@ -143,11 +143,11 @@ def carried(fill: np.ndarray, capacity: int, others: int) -> np.ndarray:
 _LOCAL = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, up boolean, fill long"
 
 
-def _tokenize_and_pack(path: str, capacity: int, leaves: int, with_ids: bool):
+def _tokenize_and_pack(path: str, capacity: int, leaves: int, with_ids: bool, cache_entries: int):
     """mapInPandas body: (id, text) rows of a partition to pieces in local bins."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = ChunkTokenizer(path)
+        tok = ChunkTokenizer(path, cache_entries)
         end = np.array([END_ID], "<u4").tobytes()
         doc, piece, start, length, crc, ids = [], [], [], [], [], []
         for pdf in batches:
@@ -195,7 +195,7 @@ def _merge(capacity: int, others: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, fan_in: int = 8, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, fan_in: int = 8, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pack all documents into as few ``capacity``-token sequences as best-fit finds.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
@@ -203,11 +203,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     more than ``capacity`` ids (end id included) are cut; all others stay whole.
 
     Null or empty texts are one end id; null ids stay null; repeated rows are packed once
-    each; an empty table gives no rows; further columns are ignored.
+    each; an empty table gives no rows; further columns are ignored. ``cache_entries`` trades a
+    worker's memory for time and changes no result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     leaves = max(1, rows.rdd.getNumPartitions())
-    local = materialize(rows.mapInPandas(_tokenize_and_pack(tokenizer_path, capacity, leaves, with_ids), _LOCAL + (", ids binary" if with_ids else "")))
+    local = materialize(rows.mapInPandas(_tokenize_and_pack(tokenizer_path, capacity, leaves, with_ids, cache_entries), _LOCAL + (", ids binary" if with_ids else "")))
 
     level = local.where("up").select("bin", "fill").distinct().select(
         "bin", "fill", F.array(F.struct(F.col("bin"), F.lit(0).cast("long").alias("shift"))).alias("members"), F.lit(True).alias("up"), F.shiftright("bin", 40).alias("grp")
