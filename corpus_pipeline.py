@@ -40,10 +40,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens."""
+    """Pack what is left into sequences of 4096 tokens; small caches, as executors still hold what earlier stages took."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, cache_entries=50_000)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
