@@ -107,6 +107,14 @@ def op9_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_recordings(prints, F.col("rec_id") % 50 == 0)
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least 5 letters and 3 occurrences with its near words' number, form and root."""
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_one_in=97)
+
+
 #: Production mixing: the share of the tokens to keep, and how far shares are flattened.
 MIX_FRACTION, MIX_ALPHA = 0.8, 0.7
 
