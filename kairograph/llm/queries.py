@@ -107,6 +107,16 @@ def op9_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_recordings(prints, F.col("rec_id") % 50 == 0)
 
 
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether the tokens are more than 2048."""
+    import public_tokenizers
+
+    from .token_automaton import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, after every seventh row's label is moved on by one."""
