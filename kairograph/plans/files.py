@@ -12,6 +12,8 @@ from ..operators import prompts as pr
 from ..operators import ranking as rk
 from ..sources import readers as rd
 from ..sources import sinks as sk
+from ..sources.matrix import read_matrix, write_matrix
+from ..streaming import resumable
 from ..streaming.facts import stream_folder
 from . import codes as pc
 from .common import ASKED, FACTS, HISTORY, TEST_FROM, VALID_FROM, entity_names, facts, query, relation_names, table
@@ -242,3 +244,38 @@ def index_file(spark, sf_dir):
     path = stream_folder(spark)
     sk.write_index(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), path)
     return spark.read.csv(path, sep="\t", header=True, schema="row_index long, id long, name string")
+
+
+@query("SELECT vec_id, i - 1 AS i, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def matrix_file(spark, sf_dir):
+    """Vectors written as matrix files, the id as their first column, and read by ranges of rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("v"))
+    path = stream_folder(spark)
+    write_matrix(rows, path, kind="double")
+    read = read_matrix(spark, path, kind="double", range_bytes=1 << 20)
+    return read.select(F.col("v")[0].cast("long").alias("vec_id"), F.posexplode(F.slice("v", 2, F.size("v") - 1)).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("SELECT p_partkey AS id, 'about ' || p_name AS description FROM part")
+def resumed_descriptions(spark, sf_dir):
+    """Descriptions made in batches, interrupted after two of them and taken up again."""
+    folder = stream_folder(spark)
+    pending = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    schema = "id long, description string"
+    begun = []
+
+    def describe(batch: DataFrame) -> DataFrame:
+        return batch.select("id", F.concat(F.lit("about "), "name").alias("description"))
+
+    def failing(batch: DataFrame) -> DataFrame:
+        begun.append(1)
+        if len(begun) > 2:
+            raise InterruptedError("after two batches")
+        return describe(batch)
+
+    try:
+        resumable.complete(pending, failing, folder, schema, id_col="id", batches=5)
+    except Exception as e:
+        if "after two batches" not in str(e):
+            raise
+    return resumable.complete(pending, describe, folder, schema, id_col="id", batches=5)

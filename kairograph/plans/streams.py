@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.order import small
 from ..streaming import facts as st
-from .common import FACTS, query, relation_names, table
+from ..streaming import history as sh
+from .common import FACTS, INC, query, relation_names, table
 
 
 def _stream(spark, sf_dir) -> DataFrame:
@@ -35,3 +36,9 @@ def stream_daily_snapshots(spark, sf_dir):
 @query(f"{FACTS}, c AS (SELECT s, t, sum(count(*)) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, lag(t) OVER (PARTITION BY s ORDER BY t) AS p FROM f GROUP BY s, t) SELECT s AS e, seq, f.t, s, r, o, least(coalesce(n, 0), 50)::BIGINT AS n_before, p AS newest_t FROM f JOIN c USING (s, t)")
 def stream_rolling_history(spark, sf_dir):
     return st.run_to_table(st.rolling_history(_stream(spark, sf_dir), 50), "append")
+
+
+@query(f"{FACTS}, {INC} SELECT et.e, et.q, (et.n - inc.p + 1)::INT AS rank, inc.seq, inc.t, inc.s, inc.r, inc.o FROM et JOIN inc ON inc.e = et.e AND inc.p <= et.n AND inc.p > et.n - 20 WHERE et.q < (SELECT max(t) FROM f)")
+def stream_newest_facts(spark, sf_dir):
+    """The 20 newest facts of every entity before each day that the stream has closed."""
+    return sh.run_rolling(sh.newest_facts(_stream(spark, sf_dir), 20))

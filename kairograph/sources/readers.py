@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import spaced_name
+from .matrix import read_matrix  # noqa: F401
 
 FACTS = "seq long, s long, r long, o long, t long"
 
@@ -107,26 +106,6 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     return d
 
 
-def read_matrix(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """(file, row, v) of ``.npy`` or ``.npz`` files, two-dimensional; each file is read by one task,
-    so a large matrix is kept as many files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for pdf in batches:
-            for file, raw in zip(pdf["path"], pdf["content"]):
-                m = np.load(io.BytesIO(raw), allow_pickle=False)
-                m = m[key or m.files[0]] if hasattr(m, "files") else m
-                if m.ndim != 2:
-                    raise ValueError(f"{file} has {m.ndim} dimensions, not 2")
-                for lo in range(0, len(m), 10_000):
-                    part = m[lo : lo + 10_000]
-                    yield pd.DataFrame({"file": file, "row": range(lo, lo + len(part)), "v": list(part.astype("float32"))})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, v array<float>")
-
-
 def read_samples(spark: SparkSession, path: str, schema: str, *, lines: bool = True, wrapper: tuple[str, ...] = ("data", "samples", "records")) -> DataFrame:
     """Samples of JSON lines, of an array, or of an array inside an object (``wrapper``); broken lines raise."""
     if lines:
