@@ -109,7 +109,8 @@ def group_spellings(words: DataFrame, *, ratio: int = 2) -> DataFrame:
         raise ValueError("ratio must be at least 2")
     words = materialize(words.select("word", "n"))
     pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")).unionAll(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))
+    side = lambda x, y: F.struct(F.col(x).alias("word"), F.col(y).alias("other"), F.col(f"{y}_n").alias("other_n"))
+    both = pairs.select(F.inline(F.array(side("a", "b"), side("b", "a"))))  # one plan for both directions
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     strong = -F.col("best.less") >= ratio * F.col("n")
     told = words.join(near, "word", "left")
