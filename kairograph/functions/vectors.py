@@ -29,7 +29,8 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(EPS)))
+    # the norm is evaluated once: inside the lambda it would be for every component
+    return F.zip_with(a, F.array_repeat(F.greatest(norm(a), F.lit(EPS)), F.size(a)), lambda x, n: x / n)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

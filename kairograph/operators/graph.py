@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 
 from ..functions import vectors as v
 from .facts import both_directions, first_seen
+from .messages import SMALL_VECTORS, VectorSum, aggregate_messages, attach, composed_sum
+from .order import small
 
 
 def edge_frequency(facts: DataFrame, n_rel: int) -> DataFrame:
@@ -84,23 +86,27 @@ def _sum_vectors(x: DataFrame, by: Sequence[str], col: str, name: str, mean: boo
 def gather(edges: DataFrame, nodes: DataFrame, relations: DataFrame, compose: str = "add") -> DataFrame:
     """``edges`` plus ``message``: source vector composed with the relation's (added or multiplied).
     ``nodes`` (node, h), ``relations`` (rel, h); the composition called ``sub`` is addition too."""
-    joined = edges.join(nodes.select(F.col("node").alias("src"), F.col("h").alias("_hs")), "src").join(relations.select("rel", F.col("h").alias("_hr")), "rel")
+    joined = attach(edges, nodes.select("node", F.col("h").alias("hs")), "src", "").join(small(relations.select("rel", F.col("h").alias("_hr")), SMALL_VECTORS), "rel")
     op: Callable = {"add": v.add, "sub": v.add, "mult": lambda a, b: F.zip_with(a, b, lambda x, y: x * y)}[compose]
     return joined.withColumn("message", op(F.col("_hs"), F.col("_hr"))).drop("_hs", "_hr")
 
 
 def message_sum(messages: DataFrame, norms: DataFrame, width: int | None = None) -> DataFrame:
     """(node, h): incoming messages summed and scaled by the node's norm."""
-    total = _sum_vectors(messages, ["dst"], "message", "_sum", width=width).withColumnRenamed("dst", "node")
-    return total.join(norms.select("node", "norm"), "node").select("node", v.scale(F.col("_sum"), F.col("norm")).alias("h"))
+    return scaled_sum(_sum_vectors(messages, ["dst"], "message", "h", width=width).withColumnRenamed("dst", "node"), norms)
 
 
-def attention(edges: DataFrame, nodes: DataFrame, slope: float = 0.01) -> DataFrame:
-    """``edges`` plus ``attention``: softmax over each destination of the leaky dot product of its ends."""
-    src = nodes.select(F.col("node").alias("src"), F.col("h").alias("_hs"))
-    dst = nodes.select(F.col("node").alias("dst"), F.col("h").alias("_hd"))
-    raw = v.dot(F.col("_hs"), F.col("_hd"))
-    return _softmax_by_end(edges.join(src, "src").join(dst, "dst").withColumn("_e", raw).drop("_hs", "_hd"), slope)
+def scaled_sum(sums: DataFrame, norms: DataFrame) -> DataFrame:
+    """(node, h): sums (node, h) scaled by the node's norm."""
+    return sums.join(norms.select("node", "norm"), "node").select("node", v.scale(F.col("h"), F.col("norm")).alias("h"))
+
+
+def attention(edges: DataFrame, nodes: DataFrame, slope: float = 0.01, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """``edges`` plus ``attention``: softmax over each destination of the leaky dot product of its ends.
+    ``cut`` writes the edges with their scores, which the softmax reads three times."""
+    h = nodes.select("node", "h")
+    scored = attach(attach(edges, h, "src", "_s"), h, "dst", "_d").withColumn("_e", v.dot(F.col("_s_h"), F.col("_d_h"))).drop("_s_h", "_d_h")
+    return _softmax_by_end(cut(scored), slope)
 
 
 def relational_attention(edges: DataFrame, nodes: DataFrame, relations: DataFrame, weight: Sequence[float], slope: float = 0.01) -> DataFrame:
@@ -120,15 +126,17 @@ def relational_attention(edges: DataFrame, nodes: DataFrame, relations: DataFram
 
 def _softmax_by_end(e: DataFrame, slope: float) -> DataFrame:
     e = e.withColumn("_e", F.greatest("_e", F.col("_e") * slope))
-    top = e.groupBy("dst").agg(F.max("_e").alias("_top"))
+    top = aggregate_messages(e, {"_top": F.col("_e")}, {"_top": F.max})
     e = e.join(top, "dst").withColumn("_x", F.exp(F.col("_e") - F.col("_top")))
-    return e.join(e.groupBy("dst").agg(F.sum("_x").alias("_sum")), "dst").withColumn("attention", F.col("_x") / F.col("_sum")).drop("_e", "_x", "_top", "_sum")
+    return e.join(aggregate_messages(e, {"_sum": F.col("_x")}, {"_sum": F.sum}), "dst").withColumn("attention", F.col("_x") / F.col("_sum")).drop("_e", "_x", "_top", "_sum")
 
 
 def attended_sum(edges: DataFrame, nodes: DataFrame, width: int | None = None) -> DataFrame:
     """(node, h): attention-weighted sum of the source vectors."""
-    m = edges.join(nodes.select(F.col("node").alias("src"), "h"), "src").select(F.col("dst").alias("node"), v.scale(F.col("h"), F.col("attention")).alias("_m"))
-    return _sum_vectors(m, ["node"], "_m", "h", width=width)
+    if width is None:
+        m = attach(edges, nodes.select("node", "h"), "src", "src").select(F.col("dst").alias("node"), v.scale(F.col("src_h"), F.col("attention")).alias("_m"))
+        return _sum_vectors(m, ["node"], "_m", "h")
+    return aggregate_messages(edges, {"h": (F.col("src_h"), F.col("attention"))}, {"h": VectorSum(width)}, src=nodes.select("node", "h")).withColumnRenamed("dst", "node")
 
 
 def mean_pool(members: DataFrame, by: str, width: int | None = None) -> DataFrame:
@@ -155,7 +163,7 @@ def relational_layer(nodes: DataFrame, edges: DataFrame, relations: DataFrame, w
     """(node, h) after one layer: messages through ``weight``, summed and scaled; plus the node's
     own vector through ``self_weight``, or ``lone_weight`` where nothing comes in; then relu.
     The matrix is applied to a node's sum, once, instead of to each of its messages."""
-    came = message_sum(gather(edges, nodes, relations, compose), node_norms(edges), len(weight)).select("node", linear(F.col("h"), weight).alias("_in"))
+    came = scaled_sum(composed_sum(edges, nodes, relations, len(weight), compose), node_norms(edges)).select("node", linear(F.col("h"), weight).alias("_in"))
     out = nodes.join(came, "node", "left")
     h = F.when(F.col("_in").isNull(), linear(F.col("h"), lone_weight)).otherwise(v.add(F.col("_in"), linear(F.col("h"), self_weight)))
     return out.select("node", F.transform(h, lambda x: F.greatest(x, F.lit(0.0))).alias("h"))

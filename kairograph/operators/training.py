@@ -58,3 +58,39 @@ def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
 def first_rows(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     """The first ``most`` rows in order of their id: a limit of a trial run."""
     return rows.orderBy(id_col).limit(most)
+
+
+def next_tokens(paths: DataFrame, end: int) -> DataFrame:
+    """(prefix, tokens): the tokens that continue each prefix (ids joined by commas, the root is '') of the
+    token lists ``paths`` (path), sorted; ``end`` comes last where a whole path ends."""
+    at = F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.struct(F.slice("path", 1, k).alias("head"), F.try_element_at("path", k + 1).alias("token")))
+    rows = paths.where(F.size("path") > 0).select(F.explode(at).alias("x")).select(_key(F.col("x.head")).alias("prefix"), "x.token").distinct()
+    inside = F.sort_array(F.collect_set("token"))  # nulls, the ends, are not collected
+    ends = F.max(F.col("token").isNull())
+    return rows.groupBy("prefix").agg(F.when(ends, F.concat(inside, F.array(F.lit(end)))).otherwise(inside).alias("tokens"))
+
+
+def _key(ids: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
+def allowed_labels(rows: DataFrame, id_col: str, paths: DataFrame, end: int) -> DataFrame:
+    """(id, position from 0, token, allowed): for every label of a sample that is not masked the tokens
+    that may stand there after the labels before it. A prefix of no path allows only ``end``; the label
+    itself is always allowed, last where the paths do not have it."""
+    target = F.filter("labels", lambda x: x != IGNORED)
+    at = F.transform(F.sequence(F.lit(0), F.size("_t") - 1), lambda k: F.struct(k.alias("position"), F.element_at("_t", k + 1).alias("token"), _key(F.slice("_t", 1, k)).alias("prefix")))
+    spots = rows.select(F.col(id_col).alias("id"), target.alias("_t")).where(F.size("_t") > 0).select("id", F.explode(at).alias("x")).select("id", "x.*")
+    met = spots.join(next_tokens(paths, end), "prefix", "left").withColumn("tokens", F.coalesce("tokens", F.array(F.lit(end))))
+    own = F.when(F.array_contains("tokens", F.col("token")), F.col("tokens")).otherwise(F.concat("tokens", F.array("token")))
+    return met.select("id", "position", "token", own.alias("allowed"))
+
+
+def pad_allowed(allowed: DataFrame, batch: Column) -> DataFrame:
+    """``allowed`` with its lists padded by 0 to the longest of their batch, and ``mask`` of what is real."""
+    rows = allowed.withColumn("_batch", batch).withColumn("_n", F.size("allowed"))
+    most = rows.groupBy("_batch").agg(F.max("_n").alias("_most"))
+    fill = lambda x, n: F.array_repeat(F.lit(x), n.cast("int"))
+    gap = F.col("_most") - F.col("_n")
+    rows = rows.join(most, "_batch").withColumn("mask", F.concat(fill(True, F.col("_n")), fill(False, gap)))
+    return rows.withColumn("allowed", F.concat("allowed", fill(0, gap))).drop("_batch", "_n", "_most")

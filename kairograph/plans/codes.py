@@ -236,3 +236,16 @@ def filter_resolution(spark, sf_dir):
     filters = coded.select(i.alias("id"), F.when(i % 3 == 0, (i + 1).cast("string")).when(i % 3 == 1, F.col("tokens")).otherwise(F.concat(F.lit(" Entity_"), (i - 1).cast("string"))).alias("filter"))
     names = coded.select(F.concat(F.lit("entity "), i.cast("string")).alias("name"), i.alias("entity"))
     return de.resolve_filters(filters, names, coded.select("tokens", i.alias("entity")))
+
+
+@query(f"{_SCORES} SELECT query AS row_index, count(*) AS entities, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM es WHERE query % 3 = 0 GROUP BY query")
+def bucketed_scores(spark, sf_dir):
+    """Scores of every third query, looked up in a store in buckets of the query row."""
+    from ..sources import score_store as ss
+    from ..streaming.facts import stream_folder
+
+    scored = _scored(spark, sf_dir).select(F.col("query").alias("row_index"), F.col("entity").alias("entity_id"), "score")
+    store = ss.write_store(scored, stream_folder(spark), buckets=16)
+    rows = table(spark, sf_dir, "embeddings").where(f"vec_id % {APART} = 0 AND vec_id % 3 = 0").select(F.col("vec_id").alias("row_index"))
+    met = ss.scores_at(store, rows)
+    return met.groupBy("row_index").agg(F.count(F.lit(1)).alias("entities"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..operators import facts as fa
 from ..operators import graph as gr
+from ..operators import layers as ly
+from ..operators import messages as ms
 from .common import BOTH, FACTS, TEST_FROM, facts, query, table, written
 
 #: Numbers of a vector, and time steps of a subgraph's past.
@@ -88,14 +90,14 @@ _MSG = f"{FACTS}, {BOTH}, {_NODES}, nn AS (SELECT o AS node, count(*) AS degree
 def message_sum(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     nodes = _nodes(spark, sf_dir)
-    return _long(gr.message_sum(gr.gather(e, nodes, nodes.withColumnRenamed("node", "rel")), gr.node_norms(e), WIDTH), "node")
+    return _long(gr.scaled_sum(ms.composed_sum(e, nodes, nodes.withColumnRenamed("node", "rel"), WIDTH), gr.node_norms(e)), "node")
 
 
 @query(f"{_MSG} SELECT ms.node, i::INT AS i, round(sum(x * y) / any_value(degree), 6) AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i")
 def message_product(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     nodes = _nodes(spark, sf_dir)
-    return _long(gr.message_sum(gr.gather(e, nodes, nodes.withColumnRenamed("node", "rel"), "mult"), gr.node_norms(e), WIDTH), "node")
+    return _long(gr.scaled_sum(ms.composed_sum(e, nodes, nodes.withColumnRenamed("node", "rel"), WIDTH, "mult"), gr.node_norms(e)), "node")
 
 
 _ATT = f"""{FACTS}, {_NODES}, ed AS MATERIALIZED (SELECT f.s AS src, f.r AS rel, f.o AS dst, f.seq, greatest(list_inner_product(a.h, d.h), 0.01 * list_inner_product(a.h, d.h)) AS e FROM f JOIN nd a ON a.node = f.s JOIN nd d ON d.node = f.o),
@@ -104,7 +106,7 @@ at AS MATERIALIZED (SELECT *, exp(e - max(e) OVER (PARTITION BY dst)) AS x FROM
 
 def _attention(spark, sf_dir):
     f = facts(spark, sf_dir).select(F.col("s").alias("src"), F.col("r").alias("rel"), F.col("o").alias("dst"), "seq")
-    return gr.attention(f, _nodes(spark, sf_dir))
+    return gr.attention(f, _nodes(spark, sf_dir), cut=written)
 
 
 @query(f"{_ATT} SELECT seq, src, rel, dst, round(attention, 6) AS attention FROM sm".replace("at AS MAT", "ax AS MAT").replace("FROM at)", "FROM ax)"))
@@ -171,9 +173,10 @@ def bfs_levels(spark, sf_dir):
     return gr.bfs_levels(e, e.agg(F.min("src").alias("node")).where("node IS NOT NULL"), None, written)
 
 
-#: Components of every snapshot's graph; a node is (t, entity) as one number.
-@query(f"{FACTS.replace('WITH rel', 'WITH RECURSIVE rel')}, g AS MATERIALIZED (SELECT DISTINCT t * 1000000 + s AS a, t * 1000000 + o AS b FROM f), u AS MATERIALIZED (SELECT a, b FROM g UNION SELECT b, a FROM g), n AS MATERIALIZED (SELECT a AS node, least(a, min(b)) AS near FROM u GROUP BY a), w AS (SELECT node, near AS reach, 0 AS k FROM n UNION ALL SELECT u.a, min(w.reach), any_value(w.k) + 1 FROM w JOIN (SELECT a, b FROM u UNION SELECT a, a FROM u) u ON u.b = w.node WHERE w.k < 12 GROUP BY u.a) SELECT node, min(reach) AS component FROM w GROUP BY node")
+#: Components of every snapshot's graph; a node is (t, entity).
+@query(f"{FACTS.replace('WITH rel', 'WITH RECURSIVE rel')}, g AS MATERIALIZED (SELECT DISTINCT t, s AS a, o AS b FROM f), u AS MATERIALIZED (SELECT t, a, b FROM g UNION SELECT t, b, a FROM g), w AS (SELECT DISTINCT t, a AS node, a AS reach FROM u UNION SELECT u.t, u.b, w.reach FROM w JOIN u ON u.t = w.t AND u.a = w.node WHERE w.reach < u.b) SELECT t, node, min(reach) AS component FROM w GROUP BY t, node")
 def components(spark, sf_dir):
     f = facts(spark, sf_dir)
-    key = F.col("t") * 1_000_000
-    return gr.components(f.select((key + F.col("s")).alias("src"), (key + F.col("o")).alias("dst")), written)
+    of = lambda c: F.struct("t", F.col(c).alias("e"))
+    found = gr.components(f.select(of("s").alias("src"), of("o").alias("dst")), written)
+    return found.select("node.t", F.col("node.e").alias("node"), F.col("component.e").alias("component"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, files, forecasts, graphs, samples, scoring, streams, temporal, texts  # noqa: F401
+from . import codes, files, forecasts, graphs, layers, samples, scoring, streams, temporal, texts  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

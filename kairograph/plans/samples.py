@@ -158,3 +158,25 @@ def centroid_step(spark, sf_dir):
     book = vec.where(F.col("vec_id") < pc.SIZE).select(F.col("vec_id").cast("int").alias("code"), F.col("v").alias("centroid"), (F.col("vec_id") + 1).alias("n"))
     out = co.move_centroids(book, vec.select("v"))
     return out.select("code", "n", F.posexplode("centroid").alias("i", "x")).select("code", "i", F.round("x", 6).alias("x"), "n")
+
+
+#: Codes of every other vector are the paths; labels are all codes, an end after them, two masked places before.
+_END = 9999
+_PATHS = f"""{pc._CODES}, tk AS MATERIALIZED (SELECT vec_id AS id, z0::INT AS a, 1000 + z1::INT AS b, 2000 + z2::INT AS c FROM zs),
+nx AS MATERIALIZED (SELECT '' AS prefix, list_sort(list(DISTINCT a)) AS tokens FROM tk WHERE id % 2 = 0 UNION ALL SELECT a::VARCHAR, list_sort(list(DISTINCT b)) FROM tk WHERE id % 2 = 0 GROUP BY a
+ UNION ALL SELECT a || ',' || b, list_sort(list(DISTINCT c)) FROM tk WHERE id % 2 = 0 GROUP BY a, b UNION ALL SELECT DISTINCT a || ',' || b || ',' || c, [{_END}] FROM tk WHERE id % 2 = 0),
+sp AS (SELECT id, 0 AS position, a AS token, '' AS prefix FROM tk UNION ALL SELECT id, 1, b, a::VARCHAR FROM tk UNION ALL SELECT id, 2, c, a || ',' || b FROM tk UNION ALL SELECT id, 3, {_END}, a || ',' || b || ',' || c FROM tk),
+al AS MATERIALIZED (SELECT id, position, token, CASE WHEN list_contains(t, token) THEN t ELSE list_append(t, token) END AS allowed FROM (SELECT sp.*, coalesce(tokens, [{_END}]) AS t FROM sp LEFT JOIN nx USING (prefix)))"""
+
+
+@query(f"{_PATHS} SELECT id, position, token, array_to_string(allowed, ',') AS allowed, max(len(allowed)) OVER (PARTITION BY id // 16) AS width, len(allowed) AS real FROM al")
+def allowed_labels(spark, sf_dir):
+    """What may stand at every label, padded by batches of 16 samples."""
+    z = [F.col(f"z{k}").cast("int") + 1000 * k for k in range(3)]
+    tokens = pc._encoded(spark, sf_dir).select(F.col("vec_id").alias("id"), F.array(*z).alias("path"))
+    masked = F.lit(tr.IGNORED)
+    rows = tokens.select("id", F.concat(F.array(masked, masked), "path", F.array(F.lit(_END))).alias("labels"))
+    out = tr.pad_allowed(tr.allowed_labels(rows, "id", tokens.where("id % 2 = 0"), _END), F.floor(F.col("id") / 16))
+    real = F.size(F.filter("mask", lambda x: x)).cast("long")
+    return out.select("id", "position", "token", F.array_join(F.slice("allowed", 1, real.cast("int")), ",").alias("allowed"), F.size("allowed").cast("long").alias("width"), real.alias("real"))
+
