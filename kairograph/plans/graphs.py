@@ -80,20 +80,20 @@ def history_subgraph_inverse(spark, sf_dir):
 
 
 def _long(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.posexplode("h").alias("i", "x")).select(key, "i", F.round("x", 6).alias("x"))
+    return df.select(key, F.posexplode("h").alias("i", "x")).select(key, "i", (F.round("x", 6) + 0.0).alias("x"))  # no negative zero
 
 
 _MSG = f"{FACTS}, {BOTH}, {_NODES}, nn AS (SELECT o AS node, count(*) AS degree FROM b GROUP BY o), ms AS (SELECT b.o AS node, unnest(range({WIDTH})) AS i, unnest(a.h) AS x, unnest(r.h) AS y FROM b JOIN nd a ON a.node = b.s JOIN nd r ON r.node = b.r)"
 
 
-@query(f"{_MSG} SELECT ms.node, i::INT AS i, round(sum(x + y) / any_value(degree), 6) AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i")
+@query(f"{_MSG} SELECT ms.node, i::INT AS i, round(sum(x + y) / any_value(degree), 6) + 0.0 AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i")
 def message_sum(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     nodes = _nodes(spark, sf_dir)
     return _long(gr.scaled_sum(ms.composed_sum(e, nodes, nodes.withColumnRenamed("node", "rel"), WIDTH), gr.node_norms(e)), "node")
 
 
-@query(f"{_MSG} SELECT ms.node, i::INT AS i, round(sum(x * y) / any_value(degree), 6) AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i")
+@query(f"{_MSG} SELECT ms.node, i::INT AS i, round(sum(x * y) / any_value(degree), 6) + 0.0 AS x FROM ms JOIN nn USING (node) GROUP BY ms.node, i")
 def message_product(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     nodes = _nodes(spark, sf_dir)
@@ -114,12 +114,12 @@ def edge_softmax(spark, sf_dir):
     return _attention(spark, sf_dir).select("seq", "src", "rel", "dst", F.round("attention", 6).alias("attention"))
 
 
-@query((f"{_ATT}, lg AS (SELECT dst, attention, unnest(range({WIDTH})) AS i, unnest(nd.h) AS v FROM sm JOIN nd ON nd.node = sm.src) SELECT dst AS node, i::INT AS i, round(sum(attention * v), 6) AS x FROM lg GROUP BY dst, i").replace("at AS MAT", "ax AS MAT").replace("FROM at)", "FROM ax)"))
+@query((f"{_ATT}, lg AS (SELECT dst, attention, unnest(range({WIDTH})) AS i, unnest(nd.h) AS v FROM sm JOIN nd ON nd.node = sm.src) SELECT dst AS node, i::INT AS i, round(sum(attention * v), 6) + 0.0 AS x FROM lg GROUP BY dst, i").replace("at AS MAT", "ax AS MAT").replace("FROM at)", "FROM ax)"))
 def attended_sum(spark, sf_dir):
     return _long(gr.attended_sum(_attention(spark, sf_dir), _nodes(spark, sf_dir), WIDTH), "node")
 
 
-@query(f"{FACTS}, {_NODES}, lg AS (SELECT f.r AS rel, unnest(range({WIDTH})) AS i, unnest(nd.h) AS v FROM (SELECT DISTINCT r, s FROM f) f JOIN nd ON nd.node = f.s) SELECT rel, i::INT AS i, round(avg(v), 6) AS x FROM lg GROUP BY rel, i")
+@query(f"{FACTS}, {_NODES}, lg AS (SELECT f.r AS rel, unnest(range({WIDTH})) AS i, unnest(nd.h) AS v FROM (SELECT DISTINCT r, s FROM f) f JOIN nd ON nd.node = f.s) SELECT rel, i::INT AS i, round(avg(v), 6) + 0.0 AS x FROM lg GROUP BY rel, i")
 def mean_pool(spark, sf_dir):
     f = facts(spark, sf_dir).select(F.col("r").alias("rel"), F.col("s").alias("node")).distinct()
     return _long(gr.mean_pool(f.join(_nodes(spark, sf_dir), "node"), "rel", WIDTH), "rel")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as cl
 from ..operators import layers as ly
-from .common import BOTH, FACTS, query, written
-from .graphs import _NODES, WIDTH, _edges, _long, _nodes, table
+from .common import BOTH, FACTS, query, table, written
+from .graphs import _NODES, WIDTH, _edges, _nodes
 
 BASES, BLOCKS = 3, 8
 SIDE = WIDTH // BLOCKS
@@ -16,6 +16,11 @@ BASIS_WEIGHTS = [[[((i * 3 + j * 5 + k) % 7 - 3) / 20 for j in range(WIDTH)] for
 BIAS = [(j % 5 - 2) / 10 for j in range(WIDTH)]
 
 
+def _long(df):
+    """One row for each component, away from halves so that both engines round alike."""
+    return df.select("node", F.posexplode("h").alias("i", "x")).select("node", "i", F.round(F.col("x") + 1e-9, 6).alias("x"))
+
+
 def _coefficients(edges):
     """(rel, basis, a) by a rule of both numbers."""
     rel = edges.select("rel").distinct()
@@ -24,7 +29,7 @@ def _coefficients(edges):
 
 
 _IN = f"{FACTS}, {BOTH}, {_NODES}, nn AS (SELECT o AS node, count(*) AS degree FROM b GROUP BY o)"
-_OUT = f"SELECT nd.node, j::INT AS i, round(greatest(coalesce(y / degree, 0) + (j % 5 - 2) / 10.0, 0.0), 6) AS x FROM nd CROSS JOIN range({WIDTH}) w(j) LEFT JOIN su ON su.node = nd.node AND su.c = j LEFT JOIN nn ON nn.node = nd.node"
+_OUT = f"SELECT nd.node, j::INT AS i, round(greatest(coalesce(y / degree, 0) + (j % 5 - 2) / 10.0, 0.0) + 1e-9, 6) AS x FROM nd CROSS JOIN range({WIDTH}) w(j) LEFT JOIN su ON su.node = nd.node AND su.c = j LEFT JOIN nn ON nn.node = nd.node"
 
 
 @query(
@@ -34,7 +39,7 @@ _OUT = f"SELECT nd.node, j::INT AS i, round(greatest(coalesce(y / degree, 0) + (
 def basis_layer(spark, sf_dir):
     e, _ = _edges(spark, sf_dir)
     e = written(e.drop("t"))
-    return _long(ly.basis_layer(_nodes(spark, sf_dir), e, _coefficients(e), BASIS_WEIGHTS, bias=BIAS), "node")
+    return _long(ly.basis_layer(_nodes(spark, sf_dir), e, _coefficients(e), BASIS_WEIGHTS, bias=BIAS))
 
 
 @query(
@@ -46,7 +51,7 @@ def basis_input_layer(spark, sf_dir):
     e, nodes = written(e.drop("t")), _nodes(spark, sf_dir)
     row = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: ((F.col("node") * 3 + j * 5 + F.col("basis")) % 7 - 3) / F.lit(20.0))
     bases = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BASES - 1))).alias("basis")).select("node", "basis", row.alias("h"))
-    return _long(ly.basis_input_layer(nodes, e, _coefficients(e), bases, WIDTH, bias=BIAS), "node")
+    return _long(ly.basis_input_layer(nodes, e, _coefficients(e), bases, WIDTH, bias=BIAS))
 
 
 @query(
@@ -59,7 +64,7 @@ def block_layer(spark, sf_dir):
     e = written(e.drop("t"))
     weight = F.transform(F.sequence(F.lit(0), F.lit(WIDTH * SIDE - 1)), lambda p: ((p + F.col("rel")) % 9 - 4) / F.lit(20.0))
     weights = e.select("rel").distinct().select("rel", weight.alias("weight"))
-    return _long(ly.block_layer(_nodes(spark, sf_dir), e, weights, BLOCKS, WIDTH, WIDTH, bias=BIAS), "node")
+    return _long(ly.block_layer(_nodes(spark, sf_dir), e, weights, BLOCKS, WIDTH, WIDTH, bias=BIAS))
 
 
 #: Every fortieth vector's label is a node's class; every eightieth trains.
