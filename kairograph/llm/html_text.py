@@ -49,22 +49,30 @@ SIGMA = 1.5
 #: Weights of lines in a marking element, of lines with a marking class word (before and after smoothing,
 #: so that they neither lend to nor borrow from their neighbours), and of article and main elements.
 FRAMED, MARKED, NAMED = 0.1, 0.25, 2.0
-#: Share of the plain text above which a name's elements are no furniture.
+#: Words of a name that mark furniture while anything else on the page reads like an article.
+STRICT = frozenset("comment comments commentlist disqus reply respond footer nav navbar navigation contentinfo".split())
+#: Share of the plain text outside links above which a name's elements may be no furniture.
 RELEASED = 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A closing block reads as a sentence, and is no copyright line.
+_SENTENCE, _RIGHTS = re.compile(r"[.!?…。！？][\"'”’»)]*$"), re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
 #: Share of the best container's ratio that makes another one part of the article.
 SHARE = 0.2
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines: (text, tags, link characters, container number, state, marks); the
+    """Parser events to lines: (text, tags, link characters, container number, state, marks, heading); the
     state is 0 for plain lines, 1 in a marking element, 2 where nothing is shown."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int, frozenset]] = []
         self.open: Counter[str] = Counter()  # open elements by name, so that stray end tags cost nothing
-        self.lines: list[tuple[str, int, int, int, int, frozenset]] = []
+        self.lines: list[tuple[str, int, int, int, int, frozenset, bool]] = []
         self.kinds: list[bool] = [False]  # of each container: whether it is an article or main element
+        self.outer: list[int] = [0]  # of each container: the element it stands in, by number
+        self.elements = 0
+        self.numbers: list[int] = []  # of the open elements
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -75,13 +83,14 @@ class _Lines(HTMLParser):
         """Close the elements from place ``k`` of the stack on."""
         for x in self.stack[k:]:
             self.open[x[0]] -= 1
-        del self.stack[k:]
+        del self.stack[k:], self.numbers[k:]
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         state, container, marks = self._state()
         if text:
-            self.lines.append((text, self.tags, self.linked, container, state, marks))
+            heading = any(x[0] in HEADINGS for x in self.stack[-4:])
+            self.lines.append((text, self.tags, self.linked, container, state, marks, heading))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -113,7 +122,10 @@ class _Lines(HTMLParser):
         named = tag in CONTENT or any(k == "role" and v == "main" for k, v in attrs)
         if named or tag in ("div", "section", "td") and not self.kinds[container]:
             self.kinds.append(named)
+            self.outer.append(self.numbers[-1] if self.numbers else 0)
             container = len(self.kinds) - 1
+        self.elements += 1
+        self.numbers.append(self.elements)
         self.stack.append((tag, state, container, marks))
         self.open[tag] += 1
 
@@ -161,7 +173,7 @@ def page_lines(html: str) -> _Lines:
 
 def raw_ratios(lines) -> np.ndarray:
     """Characters outside links per tag of each line; what is not shown has none."""
-    return np.array([0.0 if state == 2 else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, state, _ in lines])
+    return np.array([0.0 if state == 2 else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, state, *_ in lines])
 
 
 def smoothed_ratios(ratio: np.ndarray) -> np.ndarray:
@@ -172,15 +184,28 @@ def smoothed_ratios(ratio: np.ndarray) -> np.ndarray:
 
 
 def released_marks(lines) -> set:
-    """Names that mark no furniture here: their elements hold almost all of the page's plain text outside links."""
+    """Names that mark no furniture here. Their elements hold almost all of the page's plain text outside
+    links, and no line without such a name is above the threshold of the lines' own ratios; a name
+    with a word of ``STRICT`` also needs that no line without such a word is above it."""
     total, held = 0, {}
-    for text, _, linked, _, state, marks in lines:
+    for text, _, linked, _, state, marks, _ in lines:
         if not state:
             n = max(0, len(text) - linked)
             total += n
             for m in marks:
                 held[m] = held.get(m, 0) + n
-    return {m for m, n in held.items() if n > RELEASED * total}
+    large = {m for m, n in held.items() if n > RELEASED * total}
+    if not large:
+        return large
+    ratio = raw_ratios(lines) * np.array([FRAMED if x[4] == 1 else 1.0 for x in lines])
+    cut = threshold_of(smoothed_ratios(ratio))
+    high = [x for x, r in zip(lines, ratio) if not x[4] and r >= cut]
+    strict = {m for m in large if STRICT & {w.lower() for w in _NAME.findall(m[2])}}
+    if any(not x[5] for x in high):
+        return set()
+    if any(not x[5] & strict for x in high):
+        return large - strict
+    return large
 
 
 def threshold_of(values: np.ndarray) -> float:
@@ -227,7 +252,35 @@ def main_text(html: str | None) -> str:
     named = any(kinds[c] for c in regions)
     inside = np.zeros(len(lines), bool)
     inside[places[0] : places[-1] + 1] = not named
-    return "\n".join(x[0] for x, k, show, i in zip(lines, keep, shown, inside) if k or show and i)
+    keep |= shown & inside
+    beside = {page.outer[c] for c in regions}
+    for k in _beside(lines, keep, weight_of == 1, lambda c: page.outer[c] in beside):
+        keep[k] = True
+    return "\n".join(x[0] for x, k in zip(lines, keep) if k)
+
+
+def _beside(lines, keep: np.ndarray, plain: np.ndarray, sibling) -> list[int]:
+    """Plain lines of sibling containers that adjoin the kept ones: before them, from a heading on;
+    after them, what reads as sentences."""
+    first, last = np.flatnonzero(keep)[[0, -1]]
+
+    def fits(k: int) -> bool:
+        text, _, linked, container, state, _, _ = lines[k]
+        return bool(plain[k]) and not state and 2 * linked < len(text) and sibling(container)
+
+    out, run, k = [], [], first - 1
+    while k >= 0 and fits(k):
+        run.append(k)
+        if lines[k][6]:
+            out, run = out + run, []
+        k -= 1
+    k = last + 1
+    while k < len(lines) and fits(k) and (lines[k][6] or _SENTENCE.search(lines[k][0])) and not _RIGHTS.search(lines[k][0]):
+        out.append(k)
+        k += 1
+    while out and out[-1] > last and lines[out[-1]][6]:
+        out.pop()  # a heading with nothing below it
+    return out
 
 
 def extract_main_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

@@ -366,3 +366,45 @@ def test_pages_keep_rows(spark):
     rows = ht.extract_main_text(d).collect()
     assert len(rows) == 3 and all(r.n_chars == len(r.text) for r in rows) and rows[2].text == ""
     assert ht.extract_main_text(d.limit(0)).count() == 0
+
+
+STORY = [f"Paragraph {k} of the article tells at some length what happened and why it matters to all of us." for k in range(3)]
+TALK = [f"Reader {k} thinks that this is quite right and says so in a rather long comment under the text." for k in range(12)]
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+@pytest.mark.parametrize("name", ["comments", "comment-list", "disqus_thread"])
+def test_comments_longer_than_the_article(tag, name):
+    page = f"<body><nav><a href=a>Home</a></nav><{tag}><h1>Title here</h1>{''.join(f'<p>{p}</p>' for p in STORY)}</{tag}><div class={name}>{''.join(f'<p>{c}</p>' for c in TALK)}</div></body>"
+    assert ht.main_text(page) == "\n".join(["Title here", *STORY])
+    inside = f"<body><{tag}>{''.join(f'<p>{p}</p>' for p in STORY)}<div class={name}>{''.join(f'<div><p>{c}</p></div>' for c in TALK)}</div></{tag}></body>"
+    assert ht.main_text(inside) == "\n".join(STORY)
+
+
+def test_names_that_frame_the_article_are_released():
+    body = "".join(f"<p>{p}</p>" for p in STORY * 4)
+    assert ht.main_text(f"<body><div class=menu><a href=a>Home</a></div><div class=page-with-sidebar>{body}</div><div class=bottom>Contact</div></body>") == "\n".join(STORY * 4)
+    # where all text is comments, a page of comments is what there is
+    assert ht.main_text(f"<body><div class=comments>{body}</div></body>") == "\n".join(STORY * 4)
+
+
+def test_titles_and_endings_in_siblings():
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    links = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    page = f"<body>{links}<div class=h><h1>The title</h1></div><div>{body}</div><div>That is all.</div><div>&copy; 2024 The paper.</div></body>"
+    assert ht.main_text(page) == "\n".join(["The title", *STORY, "That is all."])
+    lead = f"<body>{links}<div><h1>The title</h1><p>By a writer</p></div><div>{body}</div><div><h2>More</h2></div>{links}</body>"
+    assert ht.main_text(lead) == "\n".join(["The title", "By a writer", *STORY])
+
+
+def test_ratios_decide_where_names_are_absent(monkeypatch):
+    """The given pages without their class names and marking elements."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    bare = [re.sub(r"<(/?)(nav|footer|header|aside|article|main|form)\b[^>]*>", r"<\1div>", re.sub(r' (class|id|role)="[^"]*"', "", h)) for h in pages if h]
+    own = [ht.main_text(h) for h in bare]
+    monkeypatch.setattr(ht, "smoothed_ratios", lambda ratio: np.ones(len(ratio)))
+    assert np.mean([a != ht.main_text(h) for a, h in zip(own, bare)]) > 0.5
