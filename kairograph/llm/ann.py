@@ -19,10 +19,12 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
-#: Nodes of a shard (about 1 KB each while its graph is built): a 64th of all, within these bounds; queries that search it together.
-SHARD_NODES, QUERY_BLOCK = (8192, 131_072), 2048
+#: Nodes of a shard (about 1 KB each while its graph is built): a 64th of all, within these bounds.
+SHARD_NODES = (8192, 131_072)
 #: Edges of a node, beam widths of inserting and of querying, and the pruning's relaxation.
 DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 32, 64, 192, 1.1
+#: Nodes that every search starts from: the middle one and those far from the others.
+ENTRIES = 8
 #: Nodes or queries that walk the graph side by side, and expansions of each in one step.
 BATCH, EXPAND = 512, 4
 
@@ -69,7 +71,7 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, options: np.ndarray, degree:
     """Up to ``degree`` diverse neighbours of each node among its row of options (-1: none)."""
     options = np.sort(np.where(options == nodes[:, None], -1, options), axis=1)
     options[:, 1:][options[:, 1:] == options[:, :-1]] = -1
-    v = x[np.maximum(options, 0)]
+    v = x[np.maximum(options, 0)] - x[nodes][:, None, :]  # from the node on: single precision must tell near options apart
     gap = _gaps(x[nodes], x, options)
     square = np.einsum("bcd,bcd->bc", v, v)
     between = np.maximum(square[:, :, None] + square[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1)), 0)
@@ -90,19 +92,60 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     """Neighbours of every node (-1 where fewer than ``degree``) and the nodes searches start from."""
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
-    centre = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if n else 0
+    entry = _entries(x)
     order = np.random.default_rng(seed).permutation(n).astype(np.int32)
-    order = np.concatenate([[centre], order[order != centre]]).astype(np.int32) if n else order
-    entry, at, size = np.array([centre], np.int32), 1, 8
+    order = np.concatenate([entry, order[~np.isin(order, entry)]])
+    at, size = 0, max(8, len(entry))
     while at < n:
         batch = order[at : at + size]
-        found, _ = beam_search(x, graph, entry, x[batch], beam)
+        found, _ = beam_search(x, graph, entry[:at] if at < len(entry) else entry, x[batch], beam)
         if size < BATCH:  # while the graph is small, those inserted together are options too
             found = np.concatenate([found, np.broadcast_to(batch, (len(batch), len(batch)))], 1)
         graph[batch] = robust_prune(x, batch, found, degree, alpha)
         _add_back_edges(x, graph, batch, degree, alpha)
         at, size = at + len(batch), min(2 * size, BATCH)
-    return graph, entry
+    return _link_unreached(x, graph, entry, beam), entry
+
+
+def _entries(x: np.ndarray) -> np.ndarray:
+    """The middle node, then the farthest from those chosen, while any is apart from them."""
+    if not len(x):
+        return np.zeros(0, np.int32)
+    out = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+    gap = ((x - x[out[0]]) ** 2).sum(1)
+    while len(out) < ENTRIES and gap.max() > 0:
+        out.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[out[-1]]) ** 2).sum(1))
+    return np.array(out, np.int32)
+
+
+def _reach(graph: np.ndarray, reached: np.ndarray, front: np.ndarray) -> None:
+    """Mark all that can be reached from ``front``."""
+    while len(front):
+        reached[front] = True
+        near = np.unique(graph[front])
+        front = near[(near >= 0) & ~reached[near]]
+
+
+def _link_unreached(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
+    """The graph with an edge to every node that pruning has cut off, from a near one that searches
+    reach; such edges are not pruned, and a node without room for one gets it in a further column."""
+    reached = np.zeros(len(x), bool)
+    _reach(graph, reached, entry)
+    while not reached.all():
+        batch = np.flatnonzero(~reached)[:BATCH]
+        found, _ = beam_search(x, graph, entry, x[batch], beam)
+        used = (graph >= 0).sum(1)
+        for node, near in zip(batch, found):
+            near = near[near >= 0]
+            room = near[used[near] < graph.shape[1]]
+            if not len(room):
+                graph = np.concatenate([graph, np.full((len(graph), 4), -1, np.int32)], 1)
+                room = near
+            graph[room[0], used[room[0]]] = node
+            used[room[0]] += 1
+        _reach(graph, reached, batch)
+    return graph
 
 
 def _add_back_edges(x, graph, batch, degree, alpha) -> None:
@@ -153,7 +196,8 @@ def _build(kind: str, degree: int, beam: int, alpha: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec")
         x = np.frombuffer(b"".join(pdf["vec"]), kind).reshape(len(pdf), -1)
-        graph, entry = build_graph((x.astype(np.float64) * _walk_scale(x)).astype(np.float32), degree, beam, alpha, seed=int(key[1]))
+        wide = x.astype(np.float64)
+        graph, entry = build_graph(((wide - wide.mean(0)) * _walk_scale(x)).astype(np.float32), degree, beam, alpha, seed=int(key[1]))
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "nodes": [len(pdf)], "vecs": [x.tobytes()], "graph": [graph.tobytes()], "entry": [entry.tobytes()], "ids": [list(pdf["ids"])]})
 
     return run
@@ -188,60 +232,77 @@ def build_index(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embe
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(_build(kind, degree, beam, alpha), "dim int, shard long, nodes long, vecs binary, graph binary, entry binary, ids array<array<long>>"))
 
 
-def _search(kind: str, k: int, beam: int):
-    """cogroup body: one shard and the queries of one block to each query's k nearest of the shard."""
-
-    def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "q", "vec_id", "score"]
-        if not len(shard) or not len(queries):
-            return pd.DataFrame(columns=cols)
-        s = shard.iloc[0]
-        n = int(s["nodes"])
-        exact, graph = np.frombuffer(s["vecs"], kind).reshape(n, -1).astype(np.float64), np.frombuffer(s["graph"], np.int32).reshape(n, -1)
-        entry, scale, out = np.frombuffer(s["entry"], np.int32), _walk_scale(exact), []
-        x = (exact * scale).astype(np.float32)
-        q = np.frombuffer(b"".join(queries["vec"]), kind).reshape(len(queries), -1).astype(np.float64)
-        for lo in range(0, len(q), BATCH):
-            part = q[lo : lo + BATCH]
-            found, _ = beam_search(x, graph, entry, (part * scale).astype(np.float32), beam)
-            for i, (nodes, own) in enumerate(zip(found, queries["query_id"].iloc[lo : lo + BATCH])):
+class _Shard:
+    """One shard of the index, as a query meets it."""
+
+    def __init__(self, row, kind: str):
+        n = int(row["nodes"])
+        self.exact, self.graph = np.frombuffer(row["vecs"], kind).reshape(n, -1).astype(np.float64), np.frombuffer(row["graph"], np.int32).reshape(n, -1)
+        self.entry, self.scale, self.ids = np.frombuffer(row["entry"], np.int32), _walk_scale(self.exact), row["ids"]
+        self.middle = self.exact.mean(0)
+        self.x = ((self.exact - self.middle) * self.scale).astype(np.float32)
+
+    def nearest(self, queries: pd.DataFrame, kind: str, k: int, beam: int) -> pd.DataFrame:
+        """Each query's ``k`` nearest of the shard: (query_id, q, vec_id, score)."""
+        out = []
+        for lo in range(0, len(queries), BATCH):
+            rows = queries.iloc[lo : lo + BATCH]
+            part = np.frombuffer(b"".join(rows["vec"]), kind).reshape(len(rows), -1).astype(np.float64)
+            found, _ = beam_search(self.x, self.graph, self.entry, ((part - self.middle) * self.scale).astype(np.float32), beam)
+            for i, (nodes, own, q) in enumerate(zip(found, rows["query_id"], rows["q"])):
                 nodes = nodes[nodes >= 0]
-                score = np.sqrt(((exact[nodes] - part[i]) ** 2).sum(1))
-                order = np.argsort(score, kind="stable")
+                score = np.sqrt(((self.exact[nodes] - part[i]) ** 2).sum(1))
                 hits, last = [], np.inf
-                for j in order:
+                for j in np.argsort(score, kind="stable"):
                     if len(hits) >= k and score[j] > last:
                         break
-                    hits += [(score[j], int(v)) for v in s["ids"][nodes[j]] if v != own]
+                    hits += [(score[j], int(v)) for v in self.ids[nodes[j]] if v != own]
                     last = score[j]
-                out += [(own, lo + i, v, d) for d, v in sorted(hits)[:k]]
-        found = pd.DataFrame(out, columns=cols)
-        found["q"] = queries["q"].to_numpy()[found["q"].to_numpy(int)] if len(found) else found["q"]
-        return found
+                out += [(own, q, v, d) for d, v in sorted(hits)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"])
+
+
+def _search(kind: str, k: int, beam: int):
+    """mapInPandas body over rows sorted by (dim, shard), the shard's own row first: its queries stream past it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, shard = None, None
+        for pdf in batches:
+            for key, here in pdf.groupby(["dim", "shard"], sort=True):
+                if key != current:
+                    current, shard = key, None
+                stored, asked = here[here["turn"] == 0], here[here["turn"] > 0]
+                if len(stored):
+                    shard = _Shard(stored.iloc[0], kind)
+                if len(asked) and shard is not None:
+                    yield shard.nearest(asked, kind, k, beam)
 
     return run
 
 
-def search_index(index: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = QUERY_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = QUERY_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row by Euclidean
     distance in double precision, ties to the smaller vec_id; a row's own id is no candidate.
 
     Unusable query vectors (null, zero, null or non-finite components) and null ids are left
     out; repeated rows are one query; only vectors of the same length are compared; fewer
-    candidates than ``k`` give fewer ranks; empty tables give no rows."""
+    candidates than ``k`` give fewer ranks; empty tables give no rows. A shard is moved once,
+    however many queries there are."""
     kind = "<f4" if queries.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"
     if kind == "<f8":
         queries = queries.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
     asked = vectors_of(queries, id_col, vec_col).mapInPandas(_distinct(kind, 1 << 62), "vec binary, ids array<long>")
     asked = materialize(asked.select("vec", F.explode("ids").alias("query_id")).distinct())
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.select("query_id", "vec", F.xxhash64("vec").alias("q"), F.length("vec").alias("dim")).withColumn("block", F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)))
+    asked = asked.select("query_id", "vec", F.xxhash64("vec").alias("q"), F.length("vec").alias("dim"))
     shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
+    number = index.count()
     sent = asked.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ["dim", "shard", "block"]
-    near = sent.groupBy(*keys)
-    found = held.groupBy(*keys).cogroup(near).applyInPandas(_search(kind, k, beam), "query_id long, q long, vec_id long, score double")
+    # no nulls in integer columns: they would reach the task as doubles
+    zero = F.lit(0).cast("long")
+    held = index.select("*", F.lit(0).alias("turn"), zero.alias("query_id"), zero.alias("q"))
+    met = held.unionByName(sent.withColumn("turn", F.lit(1)).withColumn("nodes", zero), allowMissingColumns=True)
+    met = met.repartition(max(1, 4 * number), "dim", "shard").sortWithinPartitions("dim", "shard", "turn")
+    found = met.mapInPandas(_search(kind, k, beam), "query_id long, q long, vec_id long, score double")
     place = F.row_number().over(W.partitionBy("query_id", "q").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
