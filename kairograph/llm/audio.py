@@ -33,8 +33,10 @@ FILTERS = (
 CUTS, GRAY = np.array([-0.25, 0.0, 0.25]), np.array([0, 1, 3, 2], np.uint32)
 #: Key bits of a packed integer; least equal keys and overlapping places; most differing bits.
 KEY_BITS, MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 20, 3, 16, 0.15
-#: Frames transformed at once; recordings of a shard, a 64th of all within these bounds; queries that visit it together.
-BLOCK_FRAMES, SHARD_RECORDINGS, QUERY_BLOCK = 256, (4096, 65_536), 2048
+#: Packed integer of silence, all filters being even: it tells nothing, so it neither votes nor counts in an overlap.
+SILENT = np.uint32(0xFFFFFFFF)
+#: Frames transformed at once; recordings of a shard, a 64th of all within these bounds; pairs of runs met at once.
+BLOCK_FRAMES, SHARD_RECORDINGS, PAIRS = 256, (4096, 65_536), 1 << 19
 
 
 def pcm16(raw: bytes | None) -> np.ndarray:
@@ -124,62 +126,108 @@ def fingerprint_recordings(rows: DataFrame, *, id_col: str, media_col: str, deco
 
 
 def _errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
-    """Differing bits and places of the overlap when ``b`` starts ``offset`` places after ``a``."""
+    """Differing bits and places of the overlap when ``b`` starts ``offset`` places after ``a``; places
+    at which either is silent do not count."""
     lo, hi = max(0, offset), min(len(a), len(b) + offset)
     if hi <= lo:
         return 0, 0
-    return int(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()), hi - lo
+    x, y = a[lo:hi], b[lo - offset : hi - offset]
+    sound = (x != SILENT) & (y != SILENT)
+    return int(np.bitwise_count(x[sound] ^ y[sound]).sum()), int(sound.sum())
+
+
+def _runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first place and length of each run of equal keys that is not silent."""
+    key = np.where(code == SILENT, np.int64(-1), (code >> np.uint32(32 - KEY_BITS)).astype(np.int64))
+    first = np.flatnonzero(np.diff(key, prepend=-2) != 0)
+    length = np.diff(np.append(first, len(key)))
+    good = key[first] >= 0
+    return key[first][good], first[good], length[good]
 
 
 class Shard:
-    """Recordings with their places sorted by key."""
+    """Recordings with their runs of equal keys sorted by key."""
 
     def __init__(self, prints: list[np.ndarray]):
-        self.prints, size = prints, np.array([len(p) for p in prints], np.int64)
-        every = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-        key = every >> np.uint32(32 - KEY_BITS)
+        self.prints = prints
+        runs = [_runs(p) for p in prints]
+        key = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in runs)])
         order = np.argsort(key, kind="stable")
-        self.key, self.owner = key[order], np.repeat(np.arange(len(prints)), size)[order]
-        self.place = (np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size))[order]
-        self.reach = int(size.max()) if len(size) else 0
+        self.key, self.owner = key[order], np.repeat(np.arange(len(prints)), [len(r[0]) for r in runs])[order]
+        self.first, self.length = (np.concatenate([np.zeros(0, np.int64), *(r[j] for r in runs)])[order] for j in (1, 2))
+        self.reach = max((len(p) for p in prints), default=0)
+
+    def votes(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, offset, votes) of each recording's most voted offset, ties to the least.
+
+        Two runs of one key vote for a range of offsets: rising, level, falling. Only the four bends
+        of that line are noted, however long the runs are, and a recording's votes are the sum of its lines."""
+        key, first, length = _runs(query)
+        lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        width, bends, slopes = self.reach + 2 * len(query) + 2, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin = 0
+        total = np.cumsum(hi - lo)
+        while begin < len(key):
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+            n = (hi - lo)[begin:stop]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:stop], n)
+            mine, long = np.repeat(first[begin:stop], n), np.repeat(length[begin:stop], n)
+            low = self.owner[at] * (2 * width) + self.first[at] - mine - long + 1 + width
+            points = np.concatenate([low, low + long, low + self.length[at], low + long + self.length[at]])
+            change = np.repeat(np.array([1, -1, -1, 1]), len(at))
+            points, place = np.unique(np.concatenate([bends, points]), return_inverse=True)
+            slopes = np.bincount(place, np.concatenate([slopes, change]), len(points)).astype(np.int64)
+            bends, begin = points, stop
+        if not len(bends):
+            return bends, bends, bends
+        rec, x = bends // (2 * width), bends % (2 * width) - width
+        slope = np.cumsum(slopes)  # 0 again at the end of every recording
+        gap = np.diff(x, append=x[-1] + 1)
+        gap[np.append(np.diff(rec) > 0, True)] = 1  # the last bend of a recording, whose slope is 0
+        value = np.cumsum(slope * gap) - slope * (gap - 1)  # at the bend itself
+        ends = np.concatenate([value, value + slope * (gap - 1)])
+        rec2, x2 = np.concatenate([rec, rec]), np.concatenate([x, x + gap - 1])
+        order = np.lexsort((x2, -ends, rec2))
+        top = order[np.diff(rec2[order], prepend=-1) > 0]
+        return rec2[top], x2[top], ends[top]
 
     def aligned(self, query: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(recording, offset, share of differing bits) of those aligned with ``query``. The offset
         is the place of the query's start: the most voted one, ties to the least."""
-        q = query >> np.uint32(32 - KEY_BITS)
-        lo, hi = np.searchsorted(self.key, q, "left"), np.searchsorted(self.key, q, "right")
-        n = hi - lo
-        if n.sum() < MIN_VOTES:
-            return
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        shift = self.place[at] - np.repeat(np.arange(len(q)), n)
-        width = self.reach + len(q)
-        vote, count = np.unique(self.owner[at] * (2 * width) + shift + width, return_counts=True)
-        vote, count = vote[count >= MIN_VOTES], count[count >= MIN_VOTES]
-        rec, offset = vote // (2 * width), vote % (2 * width) - width
-        order = np.lexsort((offset, -count, rec))
-        for k in order[np.concatenate([[True], np.diff(rec[order]) > 0])] if len(order) else []:
-            bits, places = _errors(self.prints[rec[k]], query, int(offset[k]))
-            if places >= MIN_OVERLAP and bits <= MAX_ERROR * 32 * places:
-                yield int(rec[k]), int(offset[k]), bits / (32 * places)
-
-
-def _align(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """cogroup body: each class of the shard with its best query and how many align with it."""
-    columns = ["fingerprint", "links", "bit_error", "query_id", "offset"]
-    if not len(held) or not len(asked):
-        return pd.DataFrame(columns=columns)
-    raw = list(held["fingerprint"])
-    shard, best, links = Shard([np.frombuffer(r, "<u4") for r in raw]), {}, {}
-    for query, mine in zip(asked["query_id"].tolist(), asked["fingerprint"]):
-        for rec, offset, error in shard.aligned(np.frombuffer(mine, "<u4")):
-            if raw[rec] != mine:
-                links[rec] = links.get(rec, 0) + 1
-                best[rec] = min(best.get(rec, (2.0, 0, 0)), (error, query, offset))
-    return pd.DataFrame([(raw[r], links[r], *best[r]) for r in links], columns=columns)
-
-
-def align_recordings(prints: DataFrame, queries: Column, *, shard: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+        for rec, offset, count in zip(*self.votes(query)):
+            if count >= MIN_VOTES:
+                bits, places = _errors(self.prints[rec], query, int(offset))
+                if places >= MIN_OVERLAP and bits <= MAX_ERROR * 32 * places:
+                    yield int(rec), int(offset), bits / (32 * places)
+
+
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas body over rows sorted by shard, its recordings before its queries: each class of the
+    shard with its best query and how many align with it. Queries stream past the shard."""
+    number, raw, shard, best, links = None, [], None, {}, {}
+
+    def result() -> pd.DataFrame:
+        return pd.DataFrame([(raw[r], links[r], *best[r]) for r in links], columns=["fingerprint", "links", "bit_error", "query_id", "offset"])
+
+    for pdf in batches:
+        for key, turn, query, mine in pdf[["shard", "turn", "query_id", "fingerprint"]].itertuples(index=False):
+            if key != number:
+                if links:
+                    yield result()
+                number, raw, shard, best, links = key, [], None, {}, {}
+            if not turn:
+                raw.append(mine)
+                continue
+            shard = shard or Shard([np.frombuffer(r, "<u4") for r in raw])
+            for rec, offset, error in shard.aligned(np.frombuffer(mine, "<u4")):
+                if raw[rec] != mine:
+                    links[rec] = links.get(rec, 0) + 1
+                    best[rec] = min(best.get(rec, (2.0, 0, 0)), (error, query, offset))
+    if links:
+        yield result()
+
+
+def align_recordings(prints: DataFrame, queries: Column, *, shard: int | None = None) -> DataFrame:
     """Align all recordings (of ``fingerprint_recordings``) with those that ``queries`` picks.
 
     One row per row: rec_id, n_ints, class_id (least id of an equal fingerprint), n_links (query
@@ -189,14 +237,14 @@ def align_recordings(prints: DataFrame, queries: Column, *, shard: int | None =
     known = prints.where("n_ints > 0")
     classes = known.groupBy("fingerprint").agg(F.min("rec_id").alias("class_id"), F.min(F.when(queries, F.col("rec_id"))).alias("query_id"))
     classes = materialize(classes)
-    total, asking = classes.agg(F.count(F.lit(1)), F.count("query_id")).first()
+    total = classes.count()
     shard = min(max(total // 64, SHARD_RECORDINGS[0]), SHARD_RECORDINGS[1]) if shard is None else shard
-    shards, blocks = max(1, -(-total // shard)), max(1, -(-asking // block))
-    mark = F.xxhash64("fingerprint")
-    zero = F.lit(0).cast("long")
-    held = classes.select("fingerprint", F.pmod(mark, F.lit(shards)).alias("shard"), F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("block"))
-    asked = classes.where("query_id IS NOT NULL").select("fingerprint", "query_id", F.pmod(mark, F.lit(blocks)).alias("block"), F.explode(F.sequence(zero, F.lit(shards - 1).cast("long"))).alias("shard"))
-    pairs = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_align, "fingerprint binary, links long, bit_error double, query_id long, offset long")
+    shards = max(1, -(-total // shard))
+    mark, zero = F.xxhash64("fingerprint"), F.lit(0).cast("long")
+    held = classes.select("fingerprint", F.pmod(mark, F.lit(shards)).alias("shard"), F.lit(0).alias("turn"), zero.alias("query_id"))
+    asked = classes.where("query_id IS NOT NULL").select("fingerprint", F.explode(F.sequence(zero, F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("turn"), "query_id")
+    met = held.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "turn")
+    pairs = met.mapInPandas(_align, "fingerprint binary, links long, bit_error double, query_id long, offset long")
     best = pairs.groupBy("fingerprint").agg(F.sum("links").alias("n_links"), F.min(F.struct("bit_error", "query_id", "offset")).alias("best"))
     out = prints.join(classes.select("fingerprint", "class_id").join(best, "fingerprint", "left"), "fingerprint", "left")
     return out.select("rec_id", "n_ints", "class_id", F.coalesce("n_links", zero).alias("n_links"), "best.query_id", "best.offset", "best.bit_error")

@@ -84,7 +84,7 @@ def test_many_equal_vectors_over_shards(spark):
     index = ann.build_index(d, keep=6, shard_nodes=10)
     assert index.count() >= 2 and index.agg(F.sum("nodes")).first()[0] == len({tuple(v) for _, v in rows})
     got = {}
-    for r in ann.search_index(index, d.where("vec_id < 20"), k=5, block=7).collect():
+    for r in ann.search_index(index, d.where("vec_id < 20"), k=5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     x = np.array([v for _, v in rows])
     for q in range(20):
@@ -207,7 +207,7 @@ def test_alignment_finds_shifted_noise(spark):
     rows = [(k, pcm(s)) for k, s in enumerate(song)] + [(10, pcm(cut)), (11, pcm(song[1])), (12, None), (13, b"\0\0\0"), (None, pcm(song[2])), (14, b"\0" * 40000)]
     d = spark.createDataFrame(rows, "rec_id long, audio binary")
     prints = audio.fingerprint_recordings(d, id_col="rec_id", media_col="audio")
-    got = {r.rec_id: r for r in audio.align_recordings(prints, F.col("rec_id").isin(0, 1), shard=3, block=1).collect()}
+    got = {r.rec_id: r for r in audio.align_recordings(prints, F.col("rec_id").isin(0, 1), shard=3).collect()}
     assert got[10].query_id == 0 and got[10].offset == 7 and got[10].bit_error < 0.05 and got[10].n_links == 1
     assert got[11].class_id == 1 and got[1].class_id == 1 and got[11].n_links == 0
     assert got[3].n_links == 0 and got[12].n_ints == 0 and got[12].class_id is None and got[None].class_id == 2
@@ -261,7 +261,7 @@ def test_alignment_query_matches_brute_force(spark):
                 hits += [(e, q, o) for _, o, e in audio.Shard([p]).aligned(raw[q])]
         want[i] = (len(hits), *(min(hits)[1:] if hits else (None, None)))
     for shard in (None, 7):
-        got = {r.rec_id: (r.n_links, r.query_id, r.offset) for r in audio.align_recordings(prints, F.col("rec_id") % 50 == 0, shard=shard, block=3).collect()}
+        got = {r.rec_id: (r.n_links, r.query_id, r.offset) for r in audio.align_recordings(prints, F.col("rec_id") % 50 == 0, shard=shard).collect()}
         assert got == want
 
 
