@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.text import code_string, code_token
 from .graph import mean_pool
+from .seeding import seed_centroids
 
 #: Most numbers in a level's codebook that are sent to every task.
 MAX_CODEBOOK = 4_000_000
@@ -106,20 +108,6 @@ def fit_codebooks(rows: DataFrame, levels: int, size: int, *, vec_col: str = "v"
     return spark.createDataFrame(books, schema)
 
 
-def seed_centroids(buffer: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """``size`` rows of the buffer, each drawn by its squared distance to those drawn before."""
-    if len(buffer) < size:
-        raise ValueError(f"{len(buffer)} rows are fewer than {size} centroids")
-    rng = np.random.default_rng(seed)
-    drawn = [int(rng.integers(len(buffer)))]
-    gap = np.full(len(buffer), np.inf)
-    while len(drawn) < size:
-        gap = np.minimum(gap, ((buffer - buffer[drawn[-1]]) ** 2).sum(1))
-        total = gap.sum()
-        drawn.append(int(rng.choice(len(buffer), p=gap / total) if total > v.EPS else rng.integers(len(buffer))))
-    return buffer[drawn]
-
-
 def move_centroids(book: DataFrame, batch: DataFrame) -> DataFrame:
     """``book`` (code, centroid, n) after a batch of rows (v): each centroid moves towards the mean of
     the batch's rows nearest to it, by their share of all rows it has met (``n``)."""
@@ -133,15 +121,31 @@ def move_centroids(book: DataFrame, batch: DataFrame) -> DataFrame:
     return b.select("code", F.coalesce(moved, "centroid").alias("centroid"), total.alias("n"))
 
 
-def fit_centroids(rows: DataFrame, size: int, *, steps: int = 20, share: float = 0.1, buffer: int = 4096, seed: int = 0) -> DataFrame:
+def fit_centroids(rows: DataFrame, size: int, *, steps: int = 20, share: float = 0.1, seed: int = 0, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """(code, centroid, n) by mini-batches: ``steps`` batches of a ``share`` of the rows (v), from
-    centroids seeded on ``buffer`` rows chosen by hash. A step's book is as small as the centroids."""
+    centroids seeded over all rows. A step's book is as small as the centroids; ``cut`` writes
+    what the seeding reads again."""
     spark = rows.sparkSession
     rows = rows.select(F.transform("v", lambda x: x.cast("double")).alias("v"))
-    head = rows.orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(buffer).collect()
-    first = seed_centroids(np.array([r.v for r in head], float).reshape(len(head), -1), size, seed)
+    first = seed_centroids(rows, size, seed=seed, cut=cut)
     schema, book = "code int, centroid array<double>, n long", [(k, c.tolist(), 0) for k, c in enumerate(first)]
     for step in range(steps):
         batch = rows.where(F.pmod(F.xxhash64(F.lit(f"{seed} {step}"), "v"), F.lit(1_000_000)) < int(share * 1_000_000))
         book = [tuple(r) for r in move_centroids(spark.createDataFrame(book, schema), batch).collect()]
     return spark.createDataFrame(book, schema)
+
+
+def fit_residual(rows: DataFrame, levels: int, size: int, *, vec_col: str = "v", normalize: bool = True, steps: int = 10, share: float = 0.3, seed: int = 0, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """(level, code, centroid): ``fit_centroids`` on each level's residuals, one level after the other;
+    ``cut`` writes a level's residuals."""
+    spark, books = rows.sparkSession, []
+    schema = "level int, code int, centroid array<double>"
+    current = rows.where(F.col(vec_col).isNotNull()).select(F.transform(vec_col, lambda x: x.cast("double")).alias("residual"))
+    for level in range(levels):
+        points = cut(current.select((v.l2_normalize(F.col("residual")) if normalize else F.col("residual")).alias("v")))
+        fitted = fit_centroids(points, size, steps=steps, share=share, seed=seed + level, cut=cut)
+        own = [(r.code, r.centroid) for r in fitted.orderBy("code").collect()]
+        books += [(level, code, centroid) for code, centroid in own]
+        book = spark.createDataFrame([(0, code, centroid) for code, centroid in own], schema)
+        current = encode(points, book, 1, normalize=False).select("residual")
+    return spark.createDataFrame(books, schema)
