@@ -206,6 +206,8 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
 
 
-def sorted_edges(edges: DataFrame) -> DataFrame:
-    """Edges in order of destination, source and relation."""
-    return edges.orderBy("dst", "src", "rel")
+def sorted_edges(edges: DataFrame, then: tuple[str, ...] = ()) -> DataFrame:
+    """``edges`` plus ``place`` from 0 in order of destination, source and relation."""
+    from .order import number_rows
+
+    return number_rows(edges, [], "dst", "place", then=("src", "rel", *then), width=16)

@@ -23,13 +23,17 @@ def incidences(facts: DataFrame) -> DataFrame:
 def history(facts: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(e, q, rank, seq, t, s, r, o): the ``limit`` newest facts of ``e`` strictly before time ``q``.
 
-    An equi-join on (entity, position): a query's positions are known from the number of its
-    entity's earlier facts, so no more than ``limit`` rows are made for any query."""
-    inc = incidences(facts)
-    asked = queries.select("e", F.col("q").alias("t"))
-    n = as_of_sum(inc, asked, ["e"], "t", F.lit(1).cast("long"), "n").where("n > 0")
-    wanted = n.select("e", F.col("t").alias("q"), "n", F.explode(F.sequence(F.greatest(F.col("n") - (limit - 1), F.lit(1)), F.col("n"))).alias("p"))
-    return wanted.join(inc, ["e", "p"]).select("e", "q", (F.col("n") - F.col("p") + 1).cast("int").alias("rank"), "seq", *FACT)
+    A query's positions are known from the number of its entity's earlier facts. Facts lie in blocks of
+    ``limit`` positions, of which a query meets two at most, so what is shuffled are two small rows a
+    query and one a block, and the rows of the result are made where the block is."""
+    ends = facts.select("t", F.explode(F.array("s", "o")).alias("e"))
+    n = as_of_sum(ends, queries.select("e", F.col("q").alias("t")), ["e"], "t", F.lit(1).cast("long"), "n").where("n > 0")
+    block = lambda place: F.floor(place / F.lit(limit)).cast("long")
+    blocks = incidences(facts).withColumn("_b", block(F.col("p") - 1)).groupBy("e", "_b").agg(F.collect_list(F.struct("p", "seq", *FACT)).alias("_rows"))
+    wanted = n.select("e", F.col("t").alias("q"), "n", F.explode(F.sequence(block(F.greatest(F.col("n") - limit, F.lit(0))), block(F.col("n") - 1))).alias("_b"))
+    near = F.filter("_rows", lambda x: (x["p"] <= F.col("n")) & (x["p"] > F.col("n") - limit))
+    found = wanted.join(blocks, ["e", "_b"]).select("e", "q", "n", F.inline(near))
+    return found.select("e", "q", (F.col("n") - F.col("p") + 1).cast("int").alias("rank"), "seq", *FACT)
 
 
 def entity_queries(facts: DataFrame) -> DataFrame:

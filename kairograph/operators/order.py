@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def number_rows(df: DataFrame, major: list[str], minor: str, name: str, *, width: int = 1 << 16) -> DataFrame:
-    """``df`` plus ``name``: the row's place from 0 in the order (``major``, ``minor``).
+def number_rows(df: DataFrame, major: list[str], minor: str, name: str, *, then: tuple[str, ...] = (), width: int = 1 << 16) -> DataFrame:
+    """``df`` plus ``name``: the row's place from 0 in the order (``major``, ``minor``, ``then``).
 
     Rows are numbered within slices of ``width`` values of the integer column ``minor``; only
     the slices' sizes are ordered together, one small row for each."""
@@ -18,7 +18,7 @@ def number_rows(df: DataFrame, major: list[str], minor: str, name: str, *, width
     before = F.coalesce(F.sum("_n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(*keys, before.alias("_before"))
     out = df.join(sizes, keys)
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(minor)) - 1
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(minor, *then)) - 1
     return out.withColumn(name, (F.col("_before") + place).cast("long")).drop("_slice", "_before")
 
 

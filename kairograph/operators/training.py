@@ -50,9 +50,23 @@ def targets_as_codes(samples: DataFrame, names: DataFrame, codes: DataFrame) ->
     return s.where("output IS NOT NULL"), counts
 
 
+def _mark(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+
+
 def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Rows in a reproducible random order."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+    """Rows in a reproducible random order: of a hash of seed and id."""
+    return rows.orderBy(_mark(id_col, seed), id_col)
+
+
+def shuffle_places(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """``rows`` with an id plus ``place`` from 0 in the order of ``shuffled``; only the sizes of 4,096 ranges
+    of the hash are ordered together."""
+    from .order import number_rows
+
+    head = F.conv(F.substring(_mark(id_col, seed), 1, 15), 16, 10).cast("long")
+    marked = rows.where(F.col(id_col).isNotNull()).withColumn("_mark", head)
+    return number_rows(marked, [], "_mark", "place", then=(id_col,), width=1 << 48).drop("_mark")
 
 
 def first_rows(rows: DataFrame, id_col: str, most: int) -> DataFrame:

@@ -45,7 +45,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as facts: user -[event type]-> k on a day; (seq, s, r, o, t, split)."""
     from ..operators.facts import split_by_time
     events = table(spark, sf_dir, "events")
-    kinds = relation_names(spark, sf_dir).select(F.col("id").alias("r"), F.col("name").alias("event_type"))
+    kinds = _few(relation_names(spark, sf_dir)).select(F.col("id").alias("r"), F.col("name").alias("event_type"))
     f = events.join(kinds, "event_type").select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("long").alias("s"), "r", F.get_json_object("props", "$.k").cast("long").alias("o"),
         F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("t"),
@@ -53,12 +53,23 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_by_time(f, VALID_FROM, TEST_FROM)
 
 
+def _few(names: DataFrame, most: int = 1000) -> DataFrame:
+    """A dictionary of at most ``most`` rows as rows at hand, which are broadcast; a larger one as it is."""
+    rows = names.limit(most + 1).collect()
+    return F.broadcast(names.sparkSession.createDataFrame(rows, names.schema)) if len(rows) <= most else names
+
+
 def relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name) of the event types in alphabetical order."""
     kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).where("name IS NOT NULL").distinct()
     return kinds.select((F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("id"), "name")
 
 
+def relation_total(spark: SparkSession, sf_dir: str) -> int:
+    """Number of relations: of event types, which is a scan of one column."""
+    return relation_names(spark, sf_dir).count()
+
+
 def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name) of every entity of the facts: ``Entity_`` and its id."""
     from ..operators.ranking import entities

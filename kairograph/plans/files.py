@@ -16,7 +16,7 @@ from ..sources.matrix import read_matrix, write_matrix
 from ..streaming import resumable
 from ..streaming.facts import stream_folder
 from . import codes as pc
-from .common import ASKED, FACTS, HISTORY, TEST_FROM, VALID_FROM, entity_names, facts, query, relation_names, table
+from .common import ASKED, FACTS, HISTORY, TEST_FROM, VALID_FROM, entity_names, facts, query, relation_names, relation_total, table
 from .scoring import _PROMPT
 from .texts import _FIRST
 
@@ -208,7 +208,7 @@ def metrics_file(spark, sf_dir):
 def prompts_file(spark, sf_dir):
     """Prompts without history, written by split and read again."""
     path, f = stream_folder(spark), facts(spark, sf_dir)
-    rows = pr.prompt_rows(f.where("split = 'test'"), entity_names(spark, sf_dir), relation_names(spark, sf_dir), fa.relation_count(f), "test", limit=HISTORY, lookback=f, with_history=False)
+    rows = pr.prompt_rows(f.where("split = 'test'"), entity_names(spark, sf_dir), relation_names(spark, sf_dir), relation_total(spark, sf_dir), "test", limit=HISTORY, lookback=f, with_history=False)
     sk.write_prompts(rows, path)
     back = rd.read_samples(spark, path, "id long, input string, output string, filters array<string>, meta struct<in_history:boolean>, split string")
     return back.select("id", "input", "output", F.array_join("filters", "|").alias("filters"), "meta.in_history", "split")

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from ..operators import forecast as fc
-from ..operators.facts import relation_count
-from .common import FACTS, TEST_FROM, facts, query, written
+from .common import FACTS, TEST_FROM, facts, query, relation_total, written
 
 #: Snapshots of a step's history, answers of a query, and steps.
 WINDOW, TOP, STEPS = 5, 3, 3
@@ -31,7 +30,7 @@ def _unrolled(feedback: bool) -> str:
 
 def _run(spark, sf_dir, feedback):
     f = written(facts(spark, sf_dir).select("t", "s", "r", "o"))
-    return fc.forecast(f, TEST_FROM, window=WINDOW, k=TOP, n_rel=relation_count(f), cut=written, steps=STEPS, feedback=feedback)
+    return fc.forecast(f, TEST_FROM, window=WINDOW, k=TOP, n_rel=relation_total(spark, sf_dir), cut=written, steps=STEPS, feedback=feedback)
 
 
 @query(_unrolled(True))

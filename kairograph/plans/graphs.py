@@ -10,7 +10,7 @@ from ..operators import facts as fa
 from ..operators import graph as gr
 from ..operators import layers as ly
 from ..operators import messages as ms
-from .common import BOTH, FACTS, TEST_FROM, facts, query, table, written
+from .common import BOTH, FACTS, TEST_FROM, facts, query, relation_total, table, written
 
 #: Numbers of a vector, and time steps of a subgraph's past.
 WIDTH, PAST = 64, 10
@@ -18,7 +18,7 @@ WIDTH, PAST = 64, 10
 
 def _edges(spark, sf_dir) -> tuple[DataFrame, int]:
     f = facts(spark, sf_dir)
-    n = fa.relation_count(f)
+    n = relation_total(spark, sf_dir)
     return fa.both_directions(f, n).select(F.col("s").alias("src"), F.col("r").alias("rel"), F.col("o").alias("dst"), "t"), n
 
 
@@ -33,7 +33,7 @@ _NODES = "nd AS MATERIALIZED (SELECT vec_id AS node, embedding::DOUBLE[] AS h FR
 @query(f"{FACTS}, {BOTH} SELECT s AS src, r AS rel, o AS dst, count(*) AS freq FROM b WHERE t < {TEST_FROM} GROUP BY s, r, o")
 def edge_frequency(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return gr.edge_frequency(f.where(F.col("t") < TEST_FROM), fa.relation_count(f))
+    return gr.edge_frequency(f.where(F.col("t") < TEST_FROM), relation_total(spark, sf_dir))
 
 
 _DEG = "dg AS MATERIALIZED (SELECT t, o AS node, count(*) AS degree FROM b GROUP BY t, o)"
@@ -66,7 +66,7 @@ SELECT al.t, b.s AS src, b.r AS rel, b.o AS dst, count(*) AS freq FROM al JOIN b
 
 def _subgraph(spark, sf_dir, inverse: bool) -> DataFrame:
     f = facts(spark, sf_dir)
-    return gr.history_subgraphs(f, fa.relation_count(f), PAST, inverse=inverse)
+    return gr.history_subgraphs(f, relation_total(spark, sf_dir), PAST, inverse=inverse)
 
 
 @query(_subgraph_sql(False))

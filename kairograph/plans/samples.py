@@ -128,14 +128,14 @@ def first_documents(spark, sf_dir):
     return tr.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
 
 
-@query("SELECT doc_id, source FROM documents")
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS place FROM documents WHERE doc_id IS NOT NULL")
 def shuffled_documents(spark, sf_dir):
-    return tr.shuffled(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 7)
+    return tr.shuffle_places(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 7)
 
 
-@query(f"{FACTS}, {BOTH} SELECT o AS dst, s AS src, r AS rel, t FROM b")
+@query(f"{FACTS}, {BOTH} SELECT o AS dst, s AS src, r AS rel, t, row_number() OVER (ORDER BY o, s, r, t) - 1 AS place FROM b")
 def sorted_edges(spark, sf_dir):
-    return gr.sorted_edges(_edges(spark, sf_dir)[0]).select("dst", "src", "rel", "t")
+    return gr.sorted_edges(_edges(spark, sf_dir)[0], ("t",)).select("dst", "src", "rel", "t", "place")
 
 
 @query(f"{FACTS}, {BOTH} SELECT DISTINCT o AS node FROM b WHERE s IN (SELECT s FROM f WHERE t = 0)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as fa
 from ..operators import prompts as pr
 from ..operators import ranking as rk
-from .common import ASKED, BOTH, FACTS, HISTORY, INC, TEST_FROM, entity_names, facts, hist_sql, query, relation_names
+from .common import ASKED, BOTH, FACTS, HISTORY, INC, TEST_FROM, entity_names, facts, hist_sql, query, relation_names, relation_total
 
 #: Dense SQL form: every test query against every entity.
 _DENSE = f"""{ASKED}, {BOTH}, tq AS MATERIALIZED (SELECT * FROM qs WHERE t >= {TEST_FROM}),
@@ -26,7 +26,7 @@ _HITS = ", ".join(f"round(avg(CASE WHEN {{0}} <= {k} THEN 1.0 ELSE 0.0 END), 6)
 
 def _ranked(spark, sf_dir):
     f = facts(spark, sf_dir)
-    n = fa.relation_count(f)
+    n = relation_total(spark, sf_dir)
     return rk.ranks(f, rk.queries_of_test(f, n), n)
 
 
@@ -67,7 +67,7 @@ _TOTAL = "tt AS (SELECT q.e, q.r, q.t, count(b.s) AS total FROM dq q LEFT JOIN b
 
 def _top(spark, sf_dir):
     f = facts(spark, sf_dir)
-    n = fa.relation_count(f)
+    n = relation_total(spark, sf_dir)
     return f, n, rk.top_k(rk.candidates_seen(f, rk.queries_of_test(f, n), n), ["e", "r", "t"], 10, score="n")
 
 
@@ -118,5 +118,5 @@ oth AS (SELECT ids.id, string_agg('Entity_' || d.answer, '|' ORDER BY d.answer)
 )
 def prompt_rows(spark, sf_dir):
     f = facts(spark, sf_dir)
-    rows = pr.prompt_rows(f.where("split = 'test'"), entity_names(spark, sf_dir), relation_names(spark, sf_dir), fa.relation_count(f), "test", limit=HISTORY, lookback=f)
+    rows = pr.prompt_rows(f.where("split = 'test'"), entity_names(spark, sf_dir), relation_names(spark, sf_dir), relation_total(spark, sf_dir), "test", limit=HISTORY, lookback=f)
     return rows.select("id", "input", "output", F.array_join("filters", "|").alias("filters"), "meta.in_history", "meta.direction")

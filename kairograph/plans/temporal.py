@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as fa
 from ..operators import history as hi
 from ..operators import snapshots as sn
-from .common import ASKED, BOTH, FACTS, HISTORY, INC, RECENT, SHORT_HISTORY, facts, hist_sql, query
+from .common import ASKED, BOTH, FACTS, HISTORY, INC, RECENT, SHORT_HISTORY, facts, hist_sql, query, relation_total
 
 #: Ids sorted, distinct, joined by commas.
 IDS = "array_to_string(list_sort(list(DISTINCT {0})), ',')"
@@ -37,38 +37,38 @@ def snapshot_stats(spark, sf_dir):
 @query(f"{FACTS} SELECT seq, o AS s, r + (SELECT n FROM nr) AS r, s AS o, t FROM f")
 def inverse_edges(spark, sf_dir):
     f = facts(spark, sf_dir).drop("split")
-    return fa.inverse(f, fa.relation_count(f))
+    return fa.inverse(f, relation_total(spark, sf_dir))
 
 
 @query(f"{FACTS}, {ASKED} SELECT e, r, t, dir, {IDS.format('answer')} AS answers, count(DISTINCT answer) AS n FROM qs GROUP BY e, r, t, dir")
 def answer_sets(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return fa.answer_sets(f, fa.relation_count(f))
+    return fa.answer_sets(f, relation_total(spark, sf_dir))
 
 
 @query(f"{FACTS} SELECT 'object' AS kind, s AS a, r AS b, {IDS.format('o')} AS answers FROM f GROUP BY s, r UNION ALL SELECT 'subject', o, r + (SELECT n FROM nr), {IDS.format('s')} FROM f GROUP BY o, r UNION ALL SELECT 'relation', s, o, {IDS.format('r')} FROM f GROUP BY s, o")
 def static_answer_sets(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return fa.static_answer_sets(f, fa.relation_count(f))
+    return fa.static_answer_sets(f, relation_total(spark, sf_dir))
 
 
 @query(f"{FACTS}, {BOTH} SELECT s, r, o, min(t) AS first_t FROM b GROUP BY s, r, o")
 def first_seen_answers(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return fa.first_seen(f, fa.relation_count(f))
+    return fa.first_seen(f, relation_total(spark, sf_dir))
 
 
 @query(f"{FACTS}, {BOTH}, {ASKED}, fs AS (SELECT s, r, o, min(t) AS first_t FROM b GROUP BY s, r, o) SELECT q.e, q.r, q.t, count(fs.o) AS n FROM (SELECT DISTINCT e, r, t FROM qs) q LEFT JOIN fs ON fs.s = q.e AND fs.r = q.r AND fs.first_t < q.t GROUP BY ALL")
 def known_answer_counts(spark, sf_dir):
     f = facts(spark, sf_dir)
-    n = fa.relation_count(f)
+    n = relation_total(spark, sf_dir)
     return fa.known_answers(f, fa.queries_of(f, n), n)
 
 
 @query(f"{FACTS}, g AS (SELECT t, r, {IDS.format('s')} AS entities, count(DISTINCT s) AS n FROM f GROUP BY t, r) SELECT * FROM g UNION ALL SELECT t, r + (SELECT n FROM nr), entities, n FROM g")
 def rel_to_entities(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return fa.relation_entities(f, fa.relation_count(f))
+    return fa.relation_entities(f, relation_total(spark, sf_dir))
 
 
 @query(f"{FACTS} SELECT t, s, {IDS.format('r')} AS relations, count(DISTINCT r) AS n FROM f GROUP BY t, s")
@@ -107,7 +107,7 @@ def trailing_snapshots(spark, sf_dir):
 @query(f"{FACTS}, {ASKED} SELECT *, row_number() OVER (ORDER BY t, dir, seq) - 1 AS id FROM qs WHERE t > (SELECT min(t) FROM f)")
 def sample_ids(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return sn.sample_ids(f, fa.relation_count(f), skip_first=True)
+    return sn.sample_ids(f, relation_total(spark, sf_dir), skip_first=True)
 
 
 @query(f"{FACTS}, {INC}, {hist_sql('h', HISTORY)} SELECT * FROM h")
@@ -126,7 +126,7 @@ def history_visible(spark, sf_dir):
 @query(f"{FACTS}, {INC}, {ASKED}, {hist_sql('h', HISTORY)}, v AS (SELECT DISTINCT e, q, unnest([s, o]) AS x FROM h) SELECT qs.seq, qs.dir, qs.e, qs.r, qs.answer, qs.t, v.x IS NOT NULL AS in_history FROM qs LEFT JOIN v ON v.e = qs.e AND v.q = qs.t AND v.x = qs.answer")
 def in_history(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return hi.in_history(fa.queries_of(f, fa.relation_count(f)), hi.history(f, hi.entity_queries(f), HISTORY))
+    return hi.in_history(fa.queries_of(f, relation_total(spark, sf_dir)), hi.history(f, hi.entity_queries(f), HISTORY))
 
 
 @query(f"{FACTS} SELECT s, r, o, t, coalesce(sum(c) OVER (PARTITION BY s, r, o ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n FROM (SELECT s, r, o, t, count(*) AS c FROM f GROUP BY ALL)")
