@@ -72,11 +72,13 @@ def beam_decode(queries: DataFrame, scored: DataFrame, table: DataFrame, levels:
     ``llm`` adds ``llm_raw`` to (query, level, parent, token); every distinct parent is asked
     once for all modes. A null hybrid score is minus infinity. ``cut`` may write a level's
     beams to cut their lineage (the default persists nothing)."""
-    best = prefix_max_scores(scored, table)
     now = queries.select("query", F.explode(F.array(*map(F.lit, modes))).alias("mode"), F.lit("").alias("prefix"), *(F.lit(0.0).alias(c) for c in ("score", "llm_score", "graph_score")))
     for level in range(levels):
         parents = now.select("query", F.col("prefix").alias("parent")).distinct()
-        step = parents.join(best.where(F.col("level") == level + 1).withColumnRenamed("best", "graph_raw"), ["query", "parent"])
+        below = table.where(F.col("level") == level + 1).join(parents.select("parent").distinct(), "parent", "left_semi")
+        # scores below parents that no beam holds any more are not looked at
+        met = scored.join(below, "entity").join(parents, ["query", "parent"], "left_semi")
+        step = met.groupBy("query", "level", "parent", "token", "prefix").agg(F.max("score").alias("graph_raw"))
         step = step_scores(llm(step), topk).where("llm IS NOT NULL OR graph IS NOT NULL")
         alpha = scores.alpha_of_level(level, alphas, final_alpha)
         step = step.withColumn("mixed", scores.mix_log_probs(F.col("llm"), F.col("graph"), F.lit(alpha)))

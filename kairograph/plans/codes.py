@@ -172,7 +172,7 @@ _BEAM = _beam_sql()
 def _beams(spark, sf_dir):
     scored, tab = written(_scored(spark, sf_dir)), written(_table(spark, sf_dir))
     queries = scored.select("query").distinct()
-    return de.beam_decode(queries, scored, tab, LEVELS, rule_llm, alphas=ALPHAS, beams=BEAMS, topk=STEP_TOKENS), tab, scored
+    return de.beam_decode(queries, scored, tab, LEVELS, rule_llm, alphas=ALPHAS, beams=BEAMS, topk=STEP_TOKENS, cut=written), tab, scored
 
 
 @query(f"{_BEAM} SELECT query, mode, prefix, place, round(score, 6) AS score, round(llm_score, 4) AS llm_score, round(graph_score, 6) AS graph_score FROM n{LEVELS - 1}")
