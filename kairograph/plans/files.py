@@ -279,3 +279,30 @@ def resumed_descriptions(spark, sf_dir):
         if "after two batches" not in str(e):
             raise
     return resumable.complete(pending, describe, folder, schema, id_col="id", batches=5)
+
+
+@query(f"{FACTS} SELECT 'timed' AS kind, CASE WHEN t < {VALID_FROM} THEN 'train' WHEN t < {TEST_FROM} THEN 'valid' ELSE 'test' END AS split, s, r, o, t FROM f UNION ALL SELECT 'static', CASE WHEN t < {VALID_FROM} THEN 'train' WHEN t < {TEST_FROM} THEN 'valid' ELSE 'test' END, s, r, o, NULL FROM f")
+def link_dataset_files(spark, sf_dir):
+    """The five files of a link-prediction dataset, read with and without times."""
+    f, folder = facts(spark, sf_dir), stream_folder(spark)
+    entity_names(spark, sf_dir).select(_tabbed("name", "id").alias("value")).write.text(f"{folder}/entity2id.txt")
+    relation_names(spark, sf_dir).select(_tabbed("name", "id").alias("value")).write.text(f"{folder}/relation2id.txt")
+    for split in ("train", "valid", "test"):
+        f.where(F.col("split") == split).select(_tabbed("s", "r", "o", "t").alias("value")).write.text(f"{folder}/{split}.txt")
+    out = None
+    for kind in ("timed", "static"):
+        tables = rd.read_link_dataset(spark, folder, timed=kind == "timed")
+        for split in ("train", "valid", "test"):
+            t = F.col("t") if kind == "timed" else F.lit(None).cast("long").alias("t")
+            part = tables[split].select(F.lit(kind).alias("kind"), F.lit(split).alias("split"), "s", "r", "o", t)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT p_partkey AS id, p_name AS name, 'about, \"' || p_name || '\"' AS description FROM part")
+def marked_descriptions_file(spark, sf_dir):
+    """Descriptions behind a byte-order mark."""
+    path = stream_folder(spark)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit('about, "'), "p_name", F.lit('"')).alias("description"))
+    sk.write_descriptions(rows, path, mark=True)
+    return rd.read_descriptions(spark, path)

@@ -45,21 +45,23 @@ def name_to_id(names: DataFrame) -> DataFrame:
     return names.groupBy("name").agg(F.max_by("id", "seq").alias("id"))
 
 
-def read_facts(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
-    """(seq, s, r, o, t) of white-space separated lines: further fields are ignored, shorter lines
-    skipped (``strict``: tab-separated, shorter lines raise). A missing file is an empty table."""
+def read_facts(spark: SparkSession, path: str, *, strict: bool = False, timed: bool = True) -> DataFrame:
+    """(seq, s, r, o, t) of white-space separated lines, without t unless ``timed``: further fields are
+    ignored, shorter lines skipped (``strict``: tab-separated, shorter lines raise). A missing file is an
+    empty table, but raises where ``strict``."""
+    names = "srot" if timed else "sro"
     try:
         rows = _lines(spark, path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND" and not strict:
-            return spark.createDataFrame([], FACTS)
+            return spark.createDataFrame([], FACTS).select("seq", *names)
         raise
     parts = F.split("value", "\t") if strict else F.split(F.trim("value"), "\\s+")
     if strict:
-        rows = rows.withColumn("value", _strict(F.size(parts) >= 4, F.col("value"), "too few fields in line"))
+        rows = rows.withColumn("value", _strict(F.size(parts) >= len(names), F.col("value"), "too few fields in line"))
     else:
-        rows = rows.where(F.size(parts) >= 4)
-    return rows.select("seq", *(F.trim(parts[k]).cast("long").alias(c) for k, c in enumerate("srot")))
+        rows = rows.where(F.size(parts) >= len(names))
+    return rows.select("seq", *(F.trim(parts[k]).cast("long").alias(c) for k, c in enumerate(names)))
 
 
 def read_dataset(spark: SparkSession, root: str, name: str) -> dict[str, DataFrame]:
@@ -71,6 +73,26 @@ def read_dataset(spark: SparkSession, root: str, name: str) -> dict[str, DataFra
     return {"entities": read_id_names(spark, f"{root}/{name}/entity2id.txt"), "relations": read_id_names(spark, f"{root}/{name}/relation2id.txt"), "facts": facts}
 
 
+def read_link_dataset(spark: SparkSession, folder: str, *, timed: bool = True) -> dict[str, DataFrame]:
+    """A link-prediction dataset folder as five tables: ``entities`` and ``relations`` (id, name), ``train``,
+    ``valid`` and ``test`` (seq, s, r, o, and t if ``timed``). Lines are separated by tabs; a missing
+    file, a line that is too short, or a fact of an id without a name raises when it is read."""
+    names = {k: read_id_names(spark, f"{folder}/{f}2id.txt", fields="strict", spaces=False).groupBy("id").agg(F.max_by("name", "seq").alias("name")) for k, f in (("entities", "entity"), ("relations", "relation"))}
+
+    def known(facts: DataFrame, column: str, table: str) -> DataFrame:
+        mark = names[table].select(F.col("id").alias(column), F.lit(True).alias("_known"))
+        text = F.concat(F.lit(f"no name in {table} for id "), F.col(column).cast("string"))
+        joined = facts.join(mark, column, "left")
+        return joined.withColumn(column, F.when(F.col("_known"), F.col(column)).otherwise(F.raise_error(text).cast("long"))).drop("_known")
+
+    def split(name: str) -> DataFrame:
+        facts = read_facts(spark, f"{folder}/{name}.txt", strict=True, timed=timed)
+        columns = facts.columns
+        return known(known(known(facts, "s", "entities"), "o", "entities"), "r", "relations").select(*columns)
+
+    return {**names, **{k: split(k) for k in ("train", "valid", "test")}}
+
+
 def read_word_graph(spark: SparkSession, path: str) -> DataFrame:
     """(entity_id, rel, word_id) of the static word graph."""
     return spark.read.csv(path, sep="\t", schema="entity_id long, rel int, word_id long", mode="FAILFAST")

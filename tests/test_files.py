@@ -105,3 +105,28 @@ def test_sinks(spark, tmp_path):
     coded = spark.createDataFrame([(1, "0-0")], "entity_id long, code string")
     sk.write_codes(coded, spark.createDataFrame([(0, 0, [1.0])], "level int, code int, centroid array<double>"), base + "/c")
     assert spark.read.parquet(base + "/c/tokens").first().token == "<z1_00>"
+
+
+def test_link_dataset(spark, tmp_path):
+    put(tmp_path / "L/entity2id.txt", "a\t0\nb\t1\n")
+    put(tmp_path / "L/relation2id.txt", "r_x\t0\n")
+    put(tmp_path / "L/train.txt", "0\t0\t1\t5\t9\n")
+    put(tmp_path / "L/valid.txt", "0\t0\t1\n")
+    folder = "file://" + str(tmp_path / "L")
+    put(tmp_path / "L/test.txt", "1\t0\t7\t5\n")
+    static = rd.read_link_dataset(spark, folder, timed=False)
+    assert static["train"].columns == ["seq", "s", "r", "o"] and [(r.s, r.r, r.o) for r in static["valid"].collect()] == [(0, 0, 1)]
+    assert {r.name for r in static["relations"].collect()} == {"r_x"}
+    timed = rd.read_link_dataset(spark, folder)
+    assert timed["train"].first().t == 5
+    with pytest.raises(Exception, match="too few fields"):
+        timed["valid"].collect()
+    with pytest.raises(Exception, match="no name in entities for id 7"):
+        timed["test"].collect()
+
+
+def test_descriptions_with_a_mark(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 'x, "y"'), (2, "b", None)], "id long, name string, description string").coalesce(1)
+    sk.write_descriptions(rows, f"file://{tmp_path}/d", mark=True)
+    assert next((tmp_path / "d").glob("part-*")).read_bytes().startswith("\ufeffid,name".encode())
+    assert sorted(tuple(r) for r in rd.read_descriptions(spark, f"file://{tmp_path}/d").collect()) == [(1, "a", 'x, "y"'), (2, "b", None)]
