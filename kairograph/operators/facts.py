@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,9 +26,20 @@ def split_by_time(facts: DataFrame, valid_from: int, test_from: int) -> DataFram
     return facts.withColumn("split", F.when(F.col("t") < valid_from, "train").when(F.col("t") < test_from, "valid").otherwise("test"))
 
 
-def id_list(ids: Column) -> Column:
-    """Sorted distinct ids as text, by commas."""
-    return F.array_join(F.transform(F.sort_array(F.collect_set(ids)), lambda x: x.cast("string")), ",")
+#: Most ids that are put into one text; a larger set has none, only its size, and its members are rows elsewhere.
+MAX_LISTED = 100_000
+
+
+def listed(rows: DataFrame, keys: list[str], item: str, name: str) -> DataFrame:
+    """(keys, ``name``, n): the distinct items of each group as text, sorted, by commas, and their number.
+
+    Items are deduplicated as rows and numbered in their group's order, so no cell holds more than
+    ``MAX_LISTED`` of them whatever the group; nulls are no items."""
+    distinct = rows.select(*keys, F.col(item).alias("_x")).distinct()
+    place = F.count("_x").over(W.partitionBy(*keys).orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    g = distinct.withColumn("_p", place).groupBy(*keys).agg(F.count("_x").alias("n"), F.collect_list(F.when(F.col("_p") <= MAX_LISTED, F.col("_x"))).alias("_l"))
+    text = F.array_join(F.transform(F.sort_array("_l"), lambda x: x.cast("string")), ",")
+    return g.select(*keys, F.when(F.col("n") <= MAX_LISTED, text).alias(name), "n")
 
 
 def queries_of(facts: DataFrame, n_rel: int) -> DataFrame:
@@ -44,8 +55,8 @@ def answers(facts: DataFrame, n_rel: int) -> DataFrame:
 
 
 def answer_sets(facts: DataFrame, n_rel: int) -> DataFrame:
-    q = queries_of(facts, n_rel)
-    return q.groupBy("e", "r", "t", "dir").agg(id_list(F.col("answer")).alias("answers"), F.count_distinct("answer").alias("n"))
+    """Answers of every query at its time; ``answers`` has them as rows of any number."""
+    return listed(queries_of(facts, n_rel), ["e", "r", "t", "dir"], "answer", "answers")
 
 
 def static_answer_sets(facts: DataFrame, n_rel: int) -> DataFrame:
@@ -56,7 +67,7 @@ def static_answer_sets(facts: DataFrame, n_rel: int) -> DataFrame:
 
     s, r, o = F.col("s"), F.col("r"), F.col("o")
     rows = of("object", s, r, o).unionByName(of("subject", o, r + n_rel, s)).unionByName(of("relation", s, o, r))
-    return rows.groupBy("kind", "a", "b").agg(id_list(F.col("x")).alias("answers"))
+    return listed(rows, ["kind", "a", "b"], "x", "answers").drop("n")
 
 
 def first_seen(facts: DataFrame, n_rel: int) -> DataFrame:
@@ -74,13 +85,14 @@ def known_answers(facts: DataFrame, queries: DataFrame, n_rel: int) -> DataFrame
 
 def relation_entities(facts: DataFrame, n_rel: int) -> DataFrame:
     """Entities of each relation of a snapshot. As in the original definition, the inverse relation has the subjects too."""
-    by = facts.groupBy("t", "r").agg(id_list(F.col("s")).alias("entities"), F.count_distinct("s").alias("n"))
-    return by.unionByName(by.withColumn("r", F.col("r") + n_rel))
+    by = listed(facts, ["t", "r"], "s", "entities")
+    both = F.explode(F.array(F.col("r"), F.col("r") + n_rel)).alias("r")
+    return by.select("t", both, "entities", "n")
 
 
 def entity_relations(facts: DataFrame) -> DataFrame:
     """Relations of each subject of a snapshot."""
-    return facts.groupBy("t", "s").agg(id_list(F.col("r")).alias("relations"), F.count_distinct("r").alias("n"))
+    return listed(facts, ["t", "s"], "r", "relations")
 
 
 def predicate_frequency(facts: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def history_topk(spark, sf_dir):
 def history_visible(spark, sf_dir):
     f = facts(spark, sf_dir)
     seen = hi.visible_entities(hi.history(f, hi.entity_queries(f), HISTORY))
-    return seen.groupBy("e", "q").agg(F.count(F.lit(1)).alias("n"), fa.id_list(F.col("x")).alias("entities"))
+    return fa.listed(seen, ["e", "q"], "x", "entities")
 
 
 @query(f"{FACTS}, {INC}, {ASKED}, {hist_sql('h', HISTORY)}, v AS (SELECT DISTINCT e, q, unnest([s, o]) AS x FROM h) SELECT qs.seq, qs.dir, qs.e, qs.r, qs.answer, qs.t, v.x IS NOT NULL AS in_history FROM qs LEFT JOIN v ON v.e = qs.e AND v.q = qs.t AND v.x = qs.answer")
