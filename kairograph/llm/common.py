@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that a finished fit has freed back to the system, where its C library offers that; the
+    driver would hold it through all that follows."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def crc32_mod(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (null ids count as remainder 0)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

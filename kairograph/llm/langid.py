@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_with, text_groups
+from .common import columns_with, release_memory, text_groups
 from .sampling import excerpt, first_by_hash, sample_by_class
 
 ORDERS = (1, 2, 3, 4)
@@ -72,7 +72,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes, _ = _codes([text])
     ids = np.concatenate([_grams(codes, n)[len(BETWEEN) :] for n in ORDERS])
     f, count = np.unique(ids, return_counts=True)
-    return f, count / max(1, len(ids))
+    return f.astype(np.int32), count / max(1, len(ids))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -124,7 +124,10 @@ def train_language(docs: DataFrame, *, fit_rows: int = FIT_ROWS, fit_chars: int
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND id IS NOT NULL")
     rows = rows.where(F.length("text") > 0).withColumn("text", excerpt(F.col("text"), fit_chars))
     pdf = first_by_hash(sample_by_class(rows, "id", "lang", fit_rows), 2 * fit_rows, "id", "lang", "text").toPandas().sort_values(["id", "text"], ignore_index=True)
-    return fit_language(list(pdf["text"]), list(pdf["lang"])) if len(pdf) else None
+    model = fit_language(list(pdf["text"]), list(pdf["lang"])) if len(pdf) else None
+    del pdf
+    release_memory()
+    return model
 
 
 def logits(texts, model: LanguageModel) -> np.ndarray:
