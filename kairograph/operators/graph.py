@@ -187,14 +187,15 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], max_roun
     """(node, component): the least node reachable over undirected ``edges`` (src, dst).
 
     Least labels spread to neighbours, then each node takes its label's label, so paths halve
-    every round; ``cut`` writes a round's labels."""
+    every round; ``cut`` writes a round's labels. Written labels are so small as files that Spark
+    would broadcast them, through the driver, at any number of nodes: they are merged instead."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = cut(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).select(F.col("src").alias("node"), "component"))
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("_near"))
-        step = label.join(near.withColumnRenamed("src", "node"), "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
+        near = both.join(label.select(F.col("node").alias("dst"), "component").hint("merge"), "dst").groupBy("src").agg(F.min("component").alias("_near"))
+        step = label.join(near.withColumnRenamed("src", "node").hint("merge"), "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("_jump"))
-        new = cut(step.join(jump, "component").select("node", "_old", F.least("component", "_jump").alias("component")))
+        new = cut(step.join(jump.hint("merge"), "component").select("node", "_old", F.least("component", "_jump").alias("component")))
         label = new.select("node", "component")
         if not new.where("_old <> component").limit(1).count():
             return label

@@ -91,6 +91,21 @@ def test_components_of_large_ids(spark):
     assert got == {(0, 0): (0, 0), (0, 1_000_005): (0, 0), (0, 5): (0, 5), (0, 7): (0, 5), (1, 5): (1, 5), (1, 1_000_005): (1, 5)}
 
 
+def test_components_send_no_labels_through_the_driver(spark, tmp_path):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        path = str(tmp_path / str(len(plans)))
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 6)], "src long, dst long")
+    got = {r.node: r.component for r in gr.components(e, cut).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_classification_dataset(spark):
     edges = spark.createDataFrame([(10, 0, 20), (30, 0, 20), (20, 1, 10), (20, 0, 40), (40, 0, 50), (60, 0, 70)], "src long, rel long, dst long")
     labels = spark.createDataFrame([(10, "a"), (60, "b"), (99, "c")], "node long, label string")
