@@ -117,3 +117,28 @@ def test_prompts_need_every_name(spark, toy):
         pr.prompt_rows(toy, names.where("id <> 3"), rel, 2, "train").collect()
     bare = pr.prompt_rows(toy, names, rel, 2, "train", with_history=False).collect()
     assert len(bare) == 20 and not any(r.meta.in_history for r in bare)
+
+
+def test_supplements_of_a_dense_graph(spark):
+    rng = random.Random(5)
+    rows = sorted(((rng.randrange(7), rng.randrange(2), rng.randrange(7), rng.randrange(6)) for _ in range(70)), key=lambda x: x[3])
+    f = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "seq long, s long, r long, o long, t long").persist()
+    queries, limit, recent = hi.entity_queries(f), 8, 5
+
+    def newest(e, q, n):
+        return [x for x in rows for end in (x[0], x[2]) if end == e and x[3] < q][::-1][:n]
+
+    want = set()
+    for e, q in map(tuple, queries.collect()):
+        base = newest(e, q, 100)
+        if 0 < len(base) < limit:
+            near = {x for y in {y for b in base for y in (b[0], b[2])} for x in newest(y, q, recent) if x[0] != e}
+            want |= {(e, q, x[3], x[0], x[1], x[2]) for x in near - set(base)}
+    found = hi.supplement_candidates(f, queries, limit, recent)
+    assert want and sorted(map(tuple, found.collect())) == sorted(want)
+    assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()  # candidates are made once, not compared
+    base = hi.history(f, queries, limit)
+    whole = hi.supplement_weights(f, queries, limit, recent=recent)
+    for multiplier, sample in ((1, False), (2, True)):
+        top = lambda w: sorted(map(tuple, hi.supplement_top(w, base, limit, multiplier=multiplier, sample=sample).drop("weight").collect()))  # noqa: B023, E731
+        assert top(hi.supplement_weights(f, queries, limit, recent=recent, multiplier=multiplier)) == top(whole)
