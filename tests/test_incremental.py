@@ -125,3 +125,39 @@ def test_forecast_steps(spark):
     g = spark.createDataFrame([(0, 0, 0, 1), (1, 5, 0, 6), (2, 0, 0, 7)], "t long, s long, r long, o long")
     assert [(r.t, r.entity) for r in fc.forecast(g, 1, window=1, k=1, n_rel=1, cut=lambda d: d).collect()] == [(2, 1)]
     assert fc.forecast(g, 9, window=1, k=1, n_rel=1, cut=lambda d: d).count() == 0
+
+
+def test_one_timer_closes_all_days_that_are_over():
+    import pandas as pd
+
+    class State(list):
+        def get(self):
+            return list(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        timers = set()
+
+        def getListState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def listTimers(self):
+            return iter(self.timers)
+
+    class Times:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 4 * 86_400_000
+
+    p = sh.NewestFacts(2, 0)
+    p.init(Handle())
+    rows = pd.DataFrame([(d, 10 * d + k, 0, 7, 0, k) for d in (3, 0, 1, 5) for k in (2, 0, 1)], columns=["t", "seq", "role", "s", "r", "o"])
+    list(p.handleInputRows((7,), iter([rows]), None))
+    assert p.handle.timers == {86_400_000}
+    p.handle.timers.clear()
+    out = pd.concat(list(p.handleExpiredTimer((7,), Times(), Times())))
+    assert list(out[["q", "rank", "seq"]].itertuples(index=False, name=None)) == [(1, 1, 2), (1, 2, 1), (3, 1, 12), (3, 2, 11)]
+    assert p.handle.timers == {6 * 86_400_000} and [f[1] for f in p.open] == [51, 52]
