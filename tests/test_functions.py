@@ -173,3 +173,14 @@ def test_odd_names_and_coverage(spark):
     goal = spark.createDataFrame([(1, "a"), (2, "y")], "id long, item string")
     out = rk.metrics_by_name(listed, goal, spark.createDataFrame([(1, "C"), (1, "A")], "id long, item string")).first()
     assert (out.num_eval, out.mrr, out.hits_1, out.hits_3) == (2, 1 / 6, 0.0, 0.5)
+
+
+def test_log_mass_in_one_pass(spark):
+    from kairograph.operators import decode as de
+
+    scored = spark.createDataFrame([(1, 1, 250.0), (1, 2, 249.0), (1, 3, -900.0), (1, 4, None), (2, 3, -900.0), (2, 4, -901.0), (3, 4, None)], "query long, entity long, score double")
+    table = spark.createDataFrame([(1, "", 0, "0", e) for e in (1, 2, 3, 4)], "level int, parent string, token int, prefix string, entity long")
+    out = de.prefix_log_mass(scored, table)
+    got = {r.query: r.mass for r in out.collect()}
+    assert abs(got[1] - 250.3132616875182) < 1e-9 and abs(got[2] + 899.6867383124818) < 1e-9 and got[3] is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
