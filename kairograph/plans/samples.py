@@ -113,7 +113,7 @@ _NAME_HITS = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END),
 @query(f"{_NAMED} SELECT count(*) AS num_eval, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, {_NAME_HITS} FROM rr")
 def metrics_by_name(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity"), "label")
-    top = rk.top_k(pc._scored(spark, sf_dir).where("query <> entity"), ["query"], 50).join(labels, "entity")
+    top = rk.top_k(pc.best_vectors(spark, sf_dir, 51).where("query <> entity"), ["query"], 50).join(labels, "entity")
     own = labels.where(F.col("entity") % pc.APART == 0)
     text = lambda c, form: F.format_string(form, c).alias("item")
     lists = top.select(F.col("query").alias("id"), "place", text(F.col("label"), " Label  %d"))

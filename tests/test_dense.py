@@ -1,9 +1,11 @@
 """Queries over all scores of the embedding table, on tables with many vectors a code, against SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kairograph.operators import dense as dn
 from kairograph.plans.registry import ORACLE, QUERIES
 from tests.test_queries import plain
 
@@ -36,3 +38,77 @@ def sql_of(path, name):
 @pytest.mark.parametrize("name", ["entity_ranking", "predictions_file", "metrics_by_mode"])
 def test_ranked_entities_end_at_their_place(spark, repeated, name):
     assert rows_of(spark, repeated, name) == sql_of(repeated, name)
+
+
+@pytest.mark.parametrize("name", ["mix_scores", "topk_mean", "group_log_softmax", "prefix_log_mass", "top_scores_file", "metrics_by_name"])
+def test_reduced_scores_match_sql(spark, repeated, name):
+    assert rows_of(spark, repeated, name) == sql_of(repeated, name)
+
+
+def vectors(spark):
+    """Vectors with copies, missing components, a shorter one, none, and one that is not a number."""
+    rng = np.random.default_rng(5)
+    v = [[float(np.float32(x)) for x in r] for r in rng.normal(size=(40, 3))]
+    v[7], v[8], v[20], v[21] = list(v[3]), list(v[3]), [1.0, None, 2.0], [1.0, 2.0]
+    v[22], v[23] = None, [float("nan"), 1.0, 1.0]
+    rows = [(i, x, f"{i % 3}", f"{i % 3}-{i % 5}") for i, x in enumerate(v)]
+    return v, rows, spark.createDataFrame(rows, "id long, v array<double>, k0 string, k1 string")
+
+
+def score(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    return float(f"{sum(x * y for x, y in zip(a, b)):.6f}")
+
+
+def place(s):
+    return (s is None, 0 if s is None else -(np.inf if np.isnan(s) else s))
+
+
+def test_blocks_against_brute_force(spark):
+    v, rows, df = vectors(spark)
+    asked = [0, 3, 20, 21, 30]
+    q = dn.blocks(df.where(F.col("id").isin(asked)).select("id", "v"), size=2)
+    b = dn.blocks(df, ["k0", "k1"], size=8)
+    near = lambda a, b: repr([None if x is None else round(x, 6) for x in a]) == repr([None if x is None else round(x, 6) for x in b])
+    best = {(r["query"], r["key"]): r["best"] for r in dn.best_of_keys(q, b, [0, 1], 6).collect()}
+    top = {(r["query"], r["key"]): r["top"] for r in dn.top_of_keys(q, b, [0, 1], 3, 6).collect()}
+    mass = {(r["query"], r["key"]): r["mass"] for r in dn.log_mass_of_keys(q, b, [1], 6).collect()}
+    assert len(best) == len(asked) * 18 and best.keys() == top.keys()
+    for (i, key), got in best.items():
+        own = sorted((score(v[i], r[1]) for r in rows if key in r[2:]), key=place)
+        some = [s for s in own if s is not None]
+        assert near([got], own[:1])
+        assert near([s for s in top[i, key] if not np.isnan(s) and not np.isinf(s)], [s for s in some[:3] if not np.isnan(s)])
+        if "-" in key and some and not any(np.isnan(some)):
+            assert abs(mass[i, key] - np.log(sum(np.exp(some)))) < 1e-9
+    first = {}
+    for r in dn.best_of_queries(q, b, 4, 6).collect():
+        first.setdefault(r["query"], []).append((place(r["score"]), r["entity"]))
+    for i in asked:
+        assert [e for _, e in sorted(first[i])[:4]] == [e for _, e in sorted((place(score(v[i], r[1])), r[0]) for r in rows)[:4]]
+
+
+def test_members_against_brute_force(spark, tmp_path):
+    v, rows, df = vectors(spark)
+    dn.blocks(df, ["k0", "k1"], size=4).write.parquet(str(tmp_path / "b"))
+    b = spark.read.parquet(str(tmp_path / "b"))
+    asks = [(i, key, by_id, 2) for i in (0, 3, 20) for key in ("0-3", "1-1", "2-3") for by_id in (True, False)]
+    wanted = spark.createDataFrame(asks, "query long, key string, by_id boolean, k long")
+    got = {}
+    for r in dn.members(wanted, df.where("id IN (0, 3, 20)").select("id", "v"), b, 1, 6).collect():
+        got.setdefault((r["query"], r["key"], r["by_id"]), []).append((place(r["score"]) if not r["by_id"] else 0, r["entity"]))
+    for i, key, by_id, k in asks:
+        want = sorted((0 if by_id else place(score(v[i], r[1])), r[0]) for r in rows if r[3] == key)
+        assert [e for _, e in sorted(got[i, key, by_id])[:k]] == [e for _, e in want[:k]]
+
+
+def test_beams_look_at_codes_not_at_vectors(spark, repeated, monkeypatch):
+    """What a beam search reads holds a row for each query and code, however many vectors have the code."""
+    from kairograph.plans import codes as pc
+
+    seen = {}
+    real = pc.de.beam_decode
+    monkeypatch.setattr(pc.de, "beam_decode", lambda queries, scored, *a, **k: seen.update(n=scored.count(), q=queries.count()) or real(queries, scored, *a, **k))
+    pc._beams(spark, repeated)
+    assert seen["n"] <= seen["q"] * 500
