@@ -7,6 +7,8 @@ from hashlib import sha1
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import small
+
 SCHEMA = "row_index long, entity_id long, score double"
 BUCKETS = 64
 
@@ -41,3 +43,15 @@ def check_store(store: DataFrame, rows: DataFrame, entities: int) -> None:
 def scores_at(store: DataFrame, rows: DataFrame) -> DataFrame:
     """The scores of ``rows`` (row_index, …): a bucketed join, in which only ``rows`` are shuffled."""
     return store.join(rows.hint("merge"), "row_index")
+
+
+def write_lists(lists: DataFrame, path: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """A store of rows (row_index, …) that hold the scores of many entities each. Tasks write their own
+    rows of each bucket: rows are not shuffled, so a bucket has several files."""
+    lists.write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, "row_index").option("path", path).saveAsTable(_name(path))
+    return lists.sparkSession.table(_name(path))
+
+
+def lists_at(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """The lists of ``rows`` (row_index, …): of few, which are broadcast, none of the store is shuffled."""
+    return store.join(small(rows), "row_index")

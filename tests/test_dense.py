@@ -40,7 +40,7 @@ def test_ranked_entities_end_at_their_place(spark, repeated, name):
     assert rows_of(spark, repeated, name) == sql_of(repeated, name)
 
 
-@pytest.mark.parametrize("name", ["mix_scores", "topk_mean", "group_log_softmax", "prefix_log_mass", "top_scores_file", "metrics_by_name"])
+@pytest.mark.parametrize("name", ["mix_scores", "topk_mean", "group_log_softmax", "prefix_log_mass", "top_scores_file", "metrics_by_name", "scores_file", "bucketed_scores"])
 def test_reduced_scores_match_sql(spark, repeated, name):
     assert rows_of(spark, repeated, name) == sql_of(repeated, name)
 
@@ -112,3 +112,34 @@ def test_beams_look_at_codes_not_at_vectors(spark, repeated, monkeypatch):
     monkeypatch.setattr(pc.de, "beam_decode", lambda queries, scored, *a, **k: seen.update(n=scored.count(), q=queries.count()) or real(queries, scored, *a, **k))
     pc._beams(spark, repeated)
     assert seen["n"] <= seen["q"] * 500
+
+
+def test_score_lists_are_whole(spark, tmp_path):
+    """Every pair is in a list, also where scores leave the short form; a missing list is noticed."""
+    from kairograph.sources import sinks as sk
+
+    v, rows, df = vectors(spark)
+    df = df.withColumn("v", F.when(F.col("id") == 30, F.transform("v", lambda x: x * 1e9)).otherwise(F.col("v")))
+    v[30] = [x * 1e9 for x in v[30]]
+    asked = [0, 20, 30]
+    lists = dn.score_lists(dn.blocks(df.where(F.col("id").isin(asked)).select("id", "v")), dn.blocks(df, size=8), 6)
+    got = {(r["query"], r["entity"]): r["score"] for r in dn.flat_scores(lists, "query", 6).collect()}
+    assert len(got) == 120
+    for i in asked:
+        for k in range(40):
+            want, x = score(v[i], v[k]), got[i, k]
+            assert (x is None) == (want is None) and (want is None or repr(x) == repr(want) or abs(x - want) <= 1e-6 + 1e-12 * abs(want))
+    out = lists.select(F.lit("test").alias("split"), F.col("query").alias("row_index"), "ids", "units", "scores")
+    sk.write_score_lists(out, str(tmp_path / "a"), queries=3, entities=40)
+    with pytest.raises(ValueError):
+        sk.write_score_lists(out.where("row_index < 30"), str(tmp_path / "b"), queries=3, entities=40)
+
+
+def test_lists_are_looked_up_without_a_shuffle(spark, tmp_path):
+    from kairograph.sources import score_store as ss
+
+    lists = spark.range(60).select(F.col("id").alias("row_index"), F.array("id", F.col("id") + 1).alias("ids"))
+    store = ss.write_lists(lists, f"file://{tmp_path}/lists", buckets=4)
+    met = ss.lists_at(store, spark.range(20).select((F.col("id") * 3).alias("row_index")))
+    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.ids[0] for r in met.collect()) == list(range(0, 60, 3))
