@@ -98,7 +98,9 @@ def truncated_list_rank(spark, sf_dir):
     f, n, top = _top(spark, sf_dir)
     q = rk.queries_of_test(f, n).withColumn("id", F.struct("seq", "dir"))
     lists = q.select("id", "e", "r", "t").join(top, ["e", "r", "t"]).select("id", "place", F.col("entity").alias("item"))
-    filters = q.select("id", "e", "r", "t").join(fa.answers(f, n), ["e", "r", "t"]).select("id", F.col("answer").alias("item"))
+    # true answers pass over listed items only, so those that no list holds are not dealt to the queries
+    listed = fa.answers(f, n).withColumnRenamed("answer", "entity").join(top.select("e", "r", "t", "entity"), ["e", "r", "t", "entity"], "left_semi")
+    filters = q.select("id", "e", "r", "t").join(listed, ["e", "r", "t"]).select("id", F.col("entity").alias("item"))
     out = rk.list_rank(lists, q.select("id", F.col("answer").alias("item")), filters)
     return out.select("id.seq", "id.dir", "rank")
 
