@@ -50,14 +50,15 @@ def prompt_rows(facts: DataFrame, names: DataFrame, relations: DataFrame, n_rel:
     q = in_history(q, hist).join(past, ["e", "t"], "left")
     from .facts import answers
 
+    # the answers of a query's key are gathered once and met last, so no row of theirs is dealt to a query before
     other = answers(seen, n_rel).select("e", F.col("r").alias("full_r"), "t", F.col("answer").alias("x"))
-    other = q.select("id", "e", "full_r", "t", "answer").join(other, ["e", "full_r", "t"]).where("x <> answer")
-    other = _named(other, names, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("x", "x_name"))).alias("f"))
-    other = other.select("id", F.transform("f", lambda x: x["x_name"]).alias("filters"))
+    other = other.join(samples.select("e", F.col("r").alias("full_r"), "t").distinct(), ["e", "full_r", "t"], "left_semi")
+    other = _named(other, names, "x").groupBy("e", "full_r", "t").agg(F.sort_array(F.collect_list(F.struct("x", "x_name"))).alias("f"))
+    filters = F.transform(F.filter("f", lambda x: x["x"] != F.col("answer")), lambda x: x["x_name"])
     mark = F.lit("?")
     query = F.when(F.col("dir") == 0, fact_line(F.col("t"), F.col("e_name"), F.col("r_name"), mark)).otherwise(fact_line(F.col("t"), mark, F.col("r_name"), F.col("e_name")))
     text = prompt_text(F.col("e_name"), F.coalesce("past", F.lit("")), query)
-    out = q.join(other, "id", "left").withColumn("split", F.lit(split))
+    out = q.join(other, ["e", "full_r", "t"], "left").withColumn("filters", filters).withColumn("split", F.lit(split))
     return out.select(
         "id", text.alias("input"), F.col("answer_name").alias("output"), F.coalesce("filters", F.array().cast("array<string>")).alias("filters"),
         F.struct(F.col("e").alias("s_id"), F.col("full_r").alias("r_id"), F.col("answer").alias("o_id"), "t", "split", F.when(F.col("dir") == 0, "forward").otherwise("backward").alias("direction"), "in_history").alias("meta"),

@@ -30,3 +30,16 @@ def test_filters_of_one_code_are_not_compared(spark):
     got = sorted((r["id"] or 0, r["entity"]) for r in out.collect())
     assert got == [(0, 9), (1, 7), (1, 8), (2, 7), (2, 8), (2, 9), (3, 8)]
     assert out._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].startswith("Union")
+
+
+def test_filters_of_prompts_meet_last(spark):
+    """300 answers of one query: every prompt lists the other 299; lists are gathered for each key, not for each prompt."""
+    from kairograph.operators import prompts as pr
+
+    f = spark.createDataFrame([(i, i + 10, 0, 1, 0) for i in range(300)], "seq long, s long, r long, o long, t long")
+    names = spark.createDataFrame([(1, "n1"), *((i, f"n{i}") for i in range(10, 310))], "id long, name string")
+    out = pr.prompt_rows(f, names, spark.createDataFrame([(0, "r")], "id long, name string"), 1, "test", with_history=False)
+    rows = out.where("meta.direction = 'backward'").collect()
+    assert len(rows) == 300 and all(r.filters == [f"n{i}" for i in range(10, 310) if f"n{i}" != r.output] for r in rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [id#" in line and "collect_list" in line for line in plan.splitlines())
