@@ -1,5 +1,6 @@
 """Classifiers, language model and page text: held-out accuracy, brute force and edge cases."""
 
+import dataclasses
 import math
 import re
 import time
@@ -277,6 +278,51 @@ def test_lm_query_beats_the_base(spark):
     assert len(got) == 1000 and new.score.sum() > new.base_score.sum() and got.bits_per_byte.between(0, 20).all()
 
 
+def test_lm_slopes_match_differences():
+    """Slopes and curvatures of the log-probability at fixed weights, against differences of what is coded without moving them."""
+    m, known = toy_model(7)
+    texts, train = ["abcd xyz abce " * 200, "xyz", ""], np.ones(3, bool)
+    slope, bend = lm.weight_slopes(texts, m, known, {})
+    total = lambda w: lm.text_scores(texts, train, dataclasses.replace(m, weights=w.astype(np.float32)), known, {}, 0.0)[0].sum() * lm.LN10
+    for g in np.argsort(-np.abs(slope).sum(1))[:4]:
+        step = np.zeros_like(m.weights)
+        step[g] = 0.02 * np.array([1.0, -0.5, 0.7, 0.0])
+        up, mid, down = total(m.weights + step), total(m.weights), total(m.weights - step)
+        assert math.isclose(up - down, 2 * slope[g] @ step[g], rel_tol=2e-2, abs_tol=2e-2)
+        assert math.isclose(2 * mid - up - down, step[g] @ bend[g] @ step[g], rel_tol=0.1, abs_tol=2e-2)
+
+
+def test_lm_symbol_paths_match_nodes():
+    rng = np.random.default_rng(3)
+    odds, seen, symbol = rng.integers(-127, 128, 6400).astype(np.int8), rng.integers(0, 200, 6400).astype(np.uint8), np.arange(64)
+    for visits in (None, seen):
+        got, node = lm.symbol_paths(odds, visits).view(np.int8).reshape(100, 64, 8), np.ones(64, np.int64)
+        for depth in range(lm.BITS):
+            bit = symbol >> (5 - depth) & 1
+            for c in (0, 57, 99):
+                assert (got[c, :, depth] == lm._log_odds(odds, visits, c * 64 + node, bit) * (2 * bit - 1)).all()
+            node = node * 2 + bit
+
+
+def test_lm_all_training_texts_teach(spark, monkeypatch):
+    """Every training text teaches the starting weights once, in one of two rounds, and no held-out one does."""
+    docs, kept = spark.createDataFrame([(i, f"text number {i} of some") for i in range(200)], "doc_id long, text string"), spark.sparkContext.accumulator(0)
+    teach = lm._teach
+
+    def counted(*shared):
+        run = teach(*shared)
+
+        def body(key, texts, found):
+            kept.add(sum(int(x.split()[2]) for x in texts["text"]))
+            return run(key, texts, found)
+
+        return body
+
+    monkeypatch.setattr(lm, "_teach", counted)
+    lm.score_texts(docs, train=F.col("doc_id") % 10 != 0, teach=8)
+    assert kept.value == sum(i for i in range(200) if i % 10)
+
+
 def test_lm_plain_bytes():
     data, starts = lm.plain_bytes(["  Ab \t\n c ", "", None, " ", "x", "É a"])
     assert bytes(data) == b"ab c\0\0\0\0x\0" + "É a".encode() + b"\0" and starts.tolist() == [0, 5, 6, 7, 8, 10, 15]
