@@ -45,9 +45,10 @@ def prompt_rows(facts: DataFrame, names: DataFrame, relations: DataFrame, n_rel:
     past = lines.groupBy("e", "q").agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("lines"))
     past = past.select("e", F.col("q").alias("t"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("past"))
     base_r = F.when(F.col("dir") == 1, F.col("r") - n_rel).otherwise(F.col("r"))
-    q = samples.withColumn("full_r", F.col("r")).withColumn("r", base_r)
+    samples_shown = in_history(samples, seen, limit) if with_history else samples.withColumn("in_history", F.lit(False))
+    q = samples_shown.withColumn("full_r", F.col("r")).withColumn("r", base_r)
     q = _named(_named(_named(q, relations, "r"), names, "e"), names, "answer")
-    q = in_history(q, hist).join(past, ["e", "t"], "left")
+    q = q.join(past, ["e", "t"], "left")
     from .facts import answers
 
     # the answers of a query's key are gathered once and met last, so no row of theirs is dealt to a query before

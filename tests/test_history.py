@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kairograph.operators import facts as fa
 from kairograph.operators import history as hi
@@ -104,6 +105,21 @@ def test_supplement_sampling_is_bounded_and_repeatable(spark, toy):
     assert [(r.t, r.s, r.o) for r in top] == [(1, 0, 1), (0, 0, 1)]
 
 
+def test_answers_in_history_match_what_is_visible(spark):
+    """Against the laid-out history, with self-loops, nulls and queries of other times; no row is made for each fact shown."""
+    rng = random.Random(8)
+    some = lambda: None if rng.random() < 0.04 else rng.randrange(6)
+    rows = [(k, some(), 0, some(), rng.randrange(9)) for k in range(120)]
+    f = spark.createDataFrame(rows, "seq long, s long, r long, o long, t long").persist()
+    q = spark.createDataFrame([(k, some(), rng.randrange(11), some()) for k in range(300)] + [(300, 77, 3, 77)], "id long, e long, t long, answer long").persist()
+    for limit in (1, 3, 7, 500):
+        h = hi.visible_entities(hi.history(f, q.select("e", F.col("t").alias("q")).distinct(), limit))
+        want = {(r.e, r.q, r.x) for r in h.where("e IS NOT NULL AND x IS NOT NULL").collect()}
+        got = hi.in_history(q, f, limit)
+        assert {(r.id, r.in_history) for r in got.collect()} == {(r.id, (r.e, r.t, r.answer) in want) for r in q.collect()}
+    assert "inline" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 301
+
+
 def test_prompts_need_every_name(spark, toy):
     from kairograph.operators import prompts as pr
 
