@@ -43,3 +43,21 @@ def test_filters_of_prompts_meet_last(spark):
     assert len(rows) == 300 and all(r.filters == [f"n{i}" for i in range(10, 310) if f"n{i}" != r.output] for r in rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate [id#" in line and "collect_list" in line for line in plan.splitlines())
+
+
+def test_rolling_history_over_batches(spark, tmp_path):
+    """Days in several batches against plain counts, one day in two of them."""
+    import random
+
+    from kairograph.streaming import facts as st
+
+    rng = random.Random(6)
+    rows, form = [(k, rng.randrange(4), 0, k % 5, k // 12, "unused") for k in range(120)], "seq long, s long, r long, o long, t long, more string"
+    folder = f"file://{tmp_path}/in"
+    for lo in range(0, 120, 30):  # batches cut days in two
+        spark.createDataFrame(rows[lo : lo + 30], form).coalesce(1).write.mode("append").parquet(folder)
+    stream = st.rolling_history(spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(folder), 5)
+    got = {r["seq"]: (r["e"], r["n_before"], r["newest_t"]) for r in st.run_to_table(stream, "append").collect()}
+    for seq, s, _, _, t, _ in rows:
+        old = [x[4] for x in rows if x[1] == s and x[4] < t]
+        assert got[seq] == (s, min(len(old), 5), max(old, default=None))
