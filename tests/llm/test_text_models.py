@@ -323,6 +323,39 @@ def test_lm_all_training_texts_teach(spark, monkeypatch):
     assert kept.value == sum(i for i in range(200) if i % 10)
 
 
+def test_lm_broadcasts_are_small(spark, monkeypatch):
+    """What all broadcasts of a run take on disk, on each executor again: tables of mostly empty counters travel compressed, and once for both rounds of lessons."""
+    import os
+
+    sizes, send = [], spark.sparkContext.broadcast
+
+    def measured(value):
+        sizes.append(send(value))
+        sizes[-1] = sizes[-1], os.path.getsize(sizes[-1]._path)
+        return sizes[-1][0]
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", measured)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert lm.score_texts(docs, train=F.col("doc_id") % 10 != 0).count() == docs.count()
+    assert sum(n for _, n in sizes) < 8e6
+
+
+def test_lm_words_hash_as_elsewhere(monkeypatch):
+    from kairograph.llm.common import word_hashes
+
+    monkeypatch.setattr(lm, "HASH_BYTES", 64)
+    texts = ["  Ab \t\n c ", "", None, " ", "x", "\u00c9 a", "a\0b \0 c\0", "Z" * 500 + " q", " ".join(f"w{i % 37}" for i in range(300))]
+    for some in (texts, texts[::-1], [""], []):
+        (h, size, cut), got = word_hashes(some), lm.plain_words(*lm.plain_bytes(some))
+        assert (h == got[0]).all() and (size == got[2] - got[1]).all() and (cut == got[3]).all()
+
+
+def test_lm_keys_that_share_a_slot():
+    keys = np.arange(1, 9, dtype=np.int64) << 40
+    assert lm.Keys(keys).find(np.append(keys, [9 << 40, 5])).tolist() == [*range(1, 9), 0, 0]
+    assert lm.Keys(keys[:0]).find(keys).tolist() == [0] * 8
+
+
 def test_lm_plain_bytes():
     data, starts = lm.plain_bytes(["  Ab \t\n c ", "", None, " ", "x", "É a"])
     assert bytes(data) == b"ab c\0\0\0\0x\0" + "É a".encode() + b"\0" and starts.tolist() == [0, 5, 6, 7, 8, 10, 15]
