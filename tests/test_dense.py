@@ -143,3 +143,49 @@ def test_lists_are_looked_up_without_a_shuffle(spark, tmp_path):
     met = ss.lists_at(store, spark.range(20).select((F.col("id") * 3).alias("row_index")))
     assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.ids[0] for r in met.collect()) == list(range(0, 60, 3))
+
+
+def test_packed_scores_lose_nothing_and_are_small(spark, tmp_path):
+    """Scores of vectors written in tiles take under a byte a pair (lists of them took three) and come back as they were,
+    missing ones, ones that are no whole units, negative zeros and samples asked for twice included."""
+    import os
+
+    from kairograph.sources import sinks as sk
+
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(rng.normal(size=(1500, 8)).tolist())], "id long, v array<double>")
+    q = v.where("id % 3 = 0")
+    tiles = dn.score_tiles(dn.blocks(q, size=256), dn.blocks(v, size=512), 6)
+    path = f"file://{tmp_path}/tiles"
+    sk.write_score_tiles(tiles.withColumn("split", F.lit("test")), path, queries=500, entities=1500)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "tiles") for f in names if f.endswith(".parquet"))
+    assert size < 500 * 1500
+    with pytest.raises(ValueError, match="not 501 x 1500"):
+        sk.write_score_tiles(tiles.withColumn("split", F.lit("test")), f"{path}2", queries=501, entities=1500)
+    asked = spark.createDataFrame([(0,), (3,), (3,), (4,), (1497,)], "id long")
+    got = sorted((r["row_index"], r["entity"], r["score"]) for r in dn.unpacked_scores(sk.tiles_of(spark.read.parquet(path), asked), 6).collect())
+    lists = dn.score_lists(dn.blocks(q), dn.blocks(v), 6).where("query IN (0, 3, 1497)")
+    want = [(r["query"], e, s) for r in lists.select("query", "ids", dn.listed(6).alias("x")).collect() for e, s in zip(r["ids"], r["x"]) for _ in range(1 + (r["query"] == 3))]
+    assert got == sorted(want) and len(got) == 4 * 1500
+
+
+@pytest.mark.parametrize("kind", ["low", "full", "wide", "zero", "one"])
+def test_packed_tiles_come_back(kind):
+    rng = np.random.default_rng(3)
+    s = {
+        "low": np.round(rng.normal(size=(300, 5)) @ rng.normal(size=(5, 400)), 6), "full": np.round(rng.normal(size=(300, 400)), 6), "wide": rng.integers(-(2**31) + 1, 2**31, (3, 7)) / 1e6,
+        "zero": np.zeros((9, 4)), "one": np.full((1, 1), -2.5),
+    }[kind]
+    there = (rng.random(s.shape) if kind != "low" else np.maximum.outer(np.ones(len(s)) * 0.05, rng.random(s.shape[1]))) > 0.1
+    s[~there] = -np.inf
+    if kind == "low":
+        s[7, 0], s[8, 1], s[9, 2], s[10, 3] = np.nan, np.inf, -0.0, 1e300
+        there[7:11] = True
+        there[5] = False
+        s[5] = -np.inf
+    tiles = list(dn.pack_tile(np.arange(len(s)) * 2, s, there, np.arange(s.shape[1]), 6))
+    assert any(t["left"] is not None for t in tiles) == (kind == "low") and sum(len(t["queries"]) for t in tiles) == len(s)
+    for t in tiles:
+        ids, x, own = dn.unpack_tile(t, np.arange(len(t["queries"])), 6)
+        at = ids // 2
+        assert (own == there[at]).all() and [repr(a) for a in x[own]] == [repr(a) for a in s[at][own]]
