@@ -487,3 +487,51 @@ def test_ratios_decide_where_names_are_absent(monkeypatch):
     own = [ht.main_text(h) for h in bare]
     monkeypatch.setattr(ht, "smoothed_ratios", lambda ratio: np.ones(len(ratio)))
     assert np.mean([a != ht.main_text(h) for a, h in zip(own, bare)]) > 0.5
+
+
+def test_lm_words_tell_of_all_their_begun_parts():
+    """Whole words give each symbol the paths that their begun parts give as contexts of their own, texts' ends, words only
+    used and a byte 0 included; so does every confidence."""
+    rng = np.random.default_rng(12)
+    pool = ["".join(rng.choice(list("abé"), rng.integers(1, 20))) for _ in range(300)] + ["ab\0a", "aba\0", "abab\xff"]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 60))) for _ in range(40)] + ["", "abab", "baba ab", "a" * 16, "a" * 17]
+    data, starts = lm.plain_bytes(texts)
+    symbol, _ = lm.choose_symbols(np.bincount(data, minlength=256))
+    symbol[0] = symbol[255]
+    key, n, heads = lm.distinct_words(data, starts)
+    n = np.where(rng.random(len(n)) < 0.8, n, 0)  # some are only used
+    length = (heads != 0).sum(1)
+    cells = Counter()
+    for size, rows, k in lm.begun_keys(heads, length):
+        follows = np.where(length[rows] > size, heads[rows, np.minimum(size, 16)], 32)
+        for a, b, c in zip(k.view(np.int64).tolist(), symbol[follows].tolist(), n[rows].tolist()):
+            cells[a, b] += c
+    keys = sorted({a for a, _ in cells})
+    flat = {k: [64 * c + b for (a, b), c in cells.items() if a == k and c] for k in keys}
+    row, size, *told = lm.words_told(heads, n, symbol)
+    start = np.cumsum(size) - size + 1
+    (w,) = lm.stretches_of(data, starts, symbol)
+    for learning, lanes in zip((True, False), told):
+        plain = lm.Begun(np.array(keys), np.array([len(flat[k]) for k in keys]), np.array([x for k in keys for x in flat[k]], np.int64), learning)
+        whole = lm.Told([])
+        whole.keys, whole.n, whole.start = lm.Keys(key), np.append(0, n), np.append(1, start[row]).astype(np.int32)
+        lanes = np.concatenate([np.zeros((1, 8), np.int8), lanes])
+        whole.sure = lanes[:, 6].astype(np.uint8)
+        whole.paths = np.where(np.arange(8) == 6, np.int8(0), lanes).view(np.int64)[:, 0]
+        (at, sure), known = plain.contexts(w), lm.BegunWords(lm.Told([]), whole).over(data, starts)
+        own, own_sure = known.contexts(w)
+        a, b = plain.paths[at].view(np.int8).reshape(-1, 8).astype(int), known.paths[own].view(np.int8).reshape(-1, 8).astype(int)
+        inner = (data != 0) | np.isin(np.arange(len(data)), starts[1:] - 1)
+        clean = ~np.isin(w.text[np.searchsorted(w.start, np.arange(len(data)), "right") - 1], [i for i, t in enumerate(texts) if "\0" in t])  # the plain form ends a word there
+        seen = (at >= 64) & inner & clean
+        assert seen.sum() > 1000 and (sure[seen] == own_sure[seen]).all()
+        assert np.abs(a - b)[seen].max() <= (6 if learning else 0)  # the plain form takes the own visit out of rounded counts
+        assert (own[(at < 64) & clean] == 0).all()
+
+
+def test_lm_no_begun_word_is_left_out(spark):
+    """Scores don't depend on how many words are broadcast: those of the others reach the blocks that hold them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    few, all_ = ({r.doc_id: r for r in lm.score_texts(docs, train=F.col("doc_id") % 10 != 0, head_words=k, head_begun=k).collect()} for k in (5, 1_000_000))
+    assert few.keys() == all_.keys()
+    assert all(math.isclose(few[i].score, all_[i].score, rel_tol=1e-6) and few[i].n_known == all_[i].n_known and math.isclose(few[i].base_score, all_[i].base_score, rel_tol=1e-9) for i in few)
